@@ -16,6 +16,8 @@ from peakloom.operators.graph import connected_components
 from peakloom.plans.durable import durable
 
 BITS = 64
+#: For each value of a byte its bits, lowest first: counts of byte values times this are counts of bits.
+OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -29,8 +31,8 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(tokens) - k + 1)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_in = bits.sum(axis=0, dtype=np.int64)
+    lanes = hashes.view(np.uint8).reshape(-1, 8)
+    set_in = np.concatenate([np.bincount(lanes[:, i], minlength=256) @ OF_BYTE for i in range(8)])
     return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view(np.int64)[0])
 
 
