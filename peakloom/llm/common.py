@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,29 @@ def sample_by(docs: DataFrame, class_col: str, per_class: int, id_col: str = "do
     sizes = docs.groupBy(class_col).agg(F.count(F.lit(1)).alias("class_rows"))
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     return docs.join(F.broadcast(sizes), class_col).where(u * F.col("class_rows") < per_class).drop("class_rows")
+
+
+def labelled_sample(docs: DataFrame, labels_df: DataFrame, label: str, per_class: int, allowed: Column, id_col: str = "doc_id") -> list:
+    """Rows (id, label, text) for fitting: about ``per_class`` of each class, of ids that ``allowed`` lets be learned from.
+
+    Ids are chosen from the narrow label table first; only the chosen ones, a bounded number, are joined with texts.
+    """
+    known = labels_df.where(allowed & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    chosen = sample_by(known, "label", per_class, id_col)
+    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).orderBy(id_col, "text").collect()
+
+
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton steps with a small ridge; the slope is never negative."""
+    x, t = np.asarray(x, float), np.where(y > 0, 1 - 1e-3, 1e-3)
+    scale = x.std() or 1.0
+    design, w = np.c_[x / scale, np.ones(len(x))], np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        g = design.T @ (weight * (p - t)) + 1e-3 * w
+        h = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w -= np.clip(step, -2, 2)
+        if abs(step).max() < 1e-8:
+            break
+    return max(0.0, float(w[0] / scale)), float(w[1])

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.llm.langid import op6_language
 from peakloom.llm.pieces import op5_sentencepiece
+from peakloom.llm.quality import op1_quality
 from peakloom.llm.simhash import op4_simhash
+from peakloom.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op4_simhash": op4_simhash,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
