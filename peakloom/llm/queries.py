@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.llm.langid import op6_language
+from peakloom.llm.mixing import op8_mixing
 from peakloom.llm.pieces import op5_sentencepiece
+from peakloom.llm.pii import op3_pii
 from peakloom.llm.quality import op1_quality
+from peakloom.llm.rules import op7_rules
 from peakloom.llm.simhash import op4_simhash
 from peakloom.llm.toxicity import op2_toxicity
 
@@ -17,9 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
+        "op3_pii": op3_pii,
         "op4_simhash": op4_simhash,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
+        "op7_rules": op7_rules,
+        "op8_mixing": op8_mixing,
     }
 
 
