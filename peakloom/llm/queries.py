@@ -13,6 +13,7 @@ from peakloom.llm.pii import op3_pii
 from peakloom.llm.quality import op1_quality
 from peakloom.llm.rules import op7_rules
 from peakloom.llm.simhash import op4_simhash
+from peakloom.llm.substrings import op10_substrings
 from peakloom.llm.toxicity import op2_toxicity
 
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "op7_rules": op7_rules,
         "op8_mixing": op8_mixing,
+        "op10_substrings": op10_substrings,
     }
 
 
