@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.llm.langid import op6_language
+from peakloom.llm.media import op9_media
 from peakloom.llm.mixing import op8_mixing
 from peakloom.llm.pieces import op5_sentencepiece
 from peakloom.llm.pii import op3_pii
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "op7_rules": op7_rules,
         "op8_mixing": op8_mixing,
+        "op9_media": op9_media,
         "op10_substrings": op10_substrings,
     }
 
