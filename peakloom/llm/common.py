@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch sent to a Python worker. Texts can be long, so batches are kept small.
 BATCH_ROWS = 1000
@@ -26,7 +27,7 @@ def crc_mod(id_col: str, k: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % k
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """``step`` on each Arrow batch of ``df``."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

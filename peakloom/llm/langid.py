@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peakloom.llm.common import crc_mod, documents, map_batches, sample_by
 
@@ -131,6 +132,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return map_batches(docs.select(id_col, text_col), step, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
 
 
+def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``rejected`` beside each row's own columns, without a join: the columns
+    pass through the task. Columns of ``docs`` with these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "rejected")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+        score = np.array([s for _, s in found])
+        rejected = (score < shared.value.reject_below) | np.array([lang == "und" for lang, _ in found])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(rejected)], names=[*docs.columns, "lang_pred", "score", "rejected"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return map_batches(docs, step, schema)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, fit_on(docs)).withColumn("held_out", crc_mod("doc_id", 3) == 1)
