@@ -41,7 +41,6 @@ def _decode(arrays) -> list[dict[str, float]]:
     return [{"mz": float(m), "intensity": float(i)} for m, i in zip(mz, intensity, strict=True)]
 
 
-@F.pandas_udf("array<struct<mz:double,intensity:double>>")
 def decode_peaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for arrays in batches:
         yield arrays.map(_decode)
@@ -65,5 +64,5 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
         "run", F.col("_index").alias("scan_index"), _param(F.col("cvParam"), LEVEL).cast("int").alias("ms_level"), rt.alias("rt"),
         F.coalesce(number(scan, DRIFT), F.lit(-1.0)).alias("drift_time"),
         F.coalesce(F.transform("precursorList.precursor", precursor), F.array().cast("array<struct<mz:double,iso_lower:double,iso_upper:double>>")).alias("precursors"),
-        decode_peaks(F.col("binaryDataArrayList.binaryDataArray")).alias("peaks"),
+        F.pandas_udf(decode_peaks, "array<struct<mz:double,intensity:double>>")("binaryDataArrayList.binaryDataArray").alias("peaks"),
     )
