@@ -137,13 +137,13 @@ def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     pass through the task. Columns of ``docs`` with these names are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score", "rejected"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
         score = np.array([s for _, s in found])
         rejected = (score < shared.value.reject_below) | np.array([lang == "und" for lang, _ in found])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(rejected)], names=[*docs.columns, "lang_pred", "score", "rejected"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(rejected)], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return map_batches(docs, step, schema)
