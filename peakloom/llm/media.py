@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import documents, map_batches, utf8
+from peakloom.llm.common import documents, has_prefix, map_batches, prefix_bits, utf8
 from peakloom.plans.durable import durable_table
 
 #: Samples of a frame; a payload is a positive multiple of it.
@@ -102,19 +102,6 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(docs.select(id_col, text_col), step, f"{id_col} {kind}, key binary, n_bytes bigint, digests array<binary>")
 
 
-def prefix_bits(keys: DataFrame) -> np.ndarray:
-    """A bit for each of the 2**24 values of a key's first three bytes, set if a key has it: 2 MB whatever the input.
-
-    Used as a filter with false positives only: a row that passes takes the longer way and comes to the same result.
-    """
-    at = (F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("bigint") + 1).alias("at")
-    rows = keys.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros((512, 4096), np.uint8)
-    for r in rows:
-        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 def chunked(docs: DataFrame, bits: np.ndarray, flagged: bool, text_col: str = "text") -> DataFrame:
     """``key`` and ``chunks``, the payload as an ordered list of digest, size and compressed bytes, of the rows whose key
     is in ``bits``, or is not."""
@@ -124,8 +111,7 @@ def chunked(docs: DataFrame, bits: np.ndarray, flagged: bool, text_col: str = "t
         pack, keys, lists = zstandard.ZstdCompressor(3, write_content_size=True), [], []
         for text in utf8(batch.column(0)):
             key = _digest(text)
-            at = int.from_bytes(key[:3], "big")
-            if bool(shared.value[at >> 3] >> (at & 7) & 1) != flagged:
+            if has_prefix(shared.value, key) != flagged:
                 continue
             keys.append(key)
             lists.append([{"digest": _digest(x), "size": len(x), "data": pack.compress(x)} for x in _pieces(text)])

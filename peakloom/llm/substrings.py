@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import documents, map_batches, utf8
+from peakloom.llm.common import documents, has_prefix, map_batches, prefix_bits, utf8
 from peakloom.llm.grouping import suffix_array
 from peakloom.plans.durable import durable_table
 
@@ -118,6 +118,8 @@ def repeated_starts(runs: list[tuple[bytes, int, int]], length: int) -> list[np.
     for left in range(SYMBOL):
         start = column - left
         able = np.flatnonzero((start >= 0) & (start < many))
+        if len(able) < 2:
+            continue
         at = offset[run[able]] + start[able]
         places = np.r_[np.arange(left), np.arange(left + whole * SYMBOL, length)]
         sides = np.ascontiguousarray(buffer[at[:, None] + places]).view(np.uint64)[:, 0]
@@ -127,6 +129,8 @@ def repeated_starts(runs: list[tuple[bytes, int, int]], length: int) -> list[np.
         again = able[by[np.r_[False, equal] | np.r_[equal, False]]]
         hits_run.append(run[again])
         hits_start.append((column - left)[again])
+    if not hits_run:
+        return out
     r, s = np.concatenate(hits_run), np.concatenate(hits_start)
     by = np.lexsort((s, r))
     r, s = r[by], s[by]
@@ -149,12 +153,13 @@ def _key(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
-def find_repeats(distinct_runs: DataFrame, length: int, block_bytes: int = 1 << 18, group_runs: int = 2000) -> DataFrame:
-    """``run`` and ``found`` (intervals of repeated starts) from distinct runs (anchor, run, place, starts, data).
+def find_repeats(runs: DataFrame, length: int, block_bytes: int = 1 << 18, group_runs: int = 2000) -> DataFrame:
+    """``run`` and ``found`` (intervals of repeated starts) from runs (anchor, run, place, starts, times, data).
 
-    Runs are dealt by anchor; a task joins the groups of several anchors to blocks of about ``block_bytes`` and builds
-    one suffix array for each. An anchor with more than ``group_runs`` distinct runs is not held in one task: each of
-    its strings is counted by its 128-bit hash over all tasks instead.
+    Runs are dealt by anchor, equal ones meet there and are one with the sum of their ``times``; all starts of a run met
+    more than once are repeated. A task joins the distinct runs of several anchors to blocks of about ``block_bytes`` and
+    builds one suffix array for each. An anchor with more than ``group_runs`` distinct runs is not held in one task:
+    each of its strings is counted by its 128-bit hash over all tasks instead.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,37 +167,51 @@ def find_repeats(distinct_runs: DataFrame, length: int, block_bytes: int = 1 <<
             return pa.record_batch([pa.array(ids, pa.binary()), pa.array(found, INTERVALS), pa.array(data, pa.binary()), pa.array(many, pa.int64())], names=["run", "found", "data", "starts"])
 
         def solve(block):
-            starts = repeated_starts([(d, p, n) for _, p, n, d in block], length)
-            rows = [(r[0], intervals(s)) for r, s in zip(block, starts, strict=True) if len(s)]
+            starts = repeated_starts([(r[4], r[1], r[2]) for r in block], length)
+            rows = [(r[0], intervals(s)) for r, s in zip(block, starts, strict=True) if len(s) and r[3] == 1]
             return [out([r for r, _ in rows], [f for _, f in rows], [None] * len(rows), [0] * len(rows))] if rows else []
 
+        def copied(group):
+            rows = [r for r in group if r[3] > 1]
+            return [out([r[0] for r in rows], [[{"a": 0, "b": r[2] - 1}] for r in rows], [None] * len(rows), [0] * len(rows))] if rows else []
+
+        def crowd(group):
+            return [out([r[0] for r in group], [None] * len(group), [r[4] for r in group], [r[2] for r in group])] if group else []
+
         anchor, group, hot, block, size = None, [], False, [], 0
-        crowd = lambda g: [out([r[0] for r in g], [None] * len(g), [r[3] for r in g], [r[2] for r in g])] if g else []
+
+        def ended():
+            """The anchor's group is whole, or the rest of a crowded one."""
+            nonlocal block, size
+            yield from copied(group)
+            if hot:
+                yield from crowd(group)
+            elif len(group) > 1:
+                block += group
+                size += sum(len(r[4]) for r in group)
+                if size >= block_bytes:
+                    yield from solve(block)
+                    block, size = [], 0
+
         for batch in batches:
-            for a, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for a, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if a != anchor:
-                    if hot:
-                        yield from crowd(group)
-                    elif len(group) > 1:
-                        block += group
-                        size += sum(len(r[3]) for r in group)
-                        if size >= block_bytes:
-                            yield from solve(block)
-                            block, size = [], 0
+                    yield from ended()
                     anchor, group, hot = a, [], False
-                group.append(row)
+                if group and group[-1][0] == row[0]:
+                    group[-1][3] += row[3]
+                    continue
                 if len(group) > (500 if hot else group_runs):
-                    yield from crowd(group)
-                    group, hot = [], True
-        if hot:
-            yield from crowd(group)
-        elif len(group) > 1:
-            block += group
+                    hot = True
+                    yield from ended()
+                    group = []
+                group.append(row)
+        yield from ended()
         if block:
             yield from solve(block)
 
-    distinct_runs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    dealt = distinct_runs.select("anchor", "run", "place", "starts", "data").repartition("anchor").sortWithinPartitions("anchor")
+    runs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    dealt = runs.select("anchor", "run", "place", "starts", "times", "data").repartition("anchor").sortWithinPartitions("anchor", "run")
     searched = durable_table(dealt.mapInArrow(search, "run binary, found array<struct<a:bigint,b:bigint>>, data binary, starts bigint"), "repeats")
 
     def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Every string's anchor is found (``anchor_runs``); runs of starts with one anchor go to a narrow table.
     2. Anchors that stand at one place only are dropped: minimum and maximum place by anchor, combined before the
        shuffle. All starts of the rest are candidates, with no limit.
-    3. Candidate runs get their bytes; equal runs are one row with a count, so copies of a passage cost one.
+    3. Candidate runs get their bytes; equal runs are combined before the shuffle, so copies of a passage cost one.
     4. ``find_repeats`` decides which strings of different runs are equal.
     5. Covered bytes are put together for each distinct text, and joined with its documents.
     """
@@ -237,47 +256,64 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for t in texts:
             s, e, p, h = anchor_runs(t, length)
             runs.append([{"anchor": a, "s": b, "e": c, "p": d} for a, b, c, d in zip(h.tolist(), s.tolist(), e.tolist(), p.tolist(), strict=True)])
-        run = pa.list_(pa.struct([("anchor", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("p", pa.int64())]))
+        run = pa.list_(pa.struct([("anchor", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("p", pa.int32())]))
         return pa.record_batch(
             [batch.column(0), pa.array([_key(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(t).hexdigest() for t in texts]), pa.array(runs, run)],
             names=[id_col, "key", "n_bytes", "sha", "runs"],
         )
 
-    sketched = durable_table(map_batches(source, sketch, f"{id_col} {kind}, key binary, n_bytes bigint, sha string, runs array<struct<anchor:bigint,s:bigint,e:bigint,p:bigint>>"), "sketch")
+    sketched = durable_table(map_batches(source, sketch, f"{id_col} {kind}, key binary, n_bytes bigint, sha string, runs array<struct<anchor:bigint,s:int,e:int,p:int>>"), "sketch")
     copies = sketched.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n"))
     runs = sketched.select("key", F.explode("runs").alias("r")).select("key", "r.*")
-    shared = runs.groupBy("anchor").agg(F.min(F.struct("key", "p")).alias("low"), F.max(F.struct("key", "p")).alias("high")).where("low <> high").select("anchor")
-    candidates = runs.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p")).alias("runs"))
+    place = F.xxhash64("key", "p")
+    shared = runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("anchor")
+    candidates = durable_table(runs.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p")).alias("runs")), "shared-anchors")
+    bits = source.sparkSession.sparkContext.broadcast(prefix_bits(candidates))
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if len(t) >= length else None for t in utf8(batch.column(0))]
-        return pa.record_batch([pa.array([_key(t) if t else None for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=["key", "data"])
+        rows = [(k, t) for t in utf8(batch.column(0)) if len(t) >= length for k in [_key(t)] if has_prefix(bits.value, k)]
+        return pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([t for _, t in rows], pa.binary())], names=["key", "data"])
 
-    texts = map_batches(source.select(text_col), keyed, "key binary, data binary").where("key is not null")
+    texts = map_batches(source.select(text_col), keyed, "key binary, data binary")
     distinct = texts.groupBy("key").agg(F.first("data").alias("data"))
     able = durable_table(distinct.join(candidates, "key").join(copies, "key"), "candidates")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs with their bytes; equal ones of a task are combined, up to a bound on what it holds."""
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def out():
+            rows = [(*k, *v) for k, v in held.items()]
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            return pa.record_batch(cols, names=["anchor", "run", "place", "starts", "times", "data"])
+
         for batch in batches:
-            for key, data, found, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows = [(r["anchor"], data[r["s"] : r["e"] + length], r["p"] - r["s"], r["e"] - r["s"] + 1, r["s"]) for r in found]
-                yield pa.record_batch(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([_key(r[1]) for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([key] * len(rows), pa.binary()), pa.array([r[4] for r in rows], pa.int64()), pa.array([n] * len(rows), pa.int64())],
-                    names=["anchor", "run", "place", "starts", "data", "key", "s", "copies"],
-                )
+            for data, found, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for r in found:
+                    piece = data[r["s"] : r["e"] + length]
+                    k = (r["anchor"], _key(piece), r["p"] - r["s"], r["e"] - r["s"] + 1)
+                    if k in held:
+                        held[k][0] += n
+                    else:
+                        held[k] = [n, piece]
+                        size += len(piece)
+            if size > 1 << 25:
+                yield out()
+                held, size = {}, 0
+        if held:
+            yield out()
 
     able.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    cuts = able.select("key", "data", "runs", "copies").mapInArrow(cut, "anchor bigint, run binary, place bigint, starts bigint, data binary, key binary, s bigint, copies bigint")
-    pieces = durable_table(cuts.groupBy("anchor", "run", "place", "starts").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("at_places"), F.sum("copies").alias("times"), F.min(F.struct("key", "s")).alias("low"), F.max(F.struct("key", "s")).alias("high")), "runs")
-    searched = find_repeats(pieces, length, block_bytes, group_runs)
-    copied = pieces.where("times > 1").select("run", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("starts") - 1).alias("b"))).alias("found"))
-    where = able.select("key", F.explode("runs").alias("r"), "data").select("key", F.col("r.s").alias("s"), F.expr("substring(data, r.s + 1, r.e - r.s + {})".format(length)).alias("bytes"))
+    cuts = able.select("data", "runs", "copies").mapInArrow(cut, "anchor bigint, run binary, place bigint, starts bigint, times bigint, data binary")
+    searched = find_repeats(cuts, length, block_bytes, group_runs)
+    where = able.select("key", F.explode("runs").alias("r"), "data").select("key", F.col("r.s").cast("bigint").alias("s"), F.expr("substring(data, r.s + 1, r.e - r.s + {})".format(length)).alias("bytes"))
 
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), batch.column(1), pa.array([_key(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["key", "s", "run"])
 
     occurrences = map_batches(where, named, "key binary, s bigint, run binary")
-    hits = occurrences.join(searched.union(copied), "run").select("key", F.explode("found").alias("f"), "s").select("key", F.struct((F.col("f.a") + F.col("s")).alias("a"), (F.col("f.b") + F.col("s") + length).alias("b")).alias("span"))
+    hits = occurrences.join(searched, "run").select("key", F.explode("found").alias("f"), "s").select("key", F.struct((F.col("f.a") + F.col("s")).alias("a"), (F.col("f.b") + F.col("s") + length).alias("b")).alias("span"))
     spans = hits.groupBy("key").agg(F.collect_set("span").alias("spans"))
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
