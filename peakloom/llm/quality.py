@@ -14,14 +14,30 @@ from peakloom.llm.common import crc_mod, documents, labelled_sample, labels, map
 #: Bytes a filter sees, bytes it moves by; filter positions of a block, blocks of a chunk, blocks a chunk moves by.
 WIDTH, STRIDE, BLOCK, CHUNK, HOP = 8, 4, 64, 4, 3
 DIM, FILTERS = 8, 24
+#: Bytes since the same four bytes last stood, up to each of these; further back or never is class 0.
+RECENT = np.array([8, 16, 32, 64, 256])
+
+
+def recency(b: np.ndarray) -> np.ndarray:
+    """Class of each byte by how far back its four bytes last stood: shows words and lines that are said over and over,
+    which no filter of a few bytes can see."""
+    out = np.zeros(len(b), np.int64)
+    if len(b) > 4:
+        w = b.astype(np.uint32)
+        four = w[:-3] | w[1:-2] << np.uint32(8) | w[2:-1] << np.uint32(16) | w[3:] << np.uint32(24)
+        order = np.argsort(four, kind="stable")
+        same = four[order[1:]] == four[order[:-1]]
+        back = (order[1:] - order[:-1])[same]
+        out[order[1:][same]] = (len(RECENT) - np.searchsorted(RECENT, back)) % (len(RECENT) + 1)
+    return out
 
 
 @dataclass
 class ByteNet:
-    """Byte embedding, filters over overlapping chunks, max-pooling within each chunk, and a logistic layer on the mean
+    """Embedding of a byte and of its recency, filters over overlapping chunks, max-pooling within each chunk, and a logistic layer on the mean
     and the maximum of the chunks' pooled activations."""
 
-    emb: np.ndarray  # 256 x DIM
+    emb: np.ndarray  # 256 bytes, then the recency classes, x DIM
     kernel: np.ndarray  # WIDTH * DIM x FILTERS
     kernel_bias: np.ndarray
     out: np.ndarray  # 2 * FILTERS
@@ -33,22 +49,24 @@ class ByteNet:
     def fresh(seed: int) -> ByteNet:
         rng = np.random.default_rng(seed)
         return ByteNet(
-            rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.25, (WIDTH * DIM, FILTERS)).astype(np.float32),
+            rng.normal(0, 0.5, (257 + len(RECENT), DIM)).astype(np.float32), rng.normal(0, 0.25, (WIDTH * DIM, FILTERS)).astype(np.float32),
             np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0,
         )
 
     def params(self) -> list[np.ndarray]:
         return [self.emb, self.kernel, self.kernel_bias, self.out]
 
-    def convolve(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The padded bytes and every filter's activation at every position of the whole text."""
+    def convolve(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The padded bytes, their recency, and every filter's activation at every position of the whole text."""
         b = np.frombuffer(text, np.uint8)
         n = max(WIDTH, -(-(len(b) - WIDTH) // STRIDE) * STRIDE + WIDTH)
-        b = np.concatenate([b, np.zeros(n - len(b), np.uint8)])
-        x = self.emb.take(b, axis=0)
+        pad = np.zeros(n - len(b), np.uint8)
+        recent = np.concatenate([recency(b), pad]).astype(np.int64) + 256
+        b = np.concatenate([b, pad])
+        x = self.emb.take(b, axis=0) + self.emb.take(recent, axis=0)
         rows = (n - WIDTH) // STRIDE + 1
         seen = np.lib.stride_tricks.as_strided(x, (rows, WIDTH * DIM), (STRIDE * DIM * 4, 4))
-        return b, seen @ self.kernel
+        return b, recent, seen @ self.kernel
 
     def chunks(self, act: np.ndarray) -> np.ndarray:
         """Pooled activations of each chunk. Chunks overlap by ``CHUNK - HOP`` blocks and cover every position."""
@@ -57,7 +75,7 @@ class ByteNet:
         return np.array([blocks[i : i + CHUNK].max(axis=0) for i in first]) if len(blocks) > CHUNK else blocks.max(axis=0)[None]
 
     def logit(self, text: bytes) -> float:
-        z = np.maximum(self.chunks(self.convolve(text)[1]) + self.kernel_bias, 0)
+        z = np.maximum(self.chunks(self.convolve(text)[2]) + self.kernel_bias, 0)
         return float(np.concatenate([z.mean(axis=0), z.max(axis=0)]) @ self.out + self.out_bias)
 
     def score(self, text: bytes) -> float:
@@ -65,7 +83,7 @@ class ByteNet:
 
     def gradients(self, text: bytes, label: int) -> tuple[list[np.ndarray], float]:
         """Of the logistic loss; through a maximum only the position that attains it is moved."""
-        b, act = self.convolve(text)
+        b, recent, act = self.convolve(text)
         starts = list(range(0, max(1, -(-len(act) // BLOCK) - CHUNK + HOP), HOP)) if len(act) > CHUNK * BLOCK else [0]
         spans = [(i * BLOCK, min(len(act), (i + CHUNK) * BLOCK)) for i in starts]
         at = np.array([a + act[a:e].argmax(axis=0) for a, e in spans])
@@ -79,12 +97,14 @@ class ByteNet:
         dz = np.repeat((d * self.out[:FILTERS] / len(z))[None], len(z), axis=0)
         dz[top, f] += d * self.out[FILTERS:]
         dz *= pre > 0
-        seen = b[(at.ravel() * STRIDE)[:, None] + np.arange(WIDTH)]
-        x = self.emb[seen].reshape(len(spans), FILTERS, WIDTH * DIM)
+        places = (at.ravel() * STRIDE)[:, None] + np.arange(WIDTH)
+        seen, since = b[places], recent[places]
+        x = (self.emb[seen] + self.emb[since]).reshape(len(spans), FILTERS, WIDTH * DIM)
         dk = np.einsum("cf,cfk->kf", dz, x)
         dx = (dz[:, :, None] * self.kernel.T[None]).reshape(-1, DIM)
         de = np.zeros_like(self.emb)
         np.add.at(de, seen.ravel(), dx)
+        np.add.at(de, since.ravel(), dx)
         return [de, dk, dz.sum(axis=0), d * h], d
 
 
@@ -124,7 +144,7 @@ def fit(texts: list[bytes], y: list[int], epochs: int = 8, batch: int = 8, rate:
     return net
 
 
-def fit_on(docs: DataFrame, labels_df: DataFrame, per_class: int = 500, id_col: str = "doc_id") -> ByteNet:
+def fit_on(docs: DataFrame, labels_df: DataFrame, per_class: int = 1000, id_col: str = "doc_id") -> ByteNet:
     """A network fitted on the driver on a bounded sample, about ``per_class`` labelled documents of each class."""
     allowed = crc_mod(id_col, 4) != 2
     rows = labelled_sample(docs, labels_df, "quality", per_class, allowed, id_col)
