@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -92,17 +94,28 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.x(words) + self.offset, -30, 30))))
 
 
-def fit(texts: list[str], y: list[int], prior_share: float = 0.05, least_docs: int = 3, least_z: float = 2.0, drift: float = 0.05, evidence: float = 0.0, positive_share: float = 0.1, seed: int = 5) -> ToxicModel:
+def fit(texts: list[str], y: list[int], prior_share: float = 0.05, least_docs: int = 3, drift: float = 0.05, evidence: float = 0.0, positive_share: float = 0.1, seed: int = 5) -> ToxicModel:
     """Log-odds with an informative Dirichlet prior (Monroe et al. 2008), the extreme-value rate of clean text, and a
     logistic curve on a held fifth. The prior is ``prior_share`` of both classes' counts together. Words are counted once a document, so that one text's repeats weigh as one."""
     rng, y = np.random.default_rng(seed), np.asarray(y)
     order = rng.permutation(len(texts))
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
     count: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for i in train:
-        count[int(y[i])].update({u for w in set(tokens(texts[i])) for u in units(w)})
+    # Copies with small changes share their least word pair, and weigh as one document together.
+    family = [min((crc32(f"{a} {b}".encode()) for a, b in pairwise(tokens(texts[i]))), default=-1 - int(i)) for i in train]
+    copies = Counter(family)
+    for i, f in zip(train, family, strict=True):
+        found = {u for w in set(tokens(texts[i])) for u in units(w)}
+        if copies[f] == 1:
+            count[int(y[i])].update(found)
+        else:
+            for u in found:
+                count[int(y[i])][u] += 1 / copies[f]
     n = {c: max(1, sum(count[c].values())) for c in (0, 1)}
     both = count[0] + count[1]
+    share = float(np.clip((y[train] == 1).mean() if len(train) else 0.5, 1e-3, 1 - 1e-3))
+    # A unit counts if its documents' split between the classes would be a surprise among a tenth of the units.
+    surprise = np.log(max(20, sum(seen >= least_docs for seen in both.values())) / 10)
     prior = {c: prior_share * (n[0] + n[1]) for c in (0, 1)}
     odds = {}
     for w, seen in both.items():
@@ -111,7 +124,9 @@ def fit(texts: list[str], y: list[int], prior_share: float = 0.05, least_docs: i
         a = prior_share * seen
         t, c = count[1][w] + a, count[0][w] + a
         delta = np.log(t / (n[1] + prior[1] - t)) - np.log(c / (n[0] + prior[0] - c))
-        odds[w] = (float(np.clip(delta, -4, 8)) if abs(delta) / np.sqrt(1 / t + 1 / c) >= least_z else 0.0) - drift
+        q = count[1][w] / seen
+        bits = sum(x * np.log(x / z) for x, z in ((q, share), (1 - q, 1 - share)) if x > 0)
+        odds[w] = (float(np.clip(delta, -4, 8)) if seen * bits >= surprise else 0.0) - drift
     clean, blank = Counter(), ToxicModel(odds, drift, 0.0, evidence)
     for i in train:
         if y[i] == 0:
