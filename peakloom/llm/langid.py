@@ -63,7 +63,7 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 1
     halved, so that clean documents of a known language stay.
     """
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
+    y = np.array([names.index(x) for x in langs], int)
     grams = [np.unique(subwords(t, buckets), return_counts=True) for t in texts]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
