@@ -75,18 +75,21 @@ def prefilter(fragments: DataFrame, occupied: DataFrame, needed: int = 3) -> Dat
     return hit.groupBy("candidate").agg(F.count_distinct("fragment").alias("hits")).where(F.col("hits") >= needed)
 
 
-def gather(transitions: DataFrame, peaks: DataFrame, ppm: float = 20.0, rt_width: float | None = None) -> DataFrame:
+def gather(transitions: DataFrame, peaks: DataFrame, ppm: float = 20.0, rt_width: float | None = None, im_width: float = -1.0) -> DataFrame:
     """Peaks within each transition's tolerance: ``mz`` within ``ppm`` / 2 on either side of ``product_mz``, in its window and,
-    with ``rt_width``, within half of that of ``rt_apex``.
+    with ``rt_width``, within half of that of ``rt_apex``; with an ``im_width`` other than -1, the mobility ``im`` within half
+    of that of ``im_apex``.
 
     An interval join as an equi-join on (window, bin): the transition goes to its bin and those beside it, which hold
     every value within the tolerance; the exact test follows.
     """
     t = transitions.withColumn("bin", F.explode(neighbours(mz_bin(F.col("product_mz"), ppm))))
-    p = peaks.select(window_key(F.col("win_mz")).alias("win_key"), mz_bin(F.col("mz"), ppm).alias("bin"), "scan_index", "rt", "mz", "intensity")
+    p = peaks.select(window_key(F.col("win_mz")).alias("win_key"), mz_bin(F.col("mz"), ppm).alias("bin"), "scan_index", "rt", "mz", "intensity", *(["im"] if im_width >= 0 else []))
     near = F.abs(p["mz"] - t["product_mz"]) <= t["product_mz"] * (ppm / 2 * 1e-6)
     joined = t.join(p, ["win_key", "bin"]).where(near)
-    return joined.where(F.abs(F.col("rt") - F.col("rt_apex")) <= rt_width / 2) if rt_width else joined
+    if rt_width is not None:
+        joined = joined.where(F.abs(F.col("rt") - F.col("rt_apex")) <= rt_width / 2)
+    return joined.where(F.abs(F.col("im") - F.col("im_apex")) <= im_width / 2) if im_width >= 0 else joined
 
 
 def traces(gathered: DataFrame, group: str = "group", fragment: str = "fragment") -> DataFrame:

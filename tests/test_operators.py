@@ -173,3 +173,24 @@ def test_mzml(spark, tmp_path):
     assert (one["ms_level"], one["rt"], one["peaks"], one["precursors"], one["drift_time"]) == (1, 30.0, [], [], -1.0)
     assert [(p["mz"], p["intensity"]) for p in two["peaks"]] == [(100.5, 1.0), (200.25, 2.0)]
     assert tuple(two["precursors"][0]) == (500.5, 12.0, 12.0)
+
+
+def test_gather_and_traces(spark):
+    peaks = spark.createDataFrame([(1, 10.0, 500.0, 300.0, 5.0, 0.8), (1, 10.0, 500.0, 300.0029, 7.0, 0.8), (1, 10.0, 500.0, 300.004, 9.0, 0.8), (2, 40.0, 500.0, 300.001, 2.0, 1.2), (2, 40.0, 600.0, 300.0, 3.0, 0.8)], "scan_index bigint, rt double, win_mz double, mz double, intensity double, im double")
+    asked = spark.createDataFrame([(1, 1, 50000, 300.0, 12.0, 0.8), (1, 2, 50000, 700.0, 12.0, 0.8)], "group int, fragment int, win_key bigint, product_mz double, rt_apex double, im_apex double")
+    assert index.gather(asked, peaks).count() == 3
+    assert index.gather(asked, peaks, rt_width=10.0).count() == 2
+    assert index.gather(asked, peaks, im_width=0.2).count() == 2
+    got = index.traces(index.gather(asked, peaks)).collect()
+    assert [(r["fragment"], r["trace"]) for r in got] == [(1, [12.0, 2.0])]
+
+
+def test_windowed_stream(spark, tmp_path):
+    from peakloom.streaming.index import windowed_cells
+
+    spark.sql("SELECT CAST(1 AS BIGINT) win_key, timestamp_seconds(id * 10) ts FROM range(60)").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("win_key bigint, ts timestamp").parquet(str(tmp_path / "in"))
+    running = windowed_cells(stream).writeStream.outputMode("append").format("memory").queryName("cells_by_time").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    rows = spark.table("cells_by_time").collect()
+    assert rows and {r["n_peaks"] for r in rows} == {3}
