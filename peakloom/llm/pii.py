@@ -21,8 +21,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for a pattern to be tried: a quick test for most texts.
-_HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What a text must hold to have a match that passes: one quick test, after which most texts are done.
+_HINT = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: High-recall candidates: the base forms and their usual disguises.
 _AT, _DOT = r"(?:@|\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?|\x20(?i:at)\x20)", r"(?:\.|\x20?[(\[{]\x20?(?i:dot)\x20?[)\]}]\x20?|\x20(?i:dot)\x20)"
 CANDIDATES = {
@@ -31,13 +31,18 @@ CANDIDATES = {
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/\x{A0}-]{0,2}[0-9]{2,6}){2,4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20()./\x{A0}-]{1,2}[0-9]{2,5}){2,4}(?![0-9])",
 }
-_CANDIDATE_HINT = {"email": r"(?i)@|\bat\b", "ip": r"[0-9][.\])\x20]", "card": r"[0-9]{4}", "phone": r"[0-9][0-9)]"}
+_CANDIDATE_HINT = {
+    "email": r"@[A-Za-z0-9-]|[\x20(\[{](?i:at)[\x20)\]}]",
+    "ip": r"[0-9](?:\.|\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}(?:\.|\[\.\]|\(\.\)|\x20\.\x20)[0-9]",
+    "card": r"[0-9]{4}[\x20._/\x{A0}-]{0,2}[0-9]{2,6}[\x20._/\x{A0}-]{0,2}[0-9]{2}",
+    "phone": r"[0-9]\)?[\x20()./\x{A0}-]{1,2}[0-9]{2,5}[\x20()./\x{A0}-]{1,2}[0-9]{2}",
+}
 CONTEXT = r"(?i)(mail|tel|phone|fax|mobil|call|contact|card|visa|master|kart|tarjet|carte|address|adress|direcc|\bip\b|host|server)[^\n]{0,24}$"
 #: Values that each feature of a candidate takes, 0 up to this.
 FEATURES = {"kind": 4, "digits": 6, "gaps": 4, "left": 4, "right": 4, "context": 2, "canonical": 2, "lead": 3}
 
 
-def found_spans(text: Column, pattern: str, hint: str | None) -> Column:
+def found_spans(text: Column, pattern: str, hint: str) -> Column:
     """Every match as (start, stop, value, left, right): code points, the end exclusive, and the text beside it.
 
     Splitting at the pattern gives what lies between the matches; lengths add up to positions.
@@ -54,7 +59,7 @@ def found_spans(text: Column, pattern: str, hint: str | None) -> Column:
 
     pairs = F.zip_with(hits, F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("before"), F.slice(between, F.lit(2), F.size(hits)).alias("after")), lambda v, b: F.struct(v.alias("value"), b["before"].alias("before"), b["after"].alias("after")))
     spans = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(kind)) if hint else spans
+    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(kind))
 
 
 def digits(value: Column) -> Column:
@@ -88,8 +93,7 @@ def base_spans(text: Column) -> Column:
     """Array of (start, kind number, stop) of the base matches that pass, by start and kind."""
 
     def of(k: int, kind: str) -> Column:
-        hint = _HINT[kind] and f"\\{_HINT[kind]}"
-        kept = F.filter(found_spans(text, BASE[kind], hint), lambda s: valid(kind, s["value"]))
+        kept = F.filter(found_spans(text, BASE[kind], _HINT[kind]), lambda s: valid(kind, s["value"]))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop")))
 
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))

@@ -266,8 +266,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = sketched.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n"))
     runs = sketched.select("key", F.explode("runs").alias("r")).select("key", "r.*")
     place = F.xxhash64("key", "p")
-    shared = runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("anchor")
-    candidates = durable_table(runs.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p")).alias("runs")), "shared-anchors")
+    total = sketched.agg(F.sum(F.size("runs"))).first()[0] or 0
+    shared = durable_table(runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("anchor", "n"), "anchors")
+    # Anchors with over a thousandth of all runs: a thousand at most. Their runs are told by a broadcast, not dealt by anchor.
+    frequent = F.broadcast(shared.where(F.col("n") > total / 1000).select("anchor"))
+    rare = runs.join(frequent, "anchor", "left_anti").join(shared.where(F.col("n") <= total / 1000), "anchor", "left_semi")
+    often = runs.join(frequent, "anchor", "left_semi")
+    candidates = durable_table(rare.union(often).groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p")).alias("runs")), "shared-anchors")
     bits = source.sparkSession.sparkContext.broadcast(prefix_bits(candidates))
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
