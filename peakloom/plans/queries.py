@@ -501,7 +501,7 @@ def decoy_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("library_assembly")
 def library_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = digest.precursors(proxy(spark, sf_dir, "proteins").where("ordinal < 50"))
+    found = digest.precursors(proxy(spark, sf_dir, "proteins"))
     return library.detecting(library.restrict(library.assemble(found, library.stub_predictor)))
 
 

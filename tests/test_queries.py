@@ -5,6 +5,8 @@ import math
 import duckdb
 import pytest
 
+from peakloom.operators import digest, library
+from peakloom.plans.proxies import proxy
 from peakloom.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +35,11 @@ def test_query(spark, duck, name):
     want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_library_of_all_proteins(spark):
+    proteins = proxy(spark, DATA, "proteins")
+    want = library.detecting(library.restrict(library.assemble(digest.precursors(proteins), library.stub_predictor)))
+    got = QUERIES["library_assembly"](spark, DATA)
+    assert {r[0] for r in want.select("TransitionId").collect()} <= {r[0] for r in got.select("TransitionId").collect()}
+    assert {r[0] for r in got.select("ProteinId").collect()} & {r[0] for r in proteins.where("ordinal >= 50").select("protein").collect()}
