@@ -72,6 +72,11 @@ def proxy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(spark_sql(name), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+def all_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proteins of every document, of any length or none, for queries without SQL; ``proxy`` keeps what the SQL asks for."""
+    return spark.sql(spark_sql("proteins").removesuffix(" WHERE n_chars < 2000"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First six vectors of each label as fragment traces."""
     return spark.sql(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import binning, chemistry, scoring
 from peakloom.operators import compare, digest, index, library, percolation, profile, rescore
-from peakloom.plans.proxies import DUCK_TRACES, duck_sql, proxy, traces
+from peakloom.plans.proxies import DUCK_TRACES, all_proteins, duck_sql, proxy, traces
 from peakloom.streaming.index import start_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -501,7 +501,7 @@ def decoy_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("library_assembly")
 def library_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = digest.precursors(proxy(spark, sf_dir, "proteins"))
+    found = digest.precursors(all_proteins(spark, sf_dir))
     return library.detecting(library.restrict(library.assemble(found, library.stub_predictor)))
 
 

@@ -1,7 +1,9 @@
 """Operators on the published fixtures and on edge cases."""
 
 import math
+import random
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,25 @@ def test_digest(spark):
     assert {(r["modseq"], r["protein"]) for r in got} == {("ELVISK", "TESTPROT"), ("LIVESR", "TESTPROT"), ("KPLIVESR", "B")}
 
 
+def test_digest_of_long_sequences(spark):
+    rng, letters = random.Random(3), "ACDEFGHIKLMNPQRSTVWY"
+    texts = ["", "K", "KP", "RKPKRP", *("".join(rng.choice(letters) for _ in range(n)) for n in (7, 8, 11, 12, 255, 256, 257, 263, 264, 268, 512, 519, 5000, 100_000)), None]
+    proteins = spark.createDataFrame([(i, f"P{i}", t) for i, t in enumerate(texts)], "ordinal bigint, protein string, sequence string")
+    want, wide = [], Counter()
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        ends = [0, *(i for i in range(1, n) if t[i - 1] in "KR" and t[i] != "P"), n] if n else []
+        want += [(k, a, t[a:b]) for i, a in enumerate(ends[:-1]) for b in ends[i + 1 : i + 3] if 7 <= b - a <= 30]
+        wide.update((k, s, t[s : s + m]) for s in range(n) for m in range(8, 13) if s + m <= n)
+    got = digest.tryptic_peptides(proteins).select("ordinal", "start", "peptide")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert Counter(map(tuple, digest.windows(proteins).collect())) == wide
+    # Structs are made in one transform: no row carries a sequence or all its parts beside one peptide.
+    for df in (got, digest.windows(proteins)):
+        made = [line.strip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+        assert [line for line in made if not line.startswith("Generate posexplode(arrays_zip(cut")] == made[:1] and made[0].startswith("Generate inline")
+
+
 def test_library(spark):
     proteins = spark.createDataFrame([(0, "P", "SAMPLEMCKPEPTIDEKELVISK")], "ordinal bigint, protein string, sequence string")
     lib = library.assemble(digest.precursors(proteins), library.stub_predictor)

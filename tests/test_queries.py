@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from peakloom.operators import digest, library
-from peakloom.plans.proxies import proxy
+from peakloom.plans.proxies import all_proteins, proxy
 from peakloom.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +43,10 @@ def test_library_of_all_proteins(spark):
     got = QUERIES["library_assembly"](spark, DATA)
     assert {r[0] for r in want.select("TransitionId").collect()} <= {r[0] for r in got.select("TransitionId").collect()}
     assert {r[0] for r in got.select("ProteinId").collect()} & {r[0] for r in proteins.where("ordinal >= 50").select("protein").collect()}
+
+
+def test_library_of_long_documents(spark):
+    long = all_proteins(spark, DATA).join(proxy(spark, DATA, "proteins"), "ordinal", "left_anti")
+    assert all_proteins(spark, DATA).count() == 200 and long.count() == 80
+    seen = {r[0] for r in QUERIES["library_assembly"](spark, DATA).select("PeptideSequence").collect()}
+    assert seen & {r[0] for r in digest.tryptic_peptides(long).select("peptide").collect()} - {r[0] for r in digest.tryptic_peptides(proxy(spark, DATA, "proteins")).select("peptide").collect()}
