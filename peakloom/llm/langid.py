@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +48,9 @@ class LanguageModel:
         return self.table.take(at, axis=0).mean(axis=0, dtype=np.float64) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """A language and its calibrated probability; ``und`` and 0 for a text that is null or has no letter."""
-        if not text or not LETTER.search(text):
+        """A language and its calibrated probability; ``und`` and 0 for a text that is null or has no letter,
+        and for any text where the model has no languages."""
+        if not self.langs or not text or not LETTER.search(text):
             return "und", 0.0
         x = self.logits(text) / self.temperature
         p = np.exp(x - x.max())
@@ -111,6 +114,19 @@ def fit_on(docs: DataFrame, per_lang: int = 400, id_col: str = "doc_id", **optio
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
+def _step(shared: Broadcast, at: int, names: list[str], carried: list[int] | None = None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Column ``at`` of a batch judged by the broadcast model, beside the ``carried`` columns (all, if None)."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+        score = np.array([s for _, s in found], float)
+        rejected = (score < shared.value.reject_below) | np.array([lang == "und" for lang, _ in found], bool)
+        own = batch.columns if carried is None else [batch.column(i) for i in carried]
+        return pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(rejected)], names=names)
+
+    return step
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` and ``rejected`` for every document.
 
@@ -118,16 +134,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     is under the model's calibrated bound. Whole texts count; other columns are not read; an empty table gives an
     empty result.
     """
-    if not model.langs:
-        return docs.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
-        score = np.array([s for _, s in found])
-        rejected = (score < shared.value.reject_below) | np.array([lang == "und" for lang, _ in found])
-        return pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
-
+    step = _step(docs.sparkSession.sparkContext.broadcast(model), 1, [id_col, "lang_pred", "score", "rejected"], [0])
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), step, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
 
@@ -136,14 +143,7 @@ def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` beside each row's own columns, without a join: the columns
     pass through the task. Columns of ``docs`` with these names are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score", "rejected"]
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
-        score = np.array([s for _, s in found])
-        rejected = (score < shared.value.reject_below) | np.array([lang == "und" for lang, _ in found])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array(score), pa.array(rejected)], names=names)
+    step = _step(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), [*docs.columns, "lang_pred", "score", "rejected"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return map_batches(docs, step, schema)

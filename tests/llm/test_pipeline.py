@@ -67,6 +67,13 @@ def test_awkward_rows(spark, odd, empty):
         assert len(rows) <= df.count()
 
 
+def test_language_stage_without_languages(spark, odd, empty):
+    for df in (odd, empty):
+        assert corpus_pipeline.language_stage(spark, df, DATA).collect() == []
+    rows = langid.annotate(odd, langid.fit_on(odd)).collect()
+    assert len(rows) == odd.count() and all(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in rows)
+
+
 def test_mixing_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
