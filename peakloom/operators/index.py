@@ -23,8 +23,9 @@ def indexed_peaks(peaks: DataFrame, ppm: float = 20.0, seconds: float = 30.0) ->
 
 
 def cells(indexed: DataFrame) -> DataFrame:
-    """For each (window, block) its peaks as a list, duplicates kept, and their number."""
-    return indexed.groupBy("win_key", "block").agg(F.collect_list(F.struct("bin", "intensity")).alias("peaks"), F.count(F.lit(1)).alias("n_peaks"), F.count_distinct("bin").alias("n_bins"))
+    """For each (window, block) the number of its peaks, duplicates kept, of its distinct bins, and the summed intensity:
+    all combined before the shuffle, so that a crowded cell is no large row."""
+    return indexed.groupBy("win_key", "block").agg(F.count(F.lit(1)).alias("n_peaks"), F.count_distinct("bin").alias("n_bins"), F.sum(F.col("intensity").cast("double")).alias("intensity"))
 
 
 def cell_bitmaps(indexed: DataFrame) -> DataFrame:

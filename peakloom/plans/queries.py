@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import binning, chemistry, scoring
 from peakloom.operators import compare, digest, index, library, percolation, profile, rescore
 from peakloom.plans.proxies import DUCK_TRACES, all_proteins, duck_sql, proxy, traces
-from peakloom.streaming.index import start_index
+from peakloom.streaming.index import read_index, start_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,8 +184,7 @@ _INDEX = with_("peaks") + f", i AS (SELECT {KEY} AS win_key, {BLOCK} AS block, {
 @query("index_cells", _INDEX + " SELECT win_key, block, count(*) AS n_peaks, count(DISTINCT bin) AS n_bins, round(sum(intensity::DOUBLE), 3) AS intensity FROM i GROUP BY win_key, block")
 def index_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = index.cells(index.indexed_peaks(proxy(spark, sf_dir, "peaks")))
-    total = F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"].cast("double"))
-    return cells.select("win_key", "block", "n_peaks", "n_bins", F.round(total, 3).alias("intensity"))
+    return rounded(cells, "intensity", digits=3)
 
 
 @query("window_ids", with_("peaks") + f", f AS (SELECT {KEY} AS win_key, min(scan_index) AS first_scan FROM peaks GROUP BY 1) SELECT win_key, first_scan, row_number() OVER (ORDER BY first_scan, win_key) - 1 AS win_id FROM f")
@@ -516,4 +515,4 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"index_{uuid4().hex}"
     running = start_index(spark.sql(spark_sql("peaks"), events=events), name)
     running.awaitTermination()
-    return rounded(spark.table(name), "intensity", digits=3)
+    return rounded(read_index(spark, name), "intensity", digits=3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,10 +17,23 @@ def stream_cells(peaks: DataFrame, ppm: float = 20.0, seconds: float = 30.0) ->
     return at.groupBy("win_key", "block").agg(F.count(F.lit(1)).alias("n_peaks"), F.min("bin").alias("min_bin"), F.max("bin").alias("max_bin"), F.sum(F.col("intensity").cast("double")).alias("intensity"))
 
 
+def _summary(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stream-{name}-cells"
+
+
 def start_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 30.0) -> StreamingQuery:
-    """Run the stream over what there is now and stop: ``spark.table(name)`` is the finished index's summary."""
-    where = f"{shared_dir(peaks.sparkSession).rstrip('/')}/stream-{name}"
-    return stream_cells(peaks, ppm, seconds).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+    """Run the stream over what there is now and stop: ``read_index`` is the finished index's summary. The executors write
+    it as Parquet in the shared folder; no cell passes through the driver."""
+    spark = peaks.sparkSession
+    where, to = f"{shared_dir(spark).rstrip('/')}/stream-{name}", _summary(spark, name)
+    found = stream_cells(peaks, ppm, seconds)
+    spark.createDataFrame([], found.schema).write.mode("overwrite").parquet(to)  # what a stream without data leaves
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(to)
+    return found.writeStream.outputMode("complete").foreachBatch(write).queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+
+
+def read_index(spark: SparkSession, name: str) -> DataFrame:
+    return spark.read.parquet(_summary(spark, name))
 
 
 def windowed_cells(peaks: DataFrame, watermark: str = "60 seconds", block: str = "30 seconds") -> DataFrame:

@@ -206,6 +206,25 @@ def test_gather_and_traces(spark):
     assert [(r["fragment"], r["trace"]) for r in got] == [(1, [12.0, 2.0])]
 
 
+def test_cells_hold_no_lists(spark):
+    rows = [(1, 0, i % 50, 0.5, i) for i in range(20_000)] + [(2, 0, 7, 1.0, 0)]
+    got = index.cells(spark.createDataFrame(rows, "win_key bigint, block int, bin int, intensity float, scan_index bigint"))
+    assert not [f for f in got.schema if f.dataType.typeName() in ("array", "map")]
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 20_000, 50, 10_000.0), (2, 0, 1, 1, 1.0)]
+
+
+def test_stream_leaves_no_memory_table(spark, tmp_path):
+    from peakloom.streaming.index import read_index, start_index
+
+    schema = "mz double, intensity double, win_mz double, rt double, scan_index bigint"
+    spark.createDataFrame([(500.0, 2.0, 400.0, float(i), i) for i in range(60)], schema).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "none").mkdir()
+    for folder, want in (("in", [(40000, 0, 30, 60.0), (40000, 1, 30, 60.0)]), ("none", [])):
+        start_index(spark.readStream.schema(schema).parquet(str(tmp_path / folder)), f"cells_{folder}").awaitTermination()
+        assert not spark.catalog.tableExists(f"cells_{folder}")
+        assert sorted(tuple(r) for r in read_index(spark, f"cells_{folder}").select("win_key", "block", "n_peaks", "intensity").collect()) == want
+
+
 def test_windowed_stream(spark, tmp_path):
     from peakloom.streaming.index import windowed_cells
 
