@@ -410,6 +410,11 @@ def _mini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(f"substring({_MINI.format('')}, -14, 14)").alias("peptide")).distinct()
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cleaned names; ``_mini`` keeps the ends that its SQL asks for."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(_MINI.format("")).alias("peptide")).distinct()
+
+
 _DUCK_MINI = f"WITH p AS (SELECT DISTINCT right({_MINI.format(', ' + chr(39) + 'g' + chr(39))}, 14) AS peptide FROM part)"
 
 
@@ -430,8 +435,7 @@ def prefix_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("percolation")
 def percolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proteins = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("ordinal"), F.expr("regexp_replace(upper(p_name), '[^A-Z]+', '')").alias("sequence"))
-    return percolation.percolate(proteins, 5)
+    return percolation.percolate(all_proteins(spark, sf_dir), 5)
 
 
 _DUCK_MASS = "CASE c " + " ".join(f"WHEN '{r}' THEN {m!r}::DOUBLE" for r, m in chemistry.RESIDUES.items()) + " END"
@@ -495,7 +499,7 @@ def modx_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decoy_sequences")
 def decoy_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.decoy_sequences(_mini(spark, sf_dir))
+    return library.decoy_sequences(_whole(spark, sf_dir))
 
 
 @query("library_assembly")

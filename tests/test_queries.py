@@ -50,3 +50,15 @@ def test_library_of_long_documents(spark):
     assert all_proteins(spark, DATA).count() == 200 and long.count() == 80
     seen = {r[0] for r in QUERIES["library_assembly"](spark, DATA).select("PeptideSequence").collect()}
     assert seen & {r[0] for r in digest.tryptic_peptides(long).select("peptide").collect()} - {r[0] for r in digest.tryptic_peptides(proxy(spark, DATA, "proteins")).select("peptide").collect()}
+
+
+def test_decoys_of_whole_names(spark, tmp_path):
+    spark.createDataFrame([(1, "peptidesequence lake"), (2, "vanity peptidesequence lake")], "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    rows = QUERIES["decoy_sequences"](spark, str(tmp_path)).collect()
+    assert {r["peptide"] for r in rows} == {"PEPTIDESEQENCELAKEMCM", "VANITYPEPTIDESEQENCELAKEMCM"}
+    assert all(sorted(r["decoy"]) == sorted(r["peptide"]) for r in rows)
+
+
+def test_percolation_of_all_proteins(spark):
+    n = sum(max(0, len(r[0]) - k + 1) for r in all_proteins(spark, DATA).select("sequence").collect() for k in range(8, 13))
+    assert QUERIES["percolation"](spark, DATA).first()["n_peptides"] == n
