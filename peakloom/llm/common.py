@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch sent to a Python worker. Texts can be long, so batches are kept small.
+#: Rows that a step takes at once. Spark bounds an Arrow batch by bytes; texts grow in Python, so batches are cut again.
 BATCH_ROWS = 1000
 
 
@@ -28,13 +28,12 @@ def crc_mod(id_col: str, k: int) -> Column:
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """``step`` on each Arrow batch of ``df``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``step`` on ``df``, ``BATCH_ROWS`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield step(batch.slice(at, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 

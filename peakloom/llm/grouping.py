@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+#: A pointer that is still to be found.
+UNSET = -2
+
 
 def suffix_groups(s: list[int]) -> tuple[list[int], list[int]]:
     """For each suffix the first slot of its group in the array, and the nearest smaller suffix to its left (-1: none).
 
-    Groups begin as equal first symbols and are taken in descending order. When a group comes up its suffixes are
+    Symbols are whole numbers without wide gaps, as they are counted and not sorted. Groups begin as equal first symbols and are taken in descending order. When a group comes up its suffixes are
     final; each one's previous-smaller pointer leads to the suffix whose prefix ends where it begins. Those to which k
     of the group's suffixes point grow by k copies of the group's prefix, and go to a new group behind the rest of
     their old one, larger k behind smaller.
@@ -25,7 +28,9 @@ def suffix_groups(s: list[int]) -> tuple[list[int], list[int]]:
     for c in s:
         counts[c] += 1
     first, at = {}, 0
-    for c in sorted(counts):
+    for c in range(min(s, default=0), max(s, default=-1) + 1):
+        if c not in counts:
+            continue
         first[c], size[at] = at, counts[c]
         at += counts[c]
     group = [first[c] for c in s]
@@ -34,7 +39,7 @@ def suffix_groups(s: list[int]) -> tuple[list[int], list[int]]:
         k = fill[c]
         fill[c] = k + 1
         slots[k], slot_of[i] = i, k
-    prev = [-1] * n
+    prev = [UNSET] * n
     end = n
     while end:
         g = group[slots[end - 1]]
@@ -55,16 +60,24 @@ def suffix_groups(s: list[int]) -> tuple[list[int], list[int]]:
             end = g
             continue
         pointed: dict[int, int] = {}
-        for i in sorted(slots[g:end]):
-            p = i - 1
-            while p >= 0 and group[p] >= g:
-                p = prev[p]
-            prev[i] = p
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
+        for member in slots[g:end]:
+            # A pointer may lead over a member whose own pointer is still to be found: that one goes first.
+            waiting = [(member, member - 1)] if prev[member] == UNSET else []
+            while waiting:
+                i, p = waiting.pop()
+                while p >= 0 and group[p] >= g:
+                    if prev[p] == UNSET:
+                        waiting += [(i, p), (p, p - 1)]
+                        break
+                    p = prev[p]
+                else:
+                    prev[i] = p
+                    if p >= 0:
+                        pointed[p] = pointed.get(p, 0) + 1
         by_count: dict[int, list[int]] = defaultdict(list)
         for p, k in pointed.items():
             by_count[k].append(p)
+        # The counts add up to the group's size, so there are no more than its root's worth of different ones to sort.
         for k in sorted(by_count, reverse=True):
             moved: dict[int, list[int]] = defaultdict(list)
             for p in by_count[k]:

@@ -153,66 +153,73 @@ def _key(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
-def find_repeats(runs: DataFrame, length: int, block_bytes: int = 1 << 18, group_runs: int = 2000) -> DataFrame:
+RUN = "anchor bigint, run binary, place bigint, starts bigint, times bigint, data binary"
+
+
+def find_repeats(runs: DataFrame, often: DataFrame | None, length: int, block_bytes: int = 1 << 18, group_runs: int = 2000) -> DataFrame:
     """``run`` and ``found`` (intervals of repeated starts) from runs (anchor, run, place, starts, times, data).
 
-    Runs are dealt by anchor, equal ones meet there and are one with the sum of their ``times``; all starts of a run met
-    more than once are repeated. A task joins the distinct runs of several anchors to blocks of about ``block_bytes`` and
-    builds one suffix array for each. An anchor with more than ``group_runs`` distinct runs is not held in one task:
-    each of its strings is counted by its 128-bit hash over all tasks instead.
+    ``runs`` are of anchors with at most ``group_runs`` runs each, and are dealt by anchor. ``often`` has those of all
+    other anchors: they are dealt by anchor and run, so that equal ones become one with the sum of their ``times``
+    wherever they are many; anchors that then have few distinct runs join the others, and the rest, which no task could
+    hold, have each of their strings counted by its 128-bit hash over all tasks instead.
+
+    Equal runs that meet are one with the sum of their ``times``; all starts of a run met more than once are repeated. A
+    task joins the distinct runs of several anchors to blocks of about ``block_bytes`` and builds one suffix array for each.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, found, data, many):
-            return pa.record_batch([pa.array(ids, pa.binary()), pa.array(found, INTERVALS), pa.array(data, pa.binary()), pa.array(many, pa.int64())], names=["run", "found", "data", "starts"])
+        def out(ids, found):
+            return pa.record_batch([pa.array(ids, pa.binary()), pa.array(found, INTERVALS)], names=["run", "found"])
 
         def solve(block):
             starts = repeated_starts([(r[4], r[1], r[2]) for r in block], length)
             rows = [(r[0], intervals(s)) for r, s in zip(block, starts, strict=True) if len(s) and r[3] == 1]
-            return [out([r for r, _ in rows], [f for _, f in rows], [None] * len(rows), [0] * len(rows))] if rows else []
+            return [out([r for r, _ in rows], [f for _, f in rows])] if rows else []
 
         def copied(group):
             rows = [r for r in group if r[3] > 1]
-            return [out([r[0] for r in rows], [[{"a": 0, "b": r[2] - 1}] for r in rows], [None] * len(rows), [0] * len(rows))] if rows else []
+            return [out([r[0] for r in rows], [[{"a": 0, "b": r[2] - 1}] for r in rows])] if rows else []
 
-        def crowd(group):
-            return [out([r[0] for r in group], [None] * len(group), [r[4] for r in group], [r[2] for r in group])] if group else []
-
-        anchor, group, hot, block, size = None, [], False, [], 0
+        anchor, group, block, size = None, [], [], 0
 
         def ended():
-            """The anchor's group is whole, or the rest of a crowded one."""
+            """The anchor's group is whole."""
             nonlocal block, size
             yield from copied(group)
-            if hot:
-                yield from crowd(group)
-            elif len(group) > 1:
+            if len(group) > 1:
                 block += group
                 size += sum(len(r[4]) for r in group)
                 if size >= block_bytes:
                     yield from solve(block)
                     block, size = [], 0
 
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             for a, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if a != anchor:
                     yield from ended()
-                    anchor, group, hot = a, [], False
+                    anchor, group = a, []
                 if group and group[-1][0] == row[0]:
                     group[-1][3] += row[3]
-                    continue
-                if len(group) > (500 if hot else group_runs):
-                    hot = True
-                    yield from ended()
-                    group = []
-                group.append(row)
+                else:
+                    group.append(row)
         yield from ended()
         if block:
             yield from solve(block)
 
-    runs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    dealt = runs.select("anchor", "run", "place", "starts", "times", "data").repartition("anchor").sortWithinPartitions("anchor", "run")
-    searched = durable_table(dealt.mapInArrow(search, "run binary, found array<struct<a:bigint,b:bigint>>, data binary, starts bigint"), "repeats")
+    def dealt(these: DataFrame) -> DataFrame:
+        return these.repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(search, "run binary, found array<struct<a:bigint,b:bigint>>")
+
+    columns = ["anchor", "run", "place", "starts", "times", "data"]
+    if often is None:
+        return durable_table(dealt(runs.select(*columns)), "repeats")
+    once = often.groupBy("anchor", "run").agg(F.sum("times").alias("times"), F.first(F.struct("place", "starts", "data")).alias("r")).select("anchor", "run", "r.place", "r.starts", "times", "r.data")
+    once = durable_table(once, "often")
+    # The anchors of ``often`` that are still crowded, with their numbers of distinct runs.
+    crowds = durable_table(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_runs).select("anchor"), "crowds")
+    searched = durable_table(dealt(runs.select(*columns).union(once.join(crowds, "anchor", "left_anti").select(*columns))), "repeats")
+    crowded = once.join(crowds, "anchor", "left_semi")
+    copied = crowded.where("times > 1").select("run", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("starts") - 1).alias("b"))).alias("found"))
 
     def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
         runs, at, digest = [], [], []
@@ -222,11 +229,10 @@ def find_repeats(runs: DataFrame, length: int, block_bytes: int = 1 << 18, group
             digest += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(many)]
         return pa.record_batch([pa.array(runs, pa.binary()), pa.array(at, pa.int64()), pa.array(digest, pa.binary())], names=["run", "at", "digest"])
 
-    crowded = searched.where("data is not null")
     each = map_batches(crowded.select("run", "data", "starts"), strings, "run binary, at bigint, digest binary")
-    seen = each.groupBy("digest").agg(F.min(F.struct("run", "at")).alias("low"), F.max(F.struct("run", "at")).alias("high")).where("low <> high")
-    again = each.join(seen.select("digest"), "digest", "left_semi").select("run", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("found"))
-    return searched.where("data is null").select("run", "found").union(again)
+    seen = durable_table(each.groupBy("digest").agg(F.min(F.struct("run", "at")).alias("low"), F.max(F.struct("run", "at")).alias("high")).where("low <> high").select("digest"), "strings")
+    again = each.join(seen, "digest", "left_semi").select("run", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("found"))
+    return searched.union(copied).union(again)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, block_bytes: int = 1 << 18, group_runs: int = 2000, with_text: bool = False) -> DataFrame:
@@ -240,7 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. Every string's anchor is found (``anchor_runs``); runs of starts with one anchor go to a narrow table.
     2. Anchors that stand at one place only are dropped: minimum and maximum place by anchor, combined before the
-       shuffle. All starts of the rest are candidates, with no limit.
+       shuffle. All starts of the rest are candidates, with no limit. Anchors that stand in over ``group_runs`` places are
+       marked; no task gets all their runs.
     3. Candidate runs get their bytes; equal runs are combined before the shuffle, so copies of a passage cost one.
     4. ``find_repeats`` decides which strings of different runs are equal.
     5. Covered bytes are put together for each distinct text, and joined with its documents.
@@ -269,10 +276,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = sketched.agg(F.sum(F.size("runs"))).first()[0] or 0
     shared = durable_table(runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("anchor", "n"), "anchors")
     # Anchors with over a thousandth of all runs: a thousand at most. Their runs are told by a broadcast, not dealt by anchor.
-    frequent = F.broadcast(shared.where(F.col("n") > total / 1000).select("anchor"))
-    rare = runs.join(frequent, "anchor", "left_anti").join(shared.where(F.col("n") <= total / 1000), "anchor", "left_semi")
-    often = runs.join(frequent, "anchor", "left_semi")
-    candidates = durable_table(rare.union(often).groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p")).alias("runs")), "shared-anchors")
+    frequent = F.broadcast(shared.where(F.col("n") > total / 1000))
+    rare = runs.join(frequent.select("anchor"), "anchor", "left_anti").join(shared.where(F.col("n") <= total / 1000), "anchor")
+    told = rare.unionByName(runs.join(frequent, "anchor")).withColumn("often", F.col("n") > group_runs)
+    candidates = durable_table(told.groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p", "often")).alias("runs")), "shared-anchors")
     bits = source.sparkSession.sparkContext.broadcast(prefix_bits(candidates))
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -283,8 +290,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = texts.groupBy("key").agg(F.first("data").alias("data"))
     able = durable_table(distinct.join(candidates, "key").join(copies, "key"), "candidates")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs with their bytes; equal ones of a task are combined, up to a bound on what it holds."""
+    def cut(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[pa.RecordBatch]:
+        """Runs of anchors that stand in many places, or of the others, with their bytes; equal ones of a task are
+        combined, up to a bound on what it holds."""
         held: dict[tuple, list] = {}
         size = 0
 
@@ -293,25 +301,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             return pa.record_batch(cols, names=["anchor", "run", "place", "starts", "times", "data"])
 
-        for batch in batches:
-            for data, found, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for r in found:
-                    piece = data[r["s"] : r["e"] + length]
-                    k = (r["anchor"], _key(piece), r["p"] - r["s"], r["e"] - r["s"] + 1)
-                    if k in held:
-                        held[k][0] += n
-                    else:
-                        held[k] = [n, piece]
-                        size += len(piece)
-            if size > 1 << 25:
-                yield out()
-                held, size = {}, 0
+        for whole in batches:
+            for batch in (whole.slice(at, 200) for at in range(0, whole.num_rows, 200)):
+                for data, found, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    for r in found:
+                        if r["often"] != often:
+                            continue
+                        piece = data[r["s"] : r["e"] + length]
+                        k = (r["anchor"], _key(piece), r["p"] - r["s"], r["e"] - r["s"] + 1)
+                        if k in held:
+                            held[k][0] += n
+                        else:
+                            held[k] = [n, piece]
+                            size += len(piece)
+                if size > 1 << 25:
+                    yield out()
+                    held, size = {}, 0
         if held:
             yield out()
 
-    able.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    cuts = able.select("data", "runs", "copies").mapInArrow(cut, "anchor bigint, run binary, place bigint, starts bigint, times bigint, data binary")
-    searched = find_repeats(cuts, length, block_bytes, group_runs)
+    cuts = lambda often: able.select("data", "runs", "copies").mapInArrow(lambda batches: cut(batches, often), RUN)
+    crowds = shared.where(F.col("n") > group_runs).take(1)
+    searched = find_repeats(cuts(False), cuts(True) if crowds else None, length, block_bytes, group_runs)
     where = able.select("key", F.explode("runs").alias("r"), "data").select("key", F.col("r.s").cast("bigint").alias("s"), F.expr("substring(data, r.s + 1, r.e - r.s + {})".format(length)).alias("bytes"))
 
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
