@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from peakloom.plans.durable import durable
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key and in ``n`` how many rows of ``left`` have it.
+
+    Keys with over a ``share``-th of the ``rows`` of ``left`` are at most ``share``: their rows are told by a broadcast and
+    stay where they are, so that no task gets a key's rows all. The others are dealt by key.
+    """
+    heavy = F.broadcast(right.where(F.col("n") > rows / share).drop("n"))
+    light = right.where(F.col("n") <= rows / share).drop("n")
+    rest = left.join(heavy.select(key), key, "left_anti").join(light, key)
+    return rest.unionByName(left.join(heavy, key))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return lookup(both.where("v > u"), least, "u", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = lookup(down, least, "u", rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -26,17 +38,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Loops and repeated edges are allowed; rows with a null end are left out. An empty edge table gives an empty
     result. Each round is two joins on minima, so a node with very many neighbours costs map-side combined rows, not
-    pairs; rounds are kept by ``durable`` and stop when a checksum of the edge table no longer changes.
+    pairs, and its edges are not dealt to one task (``lookup``); rounds are kept by ``durable`` and stop when a checksum
+    of the edge table no longer changes.
     """
     loops = edges.where("u = v").select(F.col("u").alias("node")).distinct()
     current = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
-        current = durable(_small_star(_large_star(current)))
         mark = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break
         seen = mark
+        large = durable(_large_star(current, mark[0]))
+        current = durable(_small_star(large, mark[0]))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labelled = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
