@@ -27,6 +27,11 @@ def crc_mod(id_col: str, k: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % k
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """``step`` on ``df``, ``BATCH_ROWS`` rows at a time."""
 
@@ -43,25 +48,33 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sample_by(docs: DataFrame, class_col: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
-    """About ``per_class`` rows of each value of ``class_col``, chosen by a hash of the id.
+def sample_by(docs: DataFrame, class_col: str, per_class: int, id_col: str = "doc_id", most_classes: int = 256) -> DataFrame:
+    """About ``per_class`` rows of each of the ``most_classes`` most frequent values of ``class_col``, chosen by a hash of the id.
 
     Only a count for each class and the chosen rows move; the share of the hash's range that a class keeps follows
-    from its count, so the bound holds at any size (within sampling noise, and ``per_class`` rows at most by rank).
+    from its count, so the number of distinct ids is bounded at any size, within sampling noise. Rows that share an id
+    are chosen together: ``one_of_each`` bounds those.
     """
-    sizes = docs.groupBy(class_col).agg(F.count(F.lit(1)).alias("class_rows"))
+    sizes = docs.groupBy(class_col).agg(F.count(F.lit(1)).alias("class_rows")).orderBy(F.desc("class_rows"), class_col).limit(most_classes)
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     return docs.join(F.broadcast(sizes), class_col).where(u * F.col("class_rows") < per_class).drop("class_rows")
 
 
+def one_of_each(rows: DataFrame, id_col: str) -> DataFrame:
+    """The least row of each id: a minimum, combined before the shuffle."""
+    rest = [c for c in rows.columns if c != id_col]
+    return rows.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("r")).select(id_col, "r.*")
+
+
 def labelled_sample(docs: DataFrame, labels_df: DataFrame, label: str, per_class: int, allowed: Column, id_col: str = "doc_id") -> list:
     """Rows (id, label, text) for fitting: about ``per_class`` of each class, of ids that ``allowed`` lets be learned from.
 
-    Ids are chosen from the narrow label table first; only the chosen ones, a bounded number, are joined with texts.
+    Ids are chosen from the narrow label table first; only the chosen ones, a bounded number, are joined with texts. Of
+    several documents with one id the least text is taken.
     """
     known = labels_df.where(allowed & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     chosen = sample_by(known, "label", per_class, id_col)
-    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).orderBy(id_col, "text").collect()
+    return one_of_each(docs.select(id_col, "text").join(F.broadcast(chosen), id_col), id_col).orderBy(id_col).collect()
 
 
 def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:

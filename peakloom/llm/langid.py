@@ -13,13 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.common import crc_mod, documents, map_batches, sample_by
+from peakloom.llm.common import crc_mod, documents, map_batches, one_of_each, sample_by
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and some numbers that are none (fractions, Roman numerals): each match is asked.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 #: Primes that spread n-grams over the buckets.
 SPREAD = (2654435761, 2246822519, 3266489917, 668265263)
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def subwords(text: str, buckets: int, orders: tuple[int, ...] = (2, 3, 4)) -> np.ndarray:
     """Bucket of every byte n-gram of the lower-cased text, each white space taken as one space on either end too."""
     b = np.frombuffer(b" " + " ".join(text.lower().split()).encode("utf-8", "replace") + b" ", np.uint8).astype(np.uint32)
@@ -50,7 +55,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         """A language and its calibrated probability; ``und`` and 0 for a text that is null or has no letter,
         and for any text where the model has no languages."""
-        if not self.langs or not text or not LETTER.search(text):
+        if not self.langs or not text or not has_letter(text):
             return "und", 0.0
         x = self.logits(text) / self.temperature
         p = np.exp(x - x.max())
@@ -62,8 +67,9 @@ class LanguageModel:
 def fit(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7, quantile: float = 0.002) -> LanguageModel:
     """Stochastic gradient descent over documents; a fifth of them calibrates the temperature and the rejection.
 
-    ``reject_below`` is the probability under which at most ``quantile`` of the rightly predicted held documents fall,
-    halved, so that clean documents of a known language stay.
+    ``reject_below`` is calibrated on the held documents from both sides: at most ``quantile`` of the rightly predicted ones
+    fall below it, so that clean documents of a known language stay, and it is no higher than needed to have half of the
+    same documents with their characters shuffled below it.
     """
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], int)
@@ -103,14 +109,16 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 1
 
         model.temperature = min((2.0 ** (k / 2) for k in range(-6, 7)), key=loss)
         right = [p for i in usable for lang, p in [model.predict(texts[i])] if lang == names[y[i]]]
-        model.reject_below = float(np.quantile(right, quantile)) / 2 if right else 0.0
+        garbled = [model.predict("".join(rng.permutation(list(texts[i]))))[1] for i in usable]
+        model.reject_below = float(min(np.quantile(right, quantile), np.median(garbled))) if right else 0.0
     return model
 
 
-def fit_on(docs: DataFrame, per_lang: int = 400, id_col: str = "doc_id", **options) -> LanguageModel:
-    """A model fitted on the driver on a bounded sample: about ``per_lang`` documents of each language."""
+def fit_on(docs: DataFrame, per_lang: int = 400, most_langs: int = 256, id_col: str = "doc_id", **options) -> LanguageModel:
+    """A model fitted on the driver on a bounded sample: about ``per_lang`` documents of each language, one of each id,
+    and the ``most_langs`` most frequent languages."""
     known = docs.where((crc_mod(id_col, 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "lang", "text")
-    rows = sample_by(known, "lang", per_lang, id_col).orderBy(id_col).collect()
+    rows = one_of_each(sample_by(known, "lang", per_lang, id_col, most_langs), id_col).orderBy(id_col).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
@@ -151,4 +159,5 @@ def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return identify(docs, fit_on(docs)).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    found = identify(docs, fit_on(docs)).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")

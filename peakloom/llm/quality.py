@@ -171,4 +171,5 @@ def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_co
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = fit_on(docs, labels(spark, sf_dir))
-    return score_quality(docs, net).withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    scored = score_quality(docs, net).withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    return scored.select("doc_id", "held_out", "score", "predicted")

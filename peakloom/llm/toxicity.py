@@ -183,4 +183,5 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_on(docs, labels(spark, sf_dir))
-    return score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == 0).drop("passages")
+    scored = score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    return scored.select("doc_id", "held_out", "score", "predicted")
