@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from math import exp, log
@@ -9,7 +10,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import documents
+from peakloom.llm.common import crc_mod, documents, let
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Leading runs are possessive and begin at a run's start or where the last match ended, which finds
@@ -23,23 +24,54 @@ BASE = {
 }
 #: What a text must hold to have a match that passes: one quick test, after which most texts are done.
 _HINT = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: High-recall candidates: the base forms and their usual disguises.
+#: High-recall candidates: the base forms, their usual disguises, and much that only looks like them.
 _AT, _DOT = r"(?:@|\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?|\x20(?i:at)\x20)", r"(?:\.|\x20?[(\[{]\x20?(?i:dot)\x20?[)\]}]\x20?|\x20(?i:dot)\x20)"
 CANDIDATES = {
     "email": rf"(?<!{_MAIL}){_MAIL}++{_AT}{_DOM}++(?:{_DOT}{_DOM}++){{1,6}}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/\x{A0}-]{0,2}[0-9]{2,6}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20()./\x{A0}-]{1,2}[0-9]{2,5}){2,4}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/\xA0-]{0,2}[0-9]{2,6}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20()./\xA0-]{1,2}[0-9]{2,5}){2,4}(?![0-9])",
 }
 _CANDIDATE_HINT = {
     "email": r"@[A-Za-z0-9-]|[\x20(\[{](?i:at)[\x20)\]}]",
     "ip": r"[0-9](?:\.|\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}(?:\.|\[\.\]|\(\.\)|\x20\.\x20)[0-9]",
-    "card": r"[0-9]{4}[\x20._/\x{A0}-]{0,2}[0-9]{2,6}[\x20._/\x{A0}-]{0,2}[0-9]{2}",
-    "phone": r"[0-9]\)?[\x20()./\x{A0}-]{1,2}[0-9]{2,5}[\x20()./\x{A0}-]{1,2}[0-9]{2}",
+    "card": r"[0-9]{4}[\x20._/\xA0-]{0,2}[0-9]{2,6}[\x20._/\xA0-]{0,2}[0-9]{2}",
+    "phone": r"[0-9]\)?[\x20()./\xA0-]{1,2}[0-9]{2,5}[\x20()./\xA0-]{1,2}[0-9]{2}",
+}
+#: Words shortly in front of a value of the kind.
+CONTEXT = {
+    "email": r"(?i)(mail|write to|contact|kontakt|schreib|correo|courriel|address|adress|direcc)[^\n]{0,24}$",
+    "ip": r"(?i)(\bip\b|ipv4|host|server|address|adress|direcc|login|gateway)[^\n]{0,24}$",
+    "card": r"(?i)(card|visa|master|kart|tarjet|carte|credit|kredit|amex)[^\n]{0,24}$",
+    "phone": r"(?i)(tel|phone|fax|mobil|call|ring|anruf|handy|llam|appel|whatsapp)[^\n]{0,24}$",
+}
+#: Forms that nobody writes by chance: the at and the dots of an address in brackets, four groups of four digits.
+DELIBERATE = {
+    "email": r"^[^@]*[(\[{]\x20?(?i:at)\x20?[)\]}]",
+    "ip": r"\[\.\]|\(\.\)",
+    "card": r"^[0-9]{4}(?:[._/\xA0-]{1,2}[0-9]{4}){3}$",
+    "phone": r"^(?:\+|00)[0-9]{1,3}[\x20(]",
 }
-CONTEXT = r"(?i)(mail|tel|phone|fax|mobil|call|contact|card|visa|master|kart|tarjet|carte|address|adress|direcc|\bip\b|host|server)[^\n]{0,24}$"
 #: Values that each feature of a candidate takes, 0 up to this.
-FEATURES = {"kind": 4, "digits": 6, "gaps": 4, "left": 4, "right": 4, "context": 2, "canonical": 2, "lead": 3}
+FEATURES = {"kind": 4, "form": 3, "digits": 6, "gaps": 4, "left": 4, "right": 4, "context": 2, "tail": 3, "lead": 3}
+SPAN = "struct<start:int,kind:int,stop:int>"
+#: Items that one fold takes; see ``scan``.
+BLOCK = 64
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
+    """All that ``step(state, item)``, a struct of the next state ``s`` and an array ``o`` of type ``out``, gives on the way over
+    ``items``. Arrays grow by copies, so blocks are folded apart and joined in the end: linear in all practical numbers."""
+    none, several = F.array().cast(f"array<{out}>"), F.array().cast(f"array<array<{out}>>")
+
+    def fold(block: Column, s: Column) -> Column:
+        grow = lambda acc, x: let(step(acc["s"], x), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], r["o"]).alias("o")))
+        return F.aggregate(block, F.struct(s.alias("s"), none.alias("o")), grow)
+
+    join = lambda acc, b: let(fold(b, acc["s"]), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(x) - 1, 6)), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+    over = lambda x: F.flatten(F.aggregate(cut(x), F.struct(state.alias("s"), several.alias("o")), join)["o"])
+    return let(items, lambda x: F.when(F.size(x) > 0, over(x)).otherwise(none))
 
 
 def found_spans(text: Column, pattern: str, hint: str) -> Column:
@@ -47,19 +79,20 @@ def found_spans(text: Column, pattern: str, hint: str) -> Column:
 
     Splitting at the pattern gives what lies between the matches; lengths add up to positions.
     """
-    kind = "array<struct<start:int,stop:int,value:string,left:string,right:string>>"
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    kind = "struct<start:int,stop:int,value:string,left:string,right:string>"
+
+    def paired(hits: Column, between: Column) -> Column:
+        beside = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("before"), F.slice(between, F.lit(2), F.size(hits)).alias("after"))
+        return F.zip_with(hits, beside, lambda v, b: F.struct(v.alias("value"), b["before"].alias("before"), b["after"].alias("after")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["before"])
         stop = start + F.length(x["value"])
         span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.substring(x["before"], -40, 40).alias("left"), F.substring(x["after"], 1, 1).alias("right"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(stop.alias("s"), F.array(span).alias("o"))
 
-    pairs = F.zip_with(hits, F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("before"), F.slice(between, F.lit(2), F.size(hits)).alias("after")), lambda v, b: F.struct(v.alias("value"), b["before"].alias("before"), b["after"].alias("after")))
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(kind))
+    pairs = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: let(F.split(text, pattern, -1), lambda b: paired(h, b)))
+    return F.when(text.rlike(hint), scan(pairs, F.lit(0), step, kind)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def digits(value: Column) -> Column:
@@ -77,7 +110,7 @@ def luhn(number: Column) -> Column:
 
 
 def valid(kind: str, value: Column) -> Column:
-    """The contract's test of a match; disguises are tested by their digits."""
+    """The test of a base match; disguises are tested by their digits."""
     if kind == "email":
         return F.lit(True)
     d = digits(value)
@@ -104,33 +137,45 @@ def char_class(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")).rlike(r"^\s*$"), 0).when(c.rlike("[0-9]"), 3).when(c.rlike(r"\p{L}"), 2).otherwise(1)
 
 
-def candidates(text: Column) -> Column:
-    """Array of candidates with their place, whether they pass their kind's test, and binned features."""
+def plausible(kind: str, value: Column) -> Column:
+    """What a candidate must be to be added: an address ends in a name of two letters or more, the others pass ``valid``."""
+    return value.rlike(r"(?:\.|[dD][oO][tT][\x20)\]}]{1,2})[A-Za-z]{2,}$") if kind == "email" else valid(kind, value)
+
+
+def described(k: int, kind: str, s: Column) -> Column:
+    """A candidate's binned features."""
+    v = s["value"]
+    n, gaps = F.length(digits(v)), F.length(F.regexp_replace(v, r"[A-Za-z0-9]+", ""))
+    features = {
+        "kind": F.lit(k),
+        "form": F.when(v.rlike("^(?:" + BASE[kind].replace(r"\G|", "") + ")$"), 0).when(v.rlike(DELIBERATE[kind]), 1).otherwise(2),
+        "digits": F.when(n == 0, 0).when(n < 10, 1).when(n < 14, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
+        "gaps": F.when(gaps == 0, 0).when(gaps < 3, 1).when(gaps < 5, 2).otherwise(3),
+        "left": char_class(F.substring(s["left"], -1, 1)),
+        "right": char_class(s["right"]),
+        "context": s["left"].rlike(CONTEXT[kind]).cast("int"),
+        "tail": F.when(v.rlike("[A-Za-z]{2}$"), 2).when(v.rlike("[A-Za-z]$"), 1).otherwise(0),
+        "lead": F.when(v.rlike(r"^\+"), 2).when(v.rlike(r"^[(0]"), 1).otherwise(0),
+    }
+    return F.struct(*(x.cast("int").alias(f) for f, x in features.items()))
+
+
+def evidence(text: Column) -> Column:
+    """For every candidate its features and whether it is taken for personal data in fitting: it is plausible, and written in
+    the base form, in a form that is no accident, or behind a word that announces it. All others are its look-alikes:
+    numbers that fail their kind's test, dates and amounts, 'at' in a sentence."""
 
     def of(k: int, kind: str) -> Column:
-        def described(s: Column) -> Column:
-            v, n = s["value"], F.length(digits(s["value"]))
-            gaps = F.length(F.regexp_replace(v, r"[A-Za-z0-9]+", ""))
-            features = {
-                "kind": F.lit(k),
-                "digits": F.when(n == 0, 0).when(n < 10, 1).when(n < 14, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
-                "gaps": F.when(gaps == 0, 0).when(gaps < 3, 1).when(gaps < 5, 2).otherwise(3),
-                "left": char_class(F.substring(s["left"], -1, 1)),
-                "right": char_class(s["right"]),
-                "context": s["left"].rlike(CONTEXT).cast("int"),
-                "canonical": v.rlike("^(?:" + BASE[kind].replace(r"\G|", "") + ")$").cast("int"),
-                "lead": F.when(v.rlike(r"^\+"), 2).when(v.rlike(r"^[(0]"), 1).otherwise(0),
-            }
-            return F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop"), valid(kind, v).alias("valid"), F.struct(*(x.cast("int").alias(f) for f, x in features.items())).alias("f"))
-
-        return F.transform(found_spans(text, CANDIDATES[kind], _CANDIDATE_HINT[kind]), described)
+        told = lambda f: (f["form"] < 2) | (f["context"] == 1)
+        one = lambda s: let(described(k, kind, s), lambda f: F.struct(f.alias("f"), (told(f) & plausible(kind, s["value"])).cast("int").alias("y")))
+        return F.transform(found_spans(text, CANDIDATES[kind], _CANDIDATE_HINT[kind]), one)
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Up to two levels of tests ``feature <= value``; leaves add to the log-odds."""
+    """Tests ``feature <= value``, a few levels deep; leaves add to the log-odds."""
 
     feature: str | None
     value: int
@@ -148,20 +193,24 @@ class Tree:
 
 @dataclass(frozen=True)
 class SpanModel:
+    """Boosted trees, and for each kind the least score at which a candidate is added (infinite: never)."""
+
     start: float
     trees: tuple[Tree, ...]
-    threshold: float
+    thresholds: tuple[float, ...]
 
     def score(self, f: Column) -> Column:
         return reduce(lambda a, t: a + t.column(f), self.trees, F.lit(float(self.start)))
 
+    def of(self, row: dict[str, int]) -> float:
+        return reduce(lambda a, t: a + t.of(row), self.trees, float(self.start))
 
-def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 24, rate: float = 0.3, depth: int = 3, ridge: float = 5.0, precision: float = 0.95) -> SpanModel:
-    """Newton boosting on a table of (features, passing, failing) counts, one row for each combination met.
 
-    The threshold is the least score from which on the table's candidates pass at ``precision``, plus a margin of the
-    table's ridge: with no evidence nothing is selected.
-    """
+Cell = tuple[dict[str, int], float, float]
+
+
+def boost(cells: list[Cell], rounds: int = 24, rate: float = 0.3, depth: int = 3, ridge: float = 5.0) -> tuple[float, tuple[Tree, ...]]:
+    """Newton boosting on a table of (features, personal, look-alike) counts, one row for each combination met."""
     total = [sum(p for _, p, _ in cells), sum(n for _, _, n in cells)]
     start = log((total[0] + 1) / (total[1] + 1))
     score = [start] * len(cells)
@@ -192,43 +241,88 @@ def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 24, ra
             break
         trees.append(tree)
         score = [s + tree.of(c[0]) for s, c in zip(score, cells, strict=True)]
-    threshold, passed, failed = float("inf"), 0.0, ridge * (1 - precision)
-    for s, (_, p, n) in sorted(zip(score, cells, strict=True), key=lambda x: -x[0]):
-        passed, failed = passed + p, failed + n
-        if passed >= precision * (passed + failed):
-            threshold = s - 1e-9
-    return SpanModel(start, tuple(trees), threshold)
+    return start, tuple(trees)
+
+
+def calibrate(model: SpanModel, cells: list[Cell], precision: float = 0.95, ridge: float = 5.0) -> SpanModel:
+    """For each kind the least score from which on the candidates of ``cells`` are personal data at ``precision``, with a margin
+    of look-alikes that stands for those not met: without evidence nothing is added."""
+    least = []
+    for k in range(len(KINDS)):
+        threshold, passed, failed = float("inf"), 0.0, ridge * (1 - precision)
+        by_score = sorted(((model.of(f), p, n) for f, p, n in cells if f["kind"] == k), key=lambda x: -x[0])
+        for i, (s, p, n) in enumerate(by_score):
+            passed, failed = passed + p, failed + n
+            whole = i + 1 == len(by_score) or by_score[i + 1][0] < s - 1e-9
+            if whole and passed >= precision * (passed + failed):
+                threshold = s - 1e-9
+        least.append(threshold)
+    return SpanModel(model.start, model.trees, tuple(least))
+
+
+def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held: int = 5, enough: int = 20, precision: float = 0.95, **options) -> SpanModel:
+    """Boosted trees over every candidate of every document; one of ``held`` ids, by crc32, only sets the thresholds.
+
+    Spark counts, for each combination of the few binned features, the candidates with evidence for them and their
+    look-alikes (``evidence``); only this table, whose size the bins bound, comes to the driver. A kind with fewer than
+    ``enough`` held candidates is calibrated on all.
+    """
+    apart = (crc_mod(id_col, held) == 0).alias("held")
+    each = docs.select(apart, F.explode(evidence(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
+    counted = each.groupBy("held", "c.f").agg(F.sum("c.y").alias("p"), F.sum(1 - F.col("c.y")).alias("n")).collect()
+    cells = sorted(((bool(r["held"]), r["f"].asDict(), float(r["p"]), float(r["n"])) for r in counted), key=lambda x: (x[0], tuple(x[1].values())))
+    learned, kept = ([c[1:] for c in cells if c[0] == h] for h in (False, True))
+    few = {k for k in range(len(KINDS)) if sum(p + n for f, p, n in kept if f["kind"] == k) < enough}
+    shown = kept + [c for c in learned if c[0]["kind"] in few]
+    return calibrate(SpanModel(*boost(learned, **options), (float("inf"),) * len(KINDS)), shown, precision)
 
 
-def fit_on(docs: DataFrame, text_col: str = "text", **options) -> SpanModel:
-    """Boosted trees over every candidate of every document.
+def added_spans(text: Column, base: Column, model: SpanModel) -> Column:
+    """Candidates that are plausible, reach their kind's threshold, and overlap no base span; of two that overlap the one
+    with the higher score stays (ties: the earlier, then the longer). One sweep in order of start."""
+    none = F.array().cast("array<struct<start:int,after:int,cost:double,stop:int,kind:int>>")
 
-    Spark counts, for each combination of the few binned features, how many candidates pass their kind's test (check
-    digit, range, number of digits) and how many fail; only this table, whose size the bins bound, comes to the driver.
-    """
-    each = docs.select(F.explode(candidates(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
-    counted = each.groupBy("c.f").agg(F.sum(F.col("c.valid").cast("int")).alias("p"), F.sum(1 - F.col("c.valid").cast("int")).alias("n")).collect()
-    return boost(sorted(((r["f"].asDict(), float(r["p"]), float(r["n"])) for r in counted), key=lambda x: tuple(x[0].values())), **options)
+    def of(k: int, kind: str) -> Column:
+        if model.thresholds[k] == float("inf"):
+            return none
+        scored = F.transform(found_spans(text, CANDIDATES[kind], _CANDIDATE_HINT[kind]), lambda s: let(described(k, kind, s), lambda f: F.struct(s.alias("s"), (-model.score(f)).alias("cost"))))
+        able = F.filter(scored, lambda c: (c["cost"] <= -model.thresholds[k]) & plausible(kind, c["s"]["value"]))
+        return F.transform(able, lambda c: F.struct(c["s"]["start"].alias("start"), F.lit(1).alias("after"), c["cost"].alias("cost"), c["s"]["stop"].alias("stop"), F.lit(k).alias("kind")))
+
+    def item(start: Column, stop: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(0).alias("after"), F.lit(0.0).alias("cost"), stop.alias("stop"), F.lit(-1).alias("kind"))
+
+    end = F.lit((1 << 31) - 1)
+    fixed = F.concat(F.transform(base, lambda b: item(b["start"], b["stop"])), F.array(item(end, end)))
+    nothing = item(F.lit(0), F.lit(-1))
+
+    def step(s: Column, x: Column) -> Column:
+        p, clear = s["p"], F.array().cast(f"array<{SPAN}>")
+        out = F.when(p["stop"] >= 0, F.array(F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["stop"].alias("stop")))).otherwise(clear)
+        state = lambda until, p: F.struct(until.alias("until"), p.alias("p"))
+        is_base, meets = x["after"] == 0, x["start"] < p["stop"]
+        until = F.when(is_base, F.greatest(s["until"], x["stop"])).otherwise(s["until"])
+        blocked = ~is_base & (x["start"] < s["until"])
+        better = F.when(x["cost"] < p["cost"], x).otherwise(p)
+        pending = F.when(is_base, nothing).when(blocked, p).when(meets, better).otherwise(x)
+        emitted = F.when(blocked | meets, clear).otherwise(out)
+        return F.struct(state(until, pending).alias("s"), emitted.alias("o"))
+
+    first = F.struct(F.lit(0).alias("until"), nothing.alias("p"))
+    sweep = lambda able: F.when(F.size(able) > 0, scan(F.array_sort(F.concat(fixed, able)), first, step, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return let(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))), sweep)
 
 
 def find(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind number, stop), by start and kind.
 
-    ``spans`` holds all base spans and every further candidate that reaches the model's threshold, passes its kind's
-    test and overlaps neither a base span nor a candidate with a higher score (ties: the earlier, then the longer).
-    Null texts are empty and have none. Columns of ``docs`` with these names are replaced; rows are independent.
+    ``spans`` holds all base spans and the ``added_spans``. Null texts are empty and have none; very long texts are
+    searched whole, in time linear in their matches. Columns of ``docs`` with these names are replaced; rows are
+    independent, repeated ones give equal results, and an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("base", base_spans(text))
-    scored = F.transform(candidates(text), lambda c: F.struct((-model.score(c["f"])).alias("cost"), c["start"].alias("start"), (-c["stop"]).alias("till"), c["kind"].alias("kind"), c["valid"].alias("valid")))
-    able = F.filter(scored, lambda c: c["valid"] & (c["cost"] <= -model.threshold)) if model.threshold != float("inf") else F.slice(scored, 1, 0)
-    out = out.withColumn("__able", F.array_sort(able))
-    span = "array<struct<start:int,kind:int,stop:int>>"
-    apart = lambda a, b: (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
-    as_span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), (-c["till"]).alias("stop"))
-    free = F.filter(F.transform("__able", as_span), lambda c: F.forall("base", lambda b: apart(b, c)))
-    added = F.aggregate(free, F.array().cast(span), lambda acc, c: F.when(F.forall(acc, lambda b: apart(b, c)), F.concat(acc, F.array(c))).otherwise(acc))
-    return out.withColumn("spans", F.array_sort(F.concat("base", added))).drop("__able")
+    return out.withColumn("spans", F.array_sort(F.concat("base", added_spans(text, F.col("base"), model))))
 
 
 def listed(spans: str) -> Column:
@@ -237,27 +331,44 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in brackets; spans that overlap go as one, by the first's kind."""
-    found = find(docs, model, id_col, text_col)
-    merged = "array<struct<start:int,kind:int,stop:int>>"
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by its kind in brackets; spans that overlap go as one, by the first's kind."""
+    end = F.lit((1 << 31) - 1)
+    span = lambda start, kind, stop: F.struct(start.alias("start"), kind.alias("kind"), stop.alias("stop"))
 
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        overlaps = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > s["start"])
-        return F.when(overlaps, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+    def step(p: Column, x: Column) -> Column:
+        meets = x["start"] < p["stop"]
+        wider = span(p["start"], p["kind"], F.greatest(p["stop"], x["stop"]))
+        out = F.when(meets | (p["stop"] < 0), F.array().cast(f"array<{SPAN}>")).otherwise(F.array(p))
+        return F.struct(F.when(meets, wider).otherwise(x).alias("s"), out.alias("o"))
 
-    found = found.withColumn("__m", F.aggregate("spans", F.array().cast(merged), join))
+    merged = scan(F.concat(spans, F.array(span(end, F.lit(0), end))), span(F.lit(-1), F.lit(0), F.lit(-1)), step, SPAN)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("__m", i - 1)["stop"], F.lit(0))
-        return F.concat(F.substring(F.col(text_col), before + 1, s["start"] - before), F.get(marks, s["kind"]))
+    def rebuilt(cut: Column, m: Column) -> Column:
+        # A place is found through stretches of fixed length, not by counting from the text's beginning.
+        def part(a: Column, n: Column) -> Column:
+            i = F.shiftright(a, 8)
+            within = F.array_join(F.slice(cut, i + 1, F.shiftright(a + n, 8) - i + 1), "")
+            return F.when(n > 0, F.substring(within, a - i * 256 + 1, n)).otherwise(F.lit(""))
+
+        behind = lambda i: F.coalesce(F.get(m, i - 1)["stop"], F.lit(0))
+        pieces = F.transform(m, lambda s, i: F.concat(part(behind(i), s["start"] - behind(i)), F.get(marks, s["kind"])))
+        return F.concat(F.array_join(pieces, ""), part(behind(F.size(m)), F.length(text) - behind(F.size(m))))
 
-    tail = F.substring(F.col(text_col), F.coalesce(F.try_element_at("__m", F.lit(-1))["stop"], F.lit(0)) + 1, F.length(text_col))
-    clean = F.when(F.size("__m") > 0, F.concat(F.array_join(F.transform("__m", piece), ""), tail)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    stretches = F.regexp_extract_all(text, F.lit("(?s).{1,256}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(stretches, lambda cut: let(merged, lambda m: rebuilt(cut, m)))).otherwise(text)
+
+
+def redact(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of its text (``find``) replaced by its kind in brackets.
+
+    Null texts stay null; empty and very long ones are handled as ``find`` does; other columns, whatever their names, are
+    carried unread; repeated rows stay, and an empty table gives an empty result.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    spans = let(base_spans(text), lambda base: F.array_sort(F.concat(base, added_spans(text, base, model))))
+    return docs.withColumn(text_col, let(spans, lambda s: redacted(F.col(text_col), s)))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
