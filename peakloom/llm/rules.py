@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import documents
+from peakloom.llm.common import documents, let
 
 #: A line made of one of these has no sentence of its own.
 NAVIGATION = (
-    r"(?i)^\W*(home|menu|search|log ?in|log ?out|sign ?(in|up)|register|next|previous|back|share|subscribe|sitemap|contact( us)?"
+    r"(?i)^\W*+(home|menu|search|log ?in|log ?out|sign ?(in|up)|register|next|previous|back|share|subscribe|sitemap|contact( us)?"
     r"|about( us)?|skip to content|read more|click here|cart|checkout|print|download|english|deutsch|español|français)"
-    r"(\W+(home|menu|search|log ?in|log ?out|sign ?(in|up)|register|next|previous|back|share|subscribe|sitemap|contact|about"
-    r"|us|more|here|cart|checkout|print|download|english|deutsch|español|français))*\W*$"
+    r"(?:\W++(home|menu|search|log ?in|log ?out|sign ?(in|up)|register|next|previous|back|share|subscribe|sitemap|contact|about"
+    r"|us|more|here|cart|checkout|print|download|english|deutsch|español|français))*+\W*+$"
 )
+#: What a text must hold, in lower case, for a line of boilerplate: plain searches, after which most texts are done.
+BOILERPLATE_HINT = (
+    "all rights reserved", "copyright", "terms of", "terms and conditions", "privacy policy", "cookie", "powered by", "licensed", "lorem ipsum",
+    "enable javascript", "unsubscribe", "alle rechte vorbehalten", "todos los derechos reservados", "tous droits r",
+)
 BOILERPLATE = (
-    r"(?i)(all rights reserved|copyright (©|\(c\)|\d{4})|terms (of (use|service)|and conditions)|privacy policy|cookie(s| policy)"
+    r"(?iu)(all rights reserved|copyright (©|\(c\)|\d{4})|terms (of (use|service)|and conditions)|privacy policy|cookie(s| policy)"
     r"|powered by|licensed under|this work is licensed|lorem ipsum|enable javascript|unsubscribe|alle rechte vorbehalten"
     r"|todos los derechos reservados|tous droits réservés)"
 )
+#: An end of a sentence, with what may close it.
+END = r"[.!?\x{2026}:;\x{3002}\x{FF01}\x{FF1F}][\x22\x27)\]\x{BB}\x{201C}\x{201D}\x{2019}]*$"
+BULLET = r"^[\x20\x09]*(?:[-*+\x{2022}\x{25CF}\x{25AA}\x{2023}\x{2013}\x{00B7}]|[0-9]{1,3}[.)])[\x20\x09]"
+#: Fewer words than this make no sentence without an end.
+SCRAP = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,4}$"
 WINDOW = 5
 
 
@@ -27,22 +39,30 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def letters(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+def line_fails(line: Column, hinted: Column) -> Column:
+    """Whether a line with a word is removed, whatever its length.
+
+    Punctuation: it is cut off by three dots, or has no end of a sentence and begins as a list's item or has fewer than
+    five words. Navigation: it has nothing but menu words, or three bars. Boilerplate: it has a legal or technical
+    phrase (asked only where the text is ``hinted``). And lines that are hardly letters, mostly symbols, or all capitals.
+    """
 
+    def judged(trimmed: Column) -> Column:
+        packed = F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")
+        return let(
+            F.struct(packed.alias("p"), trimmed.rlike(END).alias("ended")),
+            lambda x: (~x["ended"] & (trimmed.rlike(SCRAP) | line.rlike(BULLET)))
+            | trimmed.endswith("...")
+            | trimmed.endswith("\u2026")
+            | (hinted & line.rlike(BOILERPLATE))
+            | (2 * F.length(F.regexp_replace(x["p"], r"[^\p{L}]+", "")) < F.length(x["p"]))
+            | (8 * F.length(F.regexp_replace(x["p"], r"[^#*$%&|<>{}\[\]=\\^~_!]+", "")) > F.length(x["p"]))
+            | x["p"].rlike(r"\|[^|]*+\|[^|]*+\|")
+            | ((F.length(x["p"]) > 3) & ~x["p"].rlike(r"\p{Ll}") & x["p"].rlike(r"\p{Lu}"))
+            | line.rlike(NAVIGATION),
+        )
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word is removed: navigation or boilerplate words, hardly any letters, mostly symbols or bars."""
-    packed = F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")
-    size = F.length(packed)
-    symbols = F.length(F.regexp_replace(packed, r"[^#*$%&|<>{}\[\]=\\^~_!]+", ""))
-    return (
-        ((F.length(line) <= 200) & (line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)))
-        | (2 * letters(packed) < size)
-        | (8 * symbols > size)
-        | (F.length(F.regexp_replace(packed, r"[^|]+", "")) >= 3)
-        | ((size > 3) & (F.upper(packed) == packed) & (F.lower(packed) != packed))
-    )
+    return let(F.regexp_replace(line, r"[\x20\x09-\x0D]++$", ""), judged)
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.5, few_words: int = 10, repeat_percent: int = 20) -> DataFrame:
@@ -59,8 +79,8 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(id_col, text.alias("text"))
     base = base.withColumn("words", words_of(F.col("text"))).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("words")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    window = F.transform(starts, lambda i: F.xxhash64(*(F.try_element_at(F.col("hashes"), i + k) for k in range(WINDOW))))
+    starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
+    window = F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col("hashes"), i + k) for k in range(WINDOW))))
     base = base.withColumn("windows", window)
     # Most texts repeat no window; only the others are sorted.
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -84,7 +104,9 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x))
     base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     base = base.withColumn("distinct_lines", F.array_distinct("lines"))
-    base = base.withColumn("good_lines", F.filter("distinct_lines", lambda x: ~line_fails(x)))
+    low = F.lower("text")
+    base = base.withColumn("hinted", reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE_HINT)))
+    base = base.withColumn("good_lines", F.filter("distinct_lines", lambda x: ~line_fails(x, F.col("hinted"))))
     chars = lambda c: F.length(F.regexp_replace(c, r"[\x20\x09-\x0D]+", "")).cast("bigint")
     joined = F.array_join("good_lines", "\n")
     found = base.select(
