@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import documents, has_prefix, map_batches, prefix_bits, utf8
+from peakloom.operators.graph import lookup
 from peakloom.plans.durable import durable_table
 
 #: Samples of a frame; a payload is a positive multiple of it.
@@ -103,22 +104,24 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def chunked(docs: DataFrame, bits: np.ndarray, flagged: bool, text_col: str = "text") -> DataFrame:
-    """``key`` and ``chunks``, the payload as an ordered list of digest, size and compressed bytes, of the rows whose key
-    is in ``bits``, or is not."""
+    """``key``, ``head`` (the file's header) and ``chunks``, the payload as an ordered list of digest, size and compressed
+    bytes, of the rows whose key is in ``bits``, or is not."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pack, keys, lists = zstandard.ZstdCompressor(3, write_content_size=True), [], []
+        pack, keys, heads, lists = zstandard.ZstdCompressor(3, write_content_size=True), [], [], []
         for text in utf8(batch.column(0)):
             key = _digest(text)
             if has_prefix(shared.value, key) != flagged:
                 continue
+            pieces = _pieces(text)
             keys.append(key)
-            lists.append([{"digest": _digest(x), "size": len(x), "data": pack.compress(x)} for x in _pieces(text)])
+            heads.append(wave_header(sum(map(len, pieces))))
+            lists.append([{"digest": _digest(x), "size": len(x), "data": pack.compress(x)} for x in pieces])
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("data", pa.binary())]))
-        return pa.record_batch([pa.array(keys, pa.binary()), pa.array(lists, kind)], names=["key", "chunks"])
+        return pa.record_batch([pa.array(keys, pa.binary()), pa.array(heads, pa.binary()), pa.array(lists, kind)], names=["key", "head", "chunks"])
 
-    return map_batches(docs.select(text_col), step, f"key binary, chunks {CHUNK}")
+    return map_batches(docs.select(text_col), step, f"key binary, head binary, chunks {CHUNK}")
 
 
 def repeated_places(lists: DataFrame) -> DataFrame:
@@ -135,67 +138,74 @@ def repeated_places(lists: DataFrame) -> DataFrame:
 
 
 def deduplicated(media: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Media rows with the bytes of repeated chunks taken out, and the store that holds them once.
+    """The media table, whose rows lack the bytes of repeated chunks, and the chunk table that holds those once; both are
+    written to the shared folder, and read from there.
 
-    ``media`` has ``key`` and ``chunks``; its copies are combined before the shuffle. The store has ``digest`` and ``data``
-    of each repeated chunk, from the place that owns it. A chunk used once stays with its row, where no join is needed
-    to read it. Lists keep every chunk's digest and size.
+    ``media`` has ``key``, ``head`` and ``chunks``; its copies are combined before the shuffle. The chunk table has ``digest``
+    and ``data`` of each repeated chunk, from the place that owns it. A chunk used once stays with its row, where no join
+    is needed to read it. Lists keep every chunk's digest and size.
     """
     repeated = places.groupBy("key").agg(F.collect_set("pos").alias("out"), F.collect_set(F.when(F.col("own"), F.col("pos"))).alias("own"))
-    once = media.groupBy("key").agg(F.first("chunks").alias("chunks"))
+    once = media.groupBy("key").agg(F.first(F.struct("head", "chunks")).alias("r")).select("key", "r.*")
     gone = F.coalesce("out", F.array().cast("array<int>"))
-    rows = once.join(repeated, "key", "left").select("key", F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), c["size"].alias("size"), F.when(~F.array_contains(gone, i), c["data"]).alias("data"))).alias("chunks"))
-    owned = once.join(repeated.where(F.size("own") > 0).select("key", "own"), "key")
-    store = owned.select(F.explode(F.transform("own", lambda i: F.get("chunks", i))).alias("c")).select("c.digest", "c.data")
-    return rows, store
+    kept = F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), c["size"].alias("size"), F.when(~F.array_contains(gone, i), c["data"]).alias("data")))
+    owned = F.filter("chunks", lambda c, i: F.array_contains(F.coalesce("own", F.array().cast("array<int>")), i))
+    known = once.join(repeated, "key", "left").select("key", "head", kept.alias("chunks"), owned.alias("owned"))
+    table = durable_table(known, "media", "none")  # the bytes are compressed already
+    return table.drop("owned"), durable_table(table.select(F.inline("owned")).select("digest", "data"), "chunks", "none")
 
 
 def reconstructed(rows: DataFrame, store: DataFrame) -> DataFrame:
     """``rows`` with every chunk's bytes in its list again, fetched from the store by digest."""
     lacking = rows.select("key", F.posexplode("chunks").alias("pos", "c")).where("c.data is null").select("key", "pos", F.col("c.digest").alias("digest"))
     fetched = lacking.join(store, "digest").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("filled"))
-    back = rows.join(fetched, "key", "left")
-    return back.select("key", F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), c["size"].alias("size"), F.coalesce(c["data"], F.try_element_at("filled", i)).alias("data"))).alias("chunks"))
+    whole = F.forall("chunks", lambda c: c["data"].isNotNull())
+    back = rows.where(~whole).join(fetched, "key")
+    filled = back.select("key", "head", F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), c["size"].alias("size"), F.coalesce(c["data"], F.try_element_at("filled", i)).alias("data"))).alias("chunks"))
+    return rows.where(whole).select("key", "head", "chunks").union(filled)
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Read each row's media from its chunk list: every chunk is verified by size and digest, the file is put together
-    and read, and its samples are described. A chunk that is missing or differs stops the job."""
+    """Read each row's media from its header and chunk list: every chunk is verified by size and digest, the file is put
+    together and read, and its samples are described. A chunk that is missing or differs stops the job."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpack, out = zstandard.ZstdDecompressor(), []
-        for chunks in batch.column(1).to_pylist():
-            parts = []
+        for head, chunks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            parts = [head]
             for c in chunks:
                 part = unpack.decompress(c["data"])
                 if len(part) != c["size"] or _digest(part) != c["digest"]:
                     raise ValueError("a stored chunk differs from its digest")
                 parts.append(part)
-            payload = b"".join(parts)
-            file = wave_header(len(payload)) + payload
+            file = b"".join(parts)
             samples = read_wave(file)
             out.append((len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(file), sha256(file).hexdigest(), features(samples), len(chunks)))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
         return pa.record_batch([batch.column(0), *cols], names=["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"])
 
-    return map_batches(media.select("key", "chunks"), step, "key binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks bigint")
+    return map_batches(media.select("key", "head", "chunks"), step, "key binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks bigint")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document its media's sizes, digests and features, read back from chunks that are stored once.
+    """For each document its media's sizes, digests and features, read back from what was stored.
 
-    A narrow pass finds repeated chunks. Texts that have one, or have copies, go through a shuffle, the store and a join
-    back; the others' chunks are theirs alone and stay in their rows. Texts are UTF-8, null is empty and makes one frame of spaces. Equal texts are one medium, however many documents
-    have them, and get equal values. Other columns are not read; an empty table gives an empty result.
+    A narrow pass finds repeated chunks; then each distinct text's file is stored, as header and ordered chunk list, and
+    every repeated chunk once; then the files are put together from the stored bytes alone. Texts are UTF-8, null is
+    empty and makes one frame of spaces; very long texts are cut and read whole. Equal texts are one medium, however many
+    documents have them, and get equal values. Other columns are not read; an empty table gives an empty result.
     """
     source = docs.select(id_col, text_col)
     lists = durable_table(chunk_lists(source, id_col, text_col), "chunk-lists")
     places = durable_table(repeated_places(lists), "places")
     bits = prefix_bits(places)
     rows, store = deduplicated(chunked(source, bits, True, text_col), places)
-    found = described(reconstructed(rows, store).union(chunked(source, bits, False, text_col)))
-    return lists.drop("digests").join(found, "key").drop("key")
+    alone = durable_table(chunked(source, bits, False, text_col), "media", "none")
+    found = durable_table(described(reconstructed(rows, store).union(alone)), "described")
+    # A third of all documents may share one text: keys of that many are told by a broadcast.
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return lookup(lists.drop("digests"), found.join(sizes, "key"), "key", lists.count()).drop("key")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
