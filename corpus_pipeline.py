@@ -22,11 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least ``doc_id``."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each near-duplicate group, the one with the least ``doc_id``, by the fingerprints and the
+    distance of ``op4_simhash``."""
+    return simhash.one_of_each_group(docs, words=4)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import documents, map_batches, utf8
-from peakloom.operators.graph import connected_components
+from peakloom.operators.graph import connected_components, lookup
 from peakloom.plans.durable import durable
 
 BITS = 64
@@ -36,8 +36,8 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``id_col`` and ``fp`` (signed 64-bit SimHash) of every document.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the ``carry`` columns and ``fp`` (signed 64-bit SimHash) of every document.
 
     A-Z are lower-cased, words are runs free of ASCII white space, shingles are ``words`` words joined by one space,
     repeats included; fewer words make one shingle, none (null or empty text) the fingerprint zero. A bit is 1 if it
@@ -45,11 +45,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(t, words, seed) for t in utf8(batch.column(1))), np.int64, batch.num_rows)
-        return pa.record_batch([batch.column(0), pa.array(fps)], names=[id_col, "fp"])
+        fps = np.fromiter((fingerprint(t, words, seed) for t in utf8(batch.column(0))), np.int64, batch.num_rows)
+        return pa.record_batch([*batch.columns[1:], pa.array(fps)], names=[*kept, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), step, f"{id_col} {kind}, fp bigint")
+    kept = [id_col, *carry]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return map_batches(docs.select(text_col, *kept), step, f"{kinds}, fp bigint")
 
 
 def block_masks(max_distance: int, blocks: int) -> list[int]:
@@ -126,7 +127,6 @@ def block_links(fps: DataFrame, max_distance: int = 4, blocks: int = 7, bucket_r
         if len(held) > 1 and not hot:
             yield from run(held)
 
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     found = durable(dealt.mapInArrow(verify, "u bigint, v bigint, hot boolean"))
     crowded = found.where("hot").select(F.col("u").alias("fp")).distinct()
     flips = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i, j in combinations(range(BITS), 2))]
@@ -143,20 +143,50 @@ def block_links(fps: DataFrame, max_distance: int = 4, blocks: int = 7, bucket_r
     return links.union(via.select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct()).distinct()
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_distance: int, blocks: int, bucket_rows: int, carry: tuple[str, ...]) -> DataFrame:
+    """``id_col``, ``carry``, ``fp``, ``component_id`` and ``group_fp``, a fingerprint that the rows of a group share."""
+    each = durable(fingerprints(docs, id_col, text_col, words, carry=carry))
+    first = durable(each.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")))
+    rows = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = connected_components(block_links(first.select("fp"), max_distance, blocks, bucket_rows))
+    of = durable(found.select(F.col("node").alias("fp"), "component").join(first.drop("n"), "fp"))
+    group = of.groupBy("component").agg(F.min("first_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    linked = lookup(of, group, "component", rows).select("fp", "group_id", "component")
+    ids = first.join(linked, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("group_id")).alias("component_id"), F.coalesce("component", "fp").alias("group_fp"), "n")
+    return lookup(each, durable(ids), "fp", rows).select(id_col, *carry, "fp", "component_id", "group_fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_distance: int = 4, blocks: int = 7, bucket_rows: int = 20_000) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id``: the least id reachable over links of at most ``max_distance`` bits.
 
     Null ids are kept and never represent a group unless it has no other. Null and empty texts have the fingerprint
-    zero and link like any other. An empty table gives an empty result; other columns of ``docs`` are not read.
+    zero and link like any other. Repeated rows have one fingerprint and one group; each is returned. Very long texts
+    are hashed whole. An empty table gives an empty result; other columns of ``docs`` are not read.
     """
-    each = durable(fingerprints(docs, id_col, text_col, words))
-    first = each.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    found = connected_components(block_links(first.select("fp"), max_distance, blocks, bucket_rows))
-    of = found.select(F.col("node").alias("fp"), "component").join(first, "fp")
-    group = of.groupBy("component").agg(F.min("first_id").alias("group_id"))
-    linked = of.join(group, "component").select("fp", "group_id")
-    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("group_id", "first_id").alias("component_id"))
-    return each.join(ids, "fp").select(id_col, "fp", "component_id")
+    return grouped(docs, id_col, text_col, words, max_distance, blocks, bucket_rows, ()).drop("group_fp")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_distance: int = 4, blocks: int = 7, bucket_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of near-duplicates does: the one with the least id and, of rows
+    that share it, the one with the least hash over its columns.
+
+    Only ids and hashes move until the rows are known; texts move once. Rows equal in every column are one. A row without
+    id stays only if its group has no other. Columns of any name are carried; null and empty texts are one group; an
+    empty table gives an empty result.
+    """
+    told = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), told.alias("told"))
+    groups = grouped(keyed.drop("row"), "id", "text", words, max_distance, blocks, bucket_rows, ("told",))
+    equal = groups.groupBy("group_fp", "id", "told").agg(F.count(F.lit(1)).alias("n"))
+    best = equal.groupBy("group_fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "told", "n")).alias("r"))
+    stay = durable(best.select(F.col("r.id").alias("best_id"), F.col("r.told").alias("best_told"), "r.n"))
+    rows = keyed.drop("text")
+    same = (F.col("told") == F.col("best_told")) & F.col("id").eqNullSafe(F.col("best_id"))
+    once = rows.join(stay.where("n = 1"), same, "left_semi").select("row.*")
+    if not stay.where("n > 1").take(1):
+        return once
+    again = rows.join(stay.where("n > 1"), same, "left_semi").dropDuplicates(["told", "id"]).select("row.*")
+    return once.union(again)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
