@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of report columns; the last q-value is of a protein group and only stands in where no other exists.
-Q_ALIASES = ("Global.Q.Value", "Q.Value", "Lib.Q.Value", "PG.Q.Value")
-SEQUENCE_ALIASES = ("Stripped.Sequence", "PeptideSequence", "Sequence")
-CHARGE_ALIASES = ("Precursor.Charge", "PrecursorCharge", "Charge")
+#: Names of report columns, in order; the first present is taken.
+Q_ALIASES = ("Q.Value", "Global.Q.Value", "PG.Q.Value")
+SEQUENCE_ALIASES = ("Stripped.Sequence", "Peptide.Sequence", "PeptideSequence")
+CHARGE_ALIASES = ("Precursor.Charge",)
 
 
 def at_threshold(scores: DataFrame, q: float = 0.01, inclusive: bool = True) -> DataFrame:

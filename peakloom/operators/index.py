@@ -29,9 +29,14 @@ def cells(indexed: DataFrame) -> DataFrame:
 
 
 def cell_bitmaps(indexed: DataFrame) -> DataFrame:
-    """Occupancy bitmaps: a row for each (window, block, bucket of 32768 bins); bins are shifted by one as buckets count from one."""
+    """Occupancy bitmaps: a row for each (window, block, bucket of 32768 bins); bins are shifted by one as buckets count from one.
+
+    Distinct bins are found first, narrow and combined before the shuffle, and then dealt by cell: each bitmap is made
+    once, where its cell is, and a crowded cell brings no more rows than it has bins.
+    """
     at = (F.col("bin") + 1).cast("bigint")
-    return indexed.groupBy("win_key", "block", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bins = indexed.select("win_key", "block", "bin").distinct().repartition("win_key", "block")
+    return bins.groupBy("win_key", "block", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
 
 
 def merge_bitmaps(*parts: DataFrame) -> DataFrame:

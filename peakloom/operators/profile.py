@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakloom.functions.binning import binomial_tail, mz_bin, neighbour_hit, upper_median
+from peakloom.operators.quantiles import medians
 
 #: Half widths of the retention-time cells that the sweep tries, in seconds.
 HALF_WIDTHS = (5.0, 10.0, 30.0, 60.0, 150.0, 300.0, 600.0)
@@ -59,7 +60,9 @@ def occupancy_by_scan(peaks: DataFrame, ppm: float = 20.0) -> DataFrame:
 def occupancy_summary(peaks: DataFrame, ppm: float = 20.0, fragments: int = 6) -> DataFrame:
     """Upper medians over scans, bins of the whole range, hit chance with neighbours, and the chance that a random
     candidate passes k of ``fragments`` for k from all of them down to 2."""
-    scans = occupancy_by_scan(peaks, ppm).agg(F.count(F.lit(1)).alias("n_scans"), upper_median("fraction").alias("p_raw"), upper_median("n_bins").alias("median_bins"))
+    each = occupancy_by_scan(peaks, ppm)
+    middle = medians(each.select(F.col("fraction").alias("p_raw"), F.col("n_bins").cast("double").alias("median_bins")), [], ["p_raw", "median_bins"], upper=True)
+    scans = each.agg(F.count(F.lit(1)).alias("n_scans")).crossJoin(F.broadcast(middle.fillna(0.0)))
     wide = peaks.agg((mz_bin(F.max("mz"), ppm) - mz_bin(F.min("mz"), ppm) + 1).alias("total_bins"))
     p = scans.crossJoin(F.broadcast(wide)).withColumn("p", neighbour_hit(F.col("p_raw")))
     tails = F.array(*(F.struct(F.lit(k).alias("k"), binomial_tail(F.col("p"), k, fragments).alias("pass_chance")) for k in range(fragments, 1, -1)))
@@ -90,6 +93,6 @@ def occupancy_sweep(peaks: DataFrame, ppm: float = 20.0, candidates: int = 150_0
     placed = wide.withColumn("cell", F.floor((F.col("rt") - F.col("t0")) / (2 * F.col("half")))).where("t0 + cell * (2 * half) < t1")
     cells = placed.groupBy("half", "win_mz", "cell").agg(F.count_distinct("bin").alias("n_bins"), F.count_distinct("scan_index").alias("scans"))
     each = cells.crossJoin(F.broadcast(span)).withColumn("occupancy", F.col("n_bins") / F.col("span"))
-    medians = each.groupBy("half").agg(upper_median("scans").alias("median_scans"), upper_median("occupancy").alias("p_raw"))
-    p = medians.withColumn("p", neighbour_hit(F.col("p_raw"))).withColumn("pass_chance", binomial_tail(F.col("p"), needed, fragments))
+    middle = medians(each.select("half", F.col("scans").cast("double").alias("median_scans"), F.col("occupancy").alias("p_raw")), ["half"], ["median_scans", "p_raw"], upper=True)
+    p = middle.withColumn("p", neighbour_hit(F.col("p_raw"))).withColumn("pass_chance", binomial_tail(F.col("p"), needed, fragments))
     return p.withColumn("survivors", F.col("pass_chance") * candidates)

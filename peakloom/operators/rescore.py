@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakloom.functions.binning import grid_window
+from peakloom.operators.quantiles import medians
+from peakloom.plans.durable import durable
+from peakloom.sources.sqlite import read_sqlite, update_sqlite
 
 FEATURE_COLUMNS = ("best_delta", "tot_ratio", "rival_rank", "n_compet")
 
@@ -46,8 +49,37 @@ def competitive_features(df: DataFrame, rt_tol: float = 15.0, width: float = 24.
 
 
 def competitive_summary(features: DataFrame) -> DataFrame:
-    """Interpolated medians by decoy status."""
-    return features.groupBy("decoy").agg(F.median("best_delta").alias("median_best_delta"), F.median("rival_rank").alias("median_rival_rank"), F.median(F.expm1("n_compet")).alias("median_rivals"), F.count(F.lit(1)).alias("n"))
+    """Interpolated medians by decoy status, exact and without a group in one task."""
+    rivals = features.select("decoy", F.col("best_delta").alias("median_best_delta"), F.col("rival_rank").alias("median_rival_rank"), F.expm1("n_compet").alias("median_rivals"))
+    found = medians(rivals, ["decoy"], ["median_best_delta", "median_rival_rank", "median_rivals"])
+    counts = features.groupBy(F.col("decoy").alias("__decoy")).agg(F.count(F.lit(1)).alias("n"))
+    return found.join(counts, F.col("decoy").eqNullSafe(F.col("__decoy"))).drop("__decoy")
+
+
+def osw_features(feature: DataFrame, feature_ms2: DataFrame, precursor: DataFrame, score: str = "VAR_XCORR_SHAPE") -> DataFrame:
+    """Features with the chosen score of the MS2 table and their precursor: (feature_id, mz, rt, score, decoy). A score that
+    the table lacks is an error that lists its columns."""
+    if score not in feature_ms2.columns:
+        raise ValueError(f"no score {score}; the table has {', '.join(feature_ms2.columns)}")
+    f = feature.select(F.col("ID").alias("feature_id"), F.col("PRECURSOR_ID").alias("precursor_id"), F.col("EXP_RT").alias("rt"))
+    m = feature_ms2.select(F.col("FEATURE_ID").alias("feature_id"), F.col(score).alias("score"))
+    p = precursor.select(F.col("ID").alias("precursor_id"), F.col("PRECURSOR_MZ").alias("mz"), F.col("DECOY").alias("decoy"))
+    return f.join(m, "feature_id").join(p, "precursor_id").select("feature_id", "mz", "rt", "score", "decoy")
+
+
+#: The columns of the MS2 table that hold the features, in the order of ``FEATURE_COLUMNS``.
+OSW_COLUMNS = ("VAR_LOCUS_BEST_DELTA", "VAR_LOCUS_TOT_RATIO", "VAR_LOCUS_RANK", "VAR_LOCUS_N_COMPET")
+
+
+def rescore_osw(spark: SparkSession, path: str, score: str = "VAR_XCORR_SHAPE", rt_tol: float = 15.0) -> DataFrame:
+    """Read a scored run's SQLite file, add the competitive features to its MS2 table (those there are replaced), and
+    return the summary by decoy status."""
+    tables = [read_sqlite(spark, path, t) for t in ("FEATURE", "FEATURE_MS2", "PRECURSOR")]
+    # The file is read before it is written.
+    found = durable(competitive_features(osw_features(*tables, score), rt_tol, keep=("decoy",)))
+    renamed = found.select("feature_id", *(F.col(c).alias(o) for c, o in zip(FEATURE_COLUMNS, OSW_COLUMNS, strict=True)))
+    update_sqlite(renamed, path, "FEATURE_MS2", "FEATURE_ID", OSW_COLUMNS, "feature_id")
+    return competitive_summary(found)
 
 
 def write_back(table: DataFrame, features: DataFrame, id_col: str = "feature_id") -> DataFrame:

@@ -51,6 +51,13 @@ PROXIES = {
         ["documents"],
         "SELECT doc_id AS ordinal, 'P' || CAST(doc_id AS VARCHAR(20)) AS protein, upper(regexp_replace(text, '[^A-Za-z]+', ''{all})) AS sequence FROM {documents} WHERE n_chars < 2000",
     ),
+    "whole_proteins": (
+        ["documents"],
+        "SELECT doc_id AS ordinal, 'P' || CAST(doc_id AS VARCHAR(20)) AS protein, upper(regexp_replace(text, '[^A-Za-z]+', ''{all})) AS sequence FROM {documents}",
+    ),
+    "osw_feature": (["lineitem"], 'SELECT l_orderkey * 8 + l_linenumber AS "ID", l_orderkey AS "PRECURSOR_ID", l_quantity * 20 AS "EXP_RT" FROM {lineitem}'),
+    "osw_feature_ms2": (["lineitem"], 'SELECT l_orderkey * 8 + l_linenumber AS "FEATURE_ID", l_discount + l_tax AS "VAR_XCORR_SHAPE" FROM {lineitem}'),
+    "osw_precursor": (["orders"], 'SELECT o_orderkey AS "ID", 300 + o_totalprice / 1000 AS "PRECURSOR_MZ", CAST(1 + o_orderkey % 4 AS INT) AS "CHARGE", CAST(o_orderkey % 2 AS INT) AS "DECOY" FROM {orders}'),
 }
 
 
@@ -73,21 +80,20 @@ def proxy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proteins of every document, of any length or none, for queries without SQL; ``proxy`` keeps what the SQL asks for."""
-    return spark.sql(spark_sql("proteins").removesuffix(" WHERE n_chars < 2000"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The proteins of every document, of any length. (``proteins`` has short ones only, for tests.)"""
+    return proxy(spark, sf_dir, "whole_proteins")
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First six vectors of each label as fragment traces."""
+    """Every vector as a fragment trace; a group is a label's vectors among sixty consecutive ids."""
     return spark.sql(
-        "SELECT label AS `group`, vec_id AS fragment, transform(embedding, x -> CAST(x AS DOUBLE)) AS trace FROM"
-        " (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM {embeddings}) WHERE r <= 6",
+        "SELECT CAST(label AS BIGINT) * 1000000000 + vec_id div 60 AS `group`, vec_id AS fragment, transform(embedding, x -> CAST(x AS DOUBLE)) AS trace FROM {embeddings}",
         embeddings=spark.read.parquet(f"{sf_dir}/embeddings.parquet"),
     )
 
 
 #: The same as rows (grp, fragment, i, v), i from 1.
 DUCK_TRACES = (
-    "t AS (SELECT label AS grp, vec_id AS fragment, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 6),"
+    "t AS (SELECT label::BIGINT * 1000000000 + vec_id // 60 AS grp, vec_id AS fragment, embedding FROM embeddings),"
     " x AS (SELECT grp, fragment, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM t)"
 )

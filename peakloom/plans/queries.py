@@ -87,6 +87,11 @@ def target_decoy_qvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("feature_id", "fdr", "q_value", "unit"), "fdr", "q_value", digits=9)
 
 
+@query("osw_features", with_("osw_feature", "osw_feature_ms2", "osw_precursor") + ' SELECT f."ID" AS feature_id, round("PRECURSOR_MZ", 6) AS mz, "EXP_RT" AS rt, round("VAR_XCORR_SHAPE", 6) AS score, "DECOY" AS decoy FROM osw_feature f JOIN osw_feature_ms2 ON "FEATURE_ID" = f."ID" JOIN osw_precursor p ON p."ID" = "PRECURSOR_ID"')
+def osw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rescore.osw_features(*(proxy(spark, sf_dir, t) for t in ("osw_feature", "osw_feature_ms2", "osw_precursor"))), "mz", "score")
+
+
 # Binning and profile
 
 
@@ -221,6 +226,13 @@ def prefilter_k_of_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.prefilter(fragments, occupied, 1)
 
 
+@query("prefilter_three", _FRAGMENTS.replace("% 997", "% 31") + ", o AS (SELECT DISTINCT win_key, block, bin FROM i), h AS (SELECT DISTINCT candidate, fragment FROM f JOIN o ON f.win_key = o.win_key AND f.block = o.block AND abs(f.bin - o.bin) <= 1) SELECT candidate, count(*) AS hits FROM h GROUP BY candidate HAVING count(*) >= 3")
+def prefilter_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = proxy(spark, sf_dir, "features").select((F.col("feature_id") % 31).alias("candidate"), F.col("feature_id").alias("fragment"), (40000 + 2400 * (F.col("feature_id") % 25)).alias("win_key"), binning.rt_block(F.col("rt")).alias("block"), binning.mz_bin(F.col("mz") - 210).alias("bin"))
+    occupied = index.indexed_peaks(proxy(spark, sf_dir, "peaks")).select("win_key", "block", F.col("bin").cast("bigint").alias("bin")).distinct()
+    return index.prefilter(fragments, occupied, 3)
+
+
 @query(
     "tolerance_gather",
     with_("peaks", "features") + f" SELECT feature_id, scan_index, round(p.mz, 6) AS mz, round(p.rt, 6) AS rt FROM features f JOIN peaks p ON {KEY} = 40000 + 2400 * (feature_id % 25) AND abs(p.mz - (f.mz - 210)) <= (f.mz - 210) * (20.0 / 2 * 1e-6::DOUBLE)",
@@ -300,6 +312,15 @@ def ids_at_fdr_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.identified_peptides(proxy(spark, sf_dir, "scored"), proxy(spark, sf_dir, "mapping"), proxy(spark, sf_dir, "peptides"), 0.05)
 
 
+@query("report_ids", "SELECT DISTINCT p_name AS seq, (1 + l_linenumber % 4)::INT AS charge FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_tax <= 0.01")
+def report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
+    report = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.lit(0.0).alias("PG.Q.Value"), F.col("l_discount").alias("Global.Q.Value"), F.col("l_tax").alias("Q.Value"), F.lit("x").alias("PeptideSequence"), F.col("p_name").alias("Peptide.Sequence"), (1 + F.col("l_linenumber") % 4).cast("int").alias("Precursor.Charge"),
+    )
+    return compare.report_ids(report)
+
+
 @query("distinct_ids_3level", with_("scored", "mapping", "peptides", "protein_map") + ", ok AS (SELECT DISTINCT precursor_id FROM scored WHERE q_value < 0.01 AND decoy = 0), f AS (SELECT DISTINCT peptide_id FROM mapping WHERE precursor_id IN (SELECT precursor_id FROM ok)) SELECT (SELECT count(*) FROM ok) AS n_precursors, (SELECT count(DISTINCT modified) FROM peptides WHERE peptide_id IN (SELECT peptide_id FROM f)) AS n_peptides, (SELECT count(DISTINCT protein_id) FROM protein_map WHERE peptide_id IN (SELECT peptide_id FROM f)) AS n_proteins")
 def distinct_ids_3level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.distinct_ids(*(proxy(spark, sf_dir, t) for t in ("scored", "mapping", "peptides", "protein_map")), q=0.01)
@@ -345,11 +366,29 @@ _VENDOR = {"PrecursorMz": "Precursor.Mz", "ProductMz": "Product.Mz", "PrecursorC
 )
 def convert_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = proxy(spark, sf_dir, "transitions")
-    vendor = t.select(*(F.col(c).alias(v) for c, v in _VENDOR.items()), F.col("TransitionGroupId").alias("Stripped.Sequence"), F.struct("ProductMz", "TransitionId").alias("input_order"))
+    vendor = t.select(*(F.col(c).alias(v) for c, v in _VENDOR.items()), F.col("TransitionGroupId").alias("Stripped.Sequence"), F.lit("P").alias("Protein.Group"), F.struct("ProductMz", "TransitionId").alias("input_order"))
     found = library.convert_library(vendor)
     return found.select("TransitionGroupId", "TransitionId", F.round("ProductMz", 6).alias("ProductMz"), "NormalizedRetentionTime", "Decoy", "DetectingTransition", "IdentifyingTransition", "QuantifyingTransition")
 
 
+@query(
+    "convert_vendor_columns",
+    with_("transitions") + ' SELECT "TransitionGroupId", "TransitionGroupId" || \'_\' || (row_number() OVER (PARTITION BY "TransitionGroupId" ORDER BY "ProductMz", "TransitionId") - 1)::VARCHAR AS "TransitionId", "LibraryIntensity", "NormalizedRetentionTime", \'M\' || "TransitionGroupId" AS "ModifiedPeptideSequence", \'A\' AS "ProteinId", \'G\' || "FragmentSeriesNumber"::VARCHAR AS "GeneName", round("ProductMz" / 1000, 6) AS "PrecursorIonMobility", "ProductCharge" FROM transitions WHERE "Decoy" = 0',
+)
+def convert_vendor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several names of a column at once: the first in order is taken."""
+    t = proxy(spark, sf_dir, "transitions")
+    vendor = t.select(
+        "PrecursorMz", "ProductMz", "PrecursorCharge", F.lit(9).alias("ProductCharge"), F.col("ProductCharge").alias("FragmentCharge"), F.lit(0.0).alias("LibraryIntensity"),
+        F.col("LibraryIntensity").alias("Relative.Intensity"), F.lit(-1.0).alias("iRT"), F.lit(-2.0).alias("RetentionTime"), F.col("NormalizedRetentionTime").alias("Tr_recalibrated"),
+        F.lit("x").alias("StrippedPeptide"), F.col("TransitionGroupId").alias("PeptideSequence"), F.concat(F.lit("M"), "TransitionGroupId").alias("FullUniModPeptideName"),
+        F.lit("B").alias("ProteinName"), F.lit("A").alias("Protein.Ids"), F.lit("x").alias("GeneName"), F.concat(F.lit("G"), F.col("FragmentSeriesNumber").cast("string")).alias("Genes"),
+        F.lit(0.0).alias("IonMobility"), (F.col("ProductMz") / 1000).alias("IM"), F.col("TransitionGroupId").alias("transition_group_id"), F.col("Decoy").alias("decoy"), F.struct("ProductMz", "TransitionId").alias("input_order"),
+    )
+    found = library.convert_library(vendor, "seconds")
+    return rounded(found.select("TransitionGroupId", "TransitionId", "LibraryIntensity", "NormalizedRetentionTime", "ModifiedPeptideSequence", "ProteinId", "GeneName", "PrecursorIonMobility", "ProductCharge"), "PrecursorIonMobility")
+
+
 @query("library_summary", with_("transitions") + ' SELECT count(*) AS n_transitions, count(DISTINCT "TransitionGroupId") AS n_groups, round(count(*)::DOUBLE / count(DISTINCT "TransitionGroupId"), 9) AS per_group, count(*) FILTER ("Decoy" = 0) AS n_target, count(*) FILTER ("Decoy" = 1) AS n_decoy, min("NormalizedRetentionTime") AS rt_min, max("NormalizedRetentionTime") AS rt_max FROM transitions')
 def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(library.library_summary(proxy(spark, sf_dir, "transitions")), "per_group", digits=9)
@@ -380,8 +419,8 @@ def append_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Peptides
 
-_CUT = with_("proteins") + (
-    ", c AS (SELECT ordinal, sequence, list_concat([0], list_filter(range(1, length(sequence)), lambda i: sequence[i] IN ('K', 'R') AND sequence[i + 1] <> 'P'), [length(sequence)]) AS cuts FROM proteins WHERE length(sequence) > 0),"
+_CUT = with_("whole_proteins") + (
+    ", c AS (SELECT ordinal, sequence, list_concat([0], list_filter(range(1, length(sequence)), lambda i: sequence[i] IN ('K', 'R') AND sequence[i + 1] <> 'P'), [length(sequence)]) AS cuts FROM whole_proteins WHERE length(sequence) > 0),"
     " a AS (SELECT ordinal, sequence, cuts, unnest(range(1, len(cuts))) AS i FROM c), b AS (SELECT ordinal, sequence, cuts, i, unnest(range(1, 3)) AS n FROM a),"
     " p AS (SELECT ordinal, cuts[i] AS start, sequence[cuts[i] + 1:cuts[i + n]] AS peptide FROM b WHERE i + n <= len(cuts)), q AS (SELECT * FROM p WHERE length(peptide) BETWEEN 7 AND 30)"
 )
@@ -389,33 +428,29 @@ _CUT = with_("proteins") + (
 
 @query("tryptic_digest", _CUT + " SELECT ordinal, start::INT AS start, peptide FROM q")
 def tryptic_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.tryptic_peptides(proxy(spark, sf_dir, "proteins")).select("ordinal", "start", "peptide")
+    return digest.tryptic_peptides(all_proteins(spark, sf_dir)).select("ordinal", "start", "peptide")
 
 
 @query("peptide_validity", _CUT + " SELECT peptide, regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWY]+') AS valid, count(*) AS n FROM q GROUP BY 1, 2")
 def peptide_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = digest.tryptic_peptides(proxy(spark, sf_dir, "proteins"))
+    p = digest.tryptic_peptides(all_proteins(spark, sf_dir))
     return p.groupBy("peptide", digest.is_valid_precursor(F.col("peptide"), F.lit(2)).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("first_protein_dedup", _CUT + ", v AS (SELECT * FROM q WHERE regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWY]+')), z AS (SELECT *, unnest([2, 3]) AS charge FROM v) SELECT peptide, charge::INT AS charge, arg_min('P' || ordinal::VARCHAR, (ordinal, start)) AS protein FROM z GROUP BY peptide, charge")
 def first_protein_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.precursors(proxy(spark, sf_dir, "proteins"), policy=None).select(F.col("modseq").alias("peptide"), "charge", "protein")
+    return digest.precursors(all_proteins(spark, sf_dir), policy=None).select(F.col("modseq").alias("peptide"), "charge", "protein")
 
 
 _MINI = "regexp_replace(upper(p_name) || 'MCM', '[^ACDEFGHIKLMNPQRSTVWY]+', ''{0})"
 
 
 def _mini(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(f"substring({_MINI.format('')}, -14, 14)").alias("peptide")).distinct()
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole cleaned names; ``_mini`` keeps the ends that its SQL asks for."""
+    """The whole cleaned names of parts as peptides."""
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(_MINI.format("")).alias("peptide")).distinct()
 
 
-_DUCK_MINI = f"WITH p AS (SELECT DISTINCT right({_MINI.format(', ' + chr(39) + 'g' + chr(39))}, 14) AS peptide FROM part)"
+_DUCK_MINI = f"WITH p AS (SELECT DISTINCT {_MINI.format(', ' + chr(39) + 'g' + chr(39))} AS peptide FROM part)"
 
 
 @query(
@@ -428,9 +463,9 @@ def peptidoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mini(spark, sf_dir).select("peptide", F.explode(digest.peptidoforms(F.col("peptide"))).alias("form"))
 
 
-@query("prefix_suffix_groups", with_("proteins") + ", a AS (SELECT sequence, unnest(range(0, length(sequence) - 7)) AS start FROM proteins WHERE length(sequence) >= 8), b AS (SELECT sequence, start, unnest(range(8, 13)) AS n FROM a), c AS (SELECT sequence[start + 1:start + n] AS pep FROM b WHERE start + n <= length(sequence)) SELECT 'p:' || left(pep, 5) AS u, 's:' || right(pep, 5) AS v, count(*) AS peptides FROM c GROUP BY 1, 2")
+@query("prefix_suffix_groups", with_("whole_proteins") + ", a AS (SELECT sequence, unnest(range(0, length(sequence) - 7)) AS start FROM whole_proteins WHERE length(sequence) >= 8), b AS (SELECT sequence, start, unnest(range(8, 13)) AS n FROM a), c AS (SELECT sequence[start + 1:start + n] AS pep FROM b WHERE start + n <= length(sequence)) SELECT 'p:' || left(pep, 5) AS u, 's:' || right(pep, 5) AS v, count(*) AS peptides FROM c GROUP BY 1, 2")
 def prefix_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percolation.group_edges(proxy(spark, sf_dir, "proteins"), 5)
+    return percolation.group_edges(all_proteins(spark, sf_dir), 5)
 
 
 @query("percolation")
@@ -497,15 +532,74 @@ def modx_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mini(spark, sf_dir).select("peptide", F.inline(chemistry.element_rows(mods, sites)))
 
 
-@query("decoy_sequences")
+# Libraries from peptides, in SQL. A form is its peptide and the places it modifies (0 is the N-terminus).
+
+_SWAPPED = "CASE right(peptide, 1) WHEN 'K' THEN 'R' WHEN 'R' THEN 'K' ELSE right(peptide, 1) END"
+
+
+def _decoys_sql(forms: str) -> str:
+    """CTEs from ``forms`` (form, peptide, pick): ``chosen`` (form, peptide, pick, perm, decoy), the first shuffle that differs enough."""
+    token = "peptide[i] || CASE WHEN mods AND peptide[i] = 'C' THEN '(UniMod:4)' WHEN list_contains(pick, i) THEN '(UniMod:35)' ELSE '' END"
+    return (
+        f", da AS (SELECT form, peptide, pick, mods, unnest(range(0, 10)) AS seed FROM {forms}),"
+        " db AS (SELECT form, peptide, pick, mods, seed, unnest(range(1, length(peptide))) AS i FROM da),"
+        f" dc AS (SELECT form, peptide, any_value(pick) AS pick, any_value(mods) AS mods, seed, list(i ORDER BY md5(form || ':' || (i - 1)::VARCHAR || ':' || seed::VARCHAR)) AS perm, string_agg({token}, '' ORDER BY md5(form || ':' || (i - 1)::VARCHAR || ':' || seed::VARCHAR)) AS body FROM db GROUP BY form, peptide, seed),"
+        f" dd AS (SELECT *, (len(list_filter(range(1, length(peptide)), lambda j: peptide[perm[j]] = peptide[j])) + CASE WHEN {_SWAPPED} = right(peptide, 1) THEN 1 ELSE 0 END)::DOUBLE / length(peptide) AS same,"
+        f" CASE WHEN list_contains(pick, 0) THEN '.(UniMod:1)' ELSE '' END || body || {_SWAPPED} || CASE WHEN mods AND {_SWAPPED} = 'C' THEN '(UniMod:4)' WHEN list_contains(pick, length(peptide)) THEN '(UniMod:35)' ELSE '' END AS decoy FROM dc),"
+        " chosen AS (SELECT form, peptide, any_value(pick) AS pick, arg_min(perm, seed) AS perm, arg_min(decoy, seed) AS decoy FROM dd WHERE same <= 0.7::DOUBLE GROUP BY form, peptide)"
+    )
+
+
+@query("decoy_sequences", _DUCK_MINI + ", f AS (SELECT peptide AS form, peptide, []::BIGINT[] AS pick, false AS mods FROM p)" + _decoys_sql("f") + " SELECT peptide, decoy FROM chosen")
 def decoy_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.decoy_sequences(_whole(spark, sf_dir))
+    return library.decoy_sequences(_mini(spark, sf_dir))
+
+
+def _mass_sql(residue: str) -> str:
+    return _DUCK_MASS.replace("CASE c ", f"CASE {residue} ", 1)
+
+
+_MOD = {k: f"{v!r}::DOUBLE" for k, v in chemistry.MODIFICATIONS.items()}
+_HASH = "('0x' || left(md5(form || '|' || charge::VARCHAR || '|' || {0}), 7))::BIGINT % 10000"
+#: From ``pep`` (peptide, protein): forms, the stub's intensities, all ions (``lib``), and the six best of each group in the range (``best``).
+_ASSEMBLY = (
+    ", sl AS (SELECT peptide, protein, list_concat(list_filter(range(1, length(peptide) + 1), lambda i: peptide[i] = 'M'), [0])[1:20] AS slots FROM pep), su AS (SELECT peptide, unnest(slots) AS x, unnest(range(1, len(slots) + 1)) AS i FROM sl),"
+    " pk AS (SELECT peptide, []::BIGINT[] AS pick FROM sl UNION ALL SELECT peptide, [x] FROM su UNION ALL SELECT a.peptide, [a.x, b.x] FROM su a JOIN su b ON a.peptide = b.peptide AND a.i < b.i),"
+    " fo AS (SELECT peptide, protein, pick, length(peptide) AS n, true AS mods, CASE WHEN list_contains(pick, 0) THEN '.(UniMod:1)' ELSE '' END || array_to_string(list_transform(range(1, length(peptide) + 1), lambda i: peptide[i] || CASE WHEN peptide[i] = 'C' THEN '(UniMod:4)' WHEN list_contains(pick, i) THEN '(UniMod:35)' ELSE '' END), '') AS form FROM pk JOIN sl USING (peptide)),"
+    " re AS (SELECT form, n, i, " + _mass_sql("peptide[i]") + f" + CASE WHEN peptide[i] = 'C' THEN {_MOD['4']} WHEN list_contains(pick, i) THEN {_MOD['35']} ELSE 0 END + CASE WHEN i = 1 AND list_contains(pick, 0) THEN {_MOD['1']} ELSE 0 END AS m FROM (SELECT form, n, peptide, pick, unnest(range(1, n + 1)) AS i FROM fo)),"
+    " cu AS (SELECT form, n, i, sum(m) OVER (PARTITION BY form ORDER BY i) AS part, sum(m) OVER (PARTITION BY form) AS whole FROM re),"
+    f" io AS (SELECT form, n, 'b' AS type, i AS series, part AS mass, (i - 1) * 8 AS place FROM cu WHERE i < n UNION ALL SELECT form, n, 'y', n - i, whole - part + {chemistry.WATER!r}::DOUBLE, (i - 1) * 8 + 2 FROM cu WHERE i < n),"
+    f" ch AS (SELECT form, type, series, unnest([1, 2]) AS z, mass, place FROM io), cz AS (SELECT form, charge, type, series, z, (mass + z * {chemistry.PROTON!r}::DOUBLE) / z AS mz, place + z - 1 AS idx FROM ch, (SELECT unnest([2, 3]) AS charge)),"
+    " va AS (SELECT *, CASE WHEN idx = 0 THEN 0::FLOAT ELSE ((" + _HASH.format("idx::VARCHAR") + " + 1) / 10001.0::DOUBLE)::FLOAT END AS v FROM cz), vt AS (SELECT *, max(v) OVER (PARTITION BY form, charge) AS top FROM va),"
+    " lib AS (SELECT form, charge, type, series, z, mz, v::DOUBLE / top::DOUBLE AS intensity, row_number() OVER (PARTITION BY form, charge ORDER BY round(mz, 6), type, series, z) - 1 AS k FROM vt WHERE v > 0),"
+    " ra AS (SELECT *, row_number() OVER (PARTITION BY form, charge ORDER BY intensity DESC, round(mz, 6), form || '_' || charge::VARCHAR || '_' || k::VARCHAR) AS r, count(*) OVER (PARTITION BY form, charge) AS c FROM lib WHERE mz BETWEEN 350 AND 2000),"
+    " best AS (SELECT form, peptide, protein, charge, type, series, z, mz, intensity, k FROM ra JOIN fo USING (form) WHERE r <= 6 AND c >= 6)"
+)
+_ROW = "{0} || form || '_' || charge::VARCHAR AS \"TransitionGroupId\", {0} || form || '_' || charge::VARCHAR || '_' || k::VARCHAR AS \"TransitionId\", round({1}, 3) AS \"ProductMz\", round(intensity, 6) AS \"LibraryIntensity\", {0} || protein AS \"ProteinId\", {2} AS \"PeptideSequence\""
+_COLUMNS = ("TransitionGroupId", "TransitionId", "ProductMz", "LibraryIntensity", "ProteinId", "PeptideSequence")
 
 
-@query("library_assembly")
+@query("library_assembly", _CUT + ", pep AS (SELECT peptide, arg_min('P' || ordinal::VARCHAR, (ordinal, start)) AS protein FROM q WHERE regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWY]+') GROUP BY peptide)" + _ASSEMBLY + " SELECT " + _ROW.format("''", "mz", "peptide") + " FROM best")
 def library_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest.precursors(all_proteins(spark, sf_dir))
-    return library.detecting(library.restrict(library.assemble(found, library.stub_predictor)))
+    made = library.detecting(library.restrict(library.assemble(found, library.stub_predictor)))
+    return rounded(rounded(made.select(*_COLUMNS), "ProductMz", digits=3), "LibraryIntensity")
+
+
+@query(
+    "library_with_decoys",
+    _DUCK_MINI + ", pep AS (SELECT peptide, 'UNKNOWN' AS protein FROM p)" + _ASSEMBLY + ", tf AS (SELECT DISTINCT form, peptide, pick, mods FROM fo JOIN best USING (form, peptide))" + _decoys_sql("tf")
+    + ", dr AS (SELECT form, decoy, length(peptide) AS n, j, " + _mass_sql("CASE WHEN j < length(peptide) THEN peptide[perm[j]] ELSE " + _SWAPPED + " END")
+    + f" + CASE WHEN (CASE WHEN j < length(peptide) THEN peptide[perm[j]] ELSE {_SWAPPED} END) = 'C' THEN {_MOD['4']} WHEN list_contains(pick, CASE WHEN j < length(peptide) THEN perm[j] ELSE length(peptide) END) THEN {_MOD['35']} ELSE 0 END + CASE WHEN j = 1 AND list_contains(pick, 0) THEN {_MOD['1']} ELSE 0 END AS m"
+    " FROM (SELECT *, unnest(range(1, length(peptide) + 1)) AS j FROM chosen)), dm AS (SELECT form, decoy, n, j, sum(m) OVER (PARTITION BY form ORDER BY j) AS part, sum(m) OVER (PARTITION BY form) AS whole FROM dr),"
+    f" dz AS (SELECT b.*, d.decoy, CASE WHEN b.type = 'b' THEN (d.part + z * {chemistry.PROTON!r}::DOUBLE) / z ELSE (d.whole - d.part + {chemistry.WATER!r}::DOUBLE + z * {chemistry.PROTON!r}::DOUBLE) / z END AS dmz FROM best b JOIN dm d ON b.form = d.form AND d.j = CASE WHEN b.type = 'b' THEN b.series ELSE d.n - b.series END)"
+    + " SELECT " + _ROW.format("''", "mz", "peptide") + ", 0 AS \"Decoy\" FROM best UNION ALL SELECT " + _ROW.format("'DECOY_'", "dmz", "regexp_replace(decoy, '\\.?\\(UniMod:[0-9]+\\)', '', 'g')") + ", 1 FROM dz",
+)
+def library_with_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = _mini(spark, sf_dir).select("peptide", F.explode(digest.peptidoforms(F.col("peptide"))).alias("modseq"), F.lit(None).cast("string").alias("protein"))
+    found = forms.withColumn("charge", F.explode(F.sequence(F.lit(2), F.lit(3))))
+    made = library.with_decoys(library.assemble(found, library.stub_predictor))
+    return rounded(rounded(made.select(*_COLUMNS, "Decoy"), "ProductMz", digits=3), "LibraryIntensity")
 
 
 @query("stream_index", _INDEX + " SELECT win_key, block, count(*) AS n_peaks, min(bin) AS min_bin, max(bin) AS max_bin, round(sum(intensity::DOUBLE), 3) AS intensity FROM i GROUP BY win_key, block")
@@ -520,3 +614,5 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = start_index(spark.sql(spark_sql("peaks"), events=events), name)
     running.awaitTermination()
     return rounded(read_index(spark, name), "intensity", digits=3)
+
+from peakloom.plans import roundtrips  # noqa: E402, F401  registers its queries too

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,55 @@ def decode_peaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     """(run, scan_index, ms_level, rt in seconds, drift_time or -1, precursors, peaks), one row for each spectrum."""
-    raw = spark.read.format("xml").option("rowTag", "spectrum").schema(SCHEMA).load(path).withColumn("run", F.input_file_name())
+    return _spectra(spark.read.format("xml").option("rowTag", "spectrum").schema(SCHEMA).load(path))
+
+
+def stream_mzml(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+    """The same rows as a stream over a folder of runs. A batch takes ``files_per_trigger`` files at most and the next begins
+    when it is done, so a slow consumer holds the reader back and memory holds one batch."""
+    reader = spark.readStream.format("xml").option("rowTag", "spectrum").option("maxFilesPerTrigger", files_per_trigger).schema(SCHEMA)
+    return _spectra(reader.load(path))
+
+
+def parse_counts(spectra: DataFrame) -> DataFrame:
+    """What parsing alone yields, without an index: fragment spectra that would be indexed, and their peaks; batch or stream."""
+    return spectra.where("ms_level = 2 AND size(peaks) > 0 AND size(precursors) > 0").agg(F.count(F.lit(1)).alias("spectra"), F.coalesce(F.sum(F.size("peaks").cast("bigint")), F.lit(0)).alias("peaks"))
+
+
+def write_mzml(spectra: DataFrame, path: str) -> None:
+    """Spectra as files of ``spectrum`` elements that ``read_mzml`` reads: 64-bit arrays, compressed. For exchange between jobs
+    and for tests; not a complete document of the format."""
+    spectra.select("scan_index", "ms_level", "rt", "drift_time", "precursors", "peaks").mapInArrow(_elements, "value string").write.mode("overwrite").text(path)
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cv(accession: str, value: object = "", unit: str = "") -> str:
+        return f'<cvParam accession="{accession}" value="{value}"' + (f' unitAccession="{unit}"' if unit else "") + "/>"
+
+    def array(kind: str, values: list[float]) -> str:
+        data = base64.b64encode(zlib.compress(np.asarray(values, "<f8").tobytes())).decode()
+        return f"<binaryDataArray>{cv(FLOAT64)}{cv(ZLIB)}{cv(kind)}<binary>{data}</binary></binaryDataArray>"
+
+    def element(r: dict) -> str:
+        window = lambda p: cv(TARGET, p["mz"]) + cv(LOWER, p["iso_lower"]) + cv(UPPER, p["iso_upper"])
+        chosen = "".join(f"<precursor><isolationWindow>{window(p)}</isolationWindow></precursor>" for p in r["precursors"])
+        drift = cv(DRIFT, r["drift_time"]) if r["drift_time"] >= 0 else ""
+        arrays = array(MZ_ARRAY, [p["mz"] for p in r["peaks"]]) + array(INTENSITY_ARRAY, [p["intensity"] for p in r["peaks"]])
+        return (
+            f'<spectrum index="{r["scan_index"]}">{cv(LEVEL, r["ms_level"])}<scanList><scan>{cv(START, r["rt"])}{drift}</scan></scanList>'
+            + (f"<precursorList>{chosen}</precursorList>" if chosen else "")
+            + f"<binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>"
+        )
+
+    lines = lambda some: pa.record_batch([pa.array(some, pa.string())], names=["value"])
+    yield lines(["<run>"])
+    for batch in batches:
+        yield lines(map(element, batch.to_pylist()))
+    yield lines(["</run>"])
+
+
+def _spectra(raw: DataFrame) -> DataFrame:
+    raw = raw.withColumn("run", F.input_file_name())
     scan = F.get("scanList.scan", F.lit(0))["cvParam"]
     start = F.get(F.filter(scan, lambda p: p["_accession"] == START), F.lit(0))
     rt = start["_value"].cast("double") * F.when(start["_unitAccession"] == MINUTE, 60.0).otherwise(1.0)

@@ -62,14 +62,14 @@ def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8)
     return spark.read.format("sqlite_table").option("table", table).option("partitions", partitions).load(path)
 
 
-def update_sqlite(features: DataFrame, path: str, table: str, id_col: str, columns: tuple[str, ...]) -> int:
+def update_sqlite(features: DataFrame, path: str, table: str, id_col: str, columns: tuple[str, ...], from_col: str | None = None) -> int:
     """Set ``columns`` of the rows with the features' ids, adding those that the table lacks; returns the rows set. The file
-    is one writer's, so rows are streamed through the driver; a second run overwrites the same values."""
+    is one writer's (``from_col``: the features' name of the id), so rows are streamed through the driver; a second run overwrites the same values."""
     with sqlite3.connect(path) as db:
         present = {c[1] for c in db.execute(f"PRAGMA table_info({_quoted(table)})")}
         for c in columns:
             if c not in present:
                 db.execute(f"ALTER TABLE {_quoted(table)} ADD COLUMN {_quoted(c)} REAL")
         sets = ", ".join(f"{_quoted(c)} = ?" for c in columns)
-        rows = features.select(*columns, id_col).toLocalIterator(prefetchPartitions=True)
+        rows = features.select(*columns, from_col or id_col).toLocalIterator(prefetchPartitions=True)
         return db.executemany(f"UPDATE {_quoted(table)} SET {sets} WHERE {_quoted(id_col)} = ?", map(tuple, rows)).rowcount

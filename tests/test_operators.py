@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import compare, digest, graph, index, library, percolation, rescore
+from peakloom.operators import compare, digest, graph, index, library, percolation, quantiles, rescore
 from peakloom.sources import mzml, sqlite, text
 
 FEATURES = [(1, 500.0, 100.0, 0.9, 0), (2, 500.0, 105.0, 0.5, 0), (3, 500.0, 110.0, 0.3, 1), (4, 500.0, 5000.0, 0.4, 0), (5, 900.0, 200.0, 0.7, 0), (6, 900.0, 205.0, 0.2, 1), (7, 900.0, 9000.0, 0.6, 0)]
@@ -234,3 +234,66 @@ def test_windowed_stream(spark, tmp_path):
     running.awaitTermination()
     rows = spark.table("cells_by_time").collect()
     assert rows and {r["n_peaks"] for r in rows} == {3}
+
+
+def test_aliases_in_order(spark):
+    """Where several names of a column are there, the first in order is taken."""
+    wide = spark.createDataFrame([(0.5, 0.001, 0.0, "A", "B", 2)], "`Global.Q.Value` double, `Q.Value` double, `PG.Q.Value` double, PeptideSequence string, `Peptide.Sequence` string, `Precursor.Charge` int")
+    assert [tuple(r) for r in compare.report_ids(wide).collect()] == [("B", 2)]
+    schema = "iRT double, RetentionTime double, Tr_recalibrated double, PrecursorMz double, ProductMz double, PrecursorCharge int, LibraryIntensity double, StrippedPeptide string, ProteinName string, `Protein.Ids` string, IonMobility double, IM double, Genes string"
+    row = library.convert_library(spark.createDataFrame([(1.0, 2.0, 3.0, 500.0, 400.0, 2, 1.0, "PEPTIDEK", "B", "A", 0.5, 0.9, "G")], schema), "seconds").first()
+    assert (row["NormalizedRetentionTime"], row["ProteinId"], row["PrecursorIonMobility"], row["GeneName"]) == (3.0, "A", 0.9, "G")
+
+
+def test_exact_medians(spark):
+    rng = random.Random(4)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in [rng.choice([rng.random(), 1.0, 2.0]) for _ in range(rng.choice([1, 2, 999, 1000]))]] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for upper in (False, True):
+        got = {r["g"]: r["v"] for r in quantiles.medians(df, ["g"], ["v"], upper).collect()}
+        for g in ("a", "b", None, "c"):
+            v = sorted(x for k, x in rows if k == g and x is not None)
+            want = None if not v else v[len(v) // 2] if upper else (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+            assert got[g] == want
+    whole = sorted(x for _, x in rows if x is not None)
+    assert quantiles.medians(df, [], ["v"], True).first()["v"] == whole[len(whole) // 2]
+
+
+def test_modified_decoys(spark):
+    forms = [(".(UniMod:1)AC(UniMod:4)DEFGHM(UniMod:35)K",), ("AAAAK",)]
+    got = {r[0]: r[1] for r in library.decoy_sequences(spark.createDataFrame(forms, "peptide string")).collect()}
+    assert list(got) == [forms[0][0]]
+    decoy = got[forms[0][0]]
+    assert decoy.startswith(".(UniMod:1)") and decoy.endswith("R") and "C(UniMod:4)" in decoy and "M(UniMod:35)" in decoy
+
+
+def test_reannotation(spark):
+    proteins = spark.createDataFrame([(0, "P", "SAMPLEMCKPEPTIDEKELVISK")], "ordinal bigint, protein string, sequence string")
+    lib = library.assemble(digest.precursors(proteins), library.stub_predictor)
+    moved = lib.withColumn("ProductMz", lib["ProductMz"] + 0.01)
+    mz = {r["TransitionId"]: r["ProductMz"] for r in lib.collect()}
+    back = library.reannotate(moved).collect()
+    assert len(back) == len(mz) and sum(abs(r["ProductMz"] - mz[r["TransitionId"]]) < 1e-9 for r in back) > 0.95 * len(mz)
+    assert library.reannotate(lib.withColumn("ProductMz", lib["ProductMz"] + 0.31)).count() < len(mz) / 4
+
+
+def test_restriction_by_windows(spark):
+    rng = random.Random(2)
+    rows = [(f"t{i}", rng.uniform(300, 900), rng.uniform(340, 900), "y", 1) for i in range(500)]
+    windows = [(300.0 + 25.5 * i, 327.0 + 25.5 * i) for i in range(24)]
+    got = library.restrict(spark.createDataFrame(rows, "TransitionId string, PrecursorMz double, ProductMz double, FragmentType string, ProductCharge int"), swaths=spark.createDataFrame(windows, "lower double, upper double"))
+    want = {i for i, p, f, _, _ in rows if f >= 350 and not any(a <= p < b and a <= f < b for a, b in windows)}
+    assert {r[0] for r in got.select("TransitionId").collect()} == want
+
+
+def test_frequent_nodes(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5100)]
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert {got[i] for i in range(3000)} == {0} and {got[i] for i in range(5000, 5101)} == {5000}
+
+
+def test_missing_score(spark):
+    f = spark.createDataFrame([(1, 2, 3.0)], "ID bigint, PRECURSOR_ID bigint, EXP_RT double")
+    m = spark.createDataFrame([(1, 0.5)], "FEATURE_ID bigint, VAR_A double")
+    with pytest.raises(ValueError, match="VAR_A"):
+        rescore.osw_features(f, m, f, "VAR_B")
