@@ -68,8 +68,8 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 1
     """Stochastic gradient descent over documents; a fifth of them calibrates the temperature and the rejection.
 
     ``reject_below`` is calibrated on the held documents from both sides: at most ``quantile`` of the rightly predicted ones
-    fall below it, so that clean documents of a known language stay, and it is no higher than needed to have half of the
-    same documents with their characters shuffled below it.
+    fall below it, so that clean documents of a known language stay, and it is no higher than needed to have a quarter of
+    the same documents with their characters shuffled below it.
     """
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], int)
@@ -110,7 +110,7 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 1
         model.temperature = min((2.0 ** (k / 2) for k in range(-6, 7)), key=loss)
         right = [p for i in usable for lang, p in [model.predict(texts[i])] if lang == names[y[i]]]
         garbled = [model.predict("".join(rng.permutation(list(texts[i]))))[1] for i in usable]
-        model.reject_below = float(min(np.quantile(right, quantile), np.median(garbled))) if right else 0.0
+        model.reject_below = float(min(np.quantile(right, quantile), np.quantile(garbled, 0.25))) if right else 0.0
     return model
 
 
