@@ -75,7 +75,8 @@ def scan(items: Column, state: Column, step: Callable[[Column, Column], Column],
 
 
 def found_spans(text: Column, pattern: str, hint: str) -> Column:
-    """Every match as (start, stop, value, left, right): code points, the end exclusive, and the text beside it.
+    """Every match as (start, stop, value, left, right): code points, the end exclusive, and the text beside it,
+    which reaches back to the match before at most.
 
     Splitting at the pattern gives what lies between the matches; lengths add up to positions.
     """

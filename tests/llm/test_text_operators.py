@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from peakloom.llm import common, grouping, langid, media, mixing, pieces, pii, quality, rules, simhash, substrings, toxicity
 
@@ -410,3 +411,163 @@ def test_suffix_array():
         if rng.random() < 0.3 and s:
             s = (s[: rng.randint(1, 6)] * 40)[:n]
         assert grouping.suffix_array(s) == sorted(range(n), key=lambda i: s[i:])
+
+
+# Further cases
+
+
+def slow_candidates(text, model):
+    """The added spans from ``re``, the trees' plain scores and a sweep over a sorted list."""
+
+    def kind_of(c):
+        return 0 if not c or c.isspace() else 3 if c in "0123456789" else 2 if c.isalpha() else 1
+
+    taken, found = [x.split(":") for x in base(text).split(",") if x], []
+    for k, kind in enumerate(pii.KINDS):
+        behind = 0
+        for m in re.finditer(pii.CANDIDATES[kind], text):
+            v, left, behind = m.group(), text[behind : m.start()][-40:], m.end()
+            d, gaps = len(re.sub("[^0-9]", "", v)), len(re.sub("[A-Za-z0-9]+", "", v))
+            whole = re.fullmatch(PATTERNS[kind], v)
+            f = {
+                "kind": k, "form": 0 if whole else 1 if re.search(pii.DELIBERATE[kind], v) else 2, "digits": 0 if d == 0 else 1 if d < 10 else 2 if d < 14 else 3 if d < 16 else 4 if d == 16 else 5,
+                "gaps": 0 if gaps == 0 else 1 if gaps < 3 else 2 if gaps < 5 else 3, "left": kind_of(left[-1:]), "right": kind_of(text[m.end() : m.end() + 1]), "context": int(bool(re.search(pii.CONTEXT[kind], left))),
+                "tail": 2 if re.search("[A-Za-z]{2}$", v) else 1 if re.search("[A-Za-z]$", v) else 0, "lead": 2 if v[0] == "+" else 1 if v[0] in "(0" else 0,
+            }
+            digits = [int(p) for p in re.findall("[0-9]+", v)]
+            able = {"email": bool(re.search(r"(?:\.|[dD][oO][tT][ )\]}]{1,2})[A-Za-z]{2,}$", v)), "ip": all(p <= 255 for p in digits), "card": passes("card", v), "phone": 10 <= d <= 15}[kind]
+            if able and model.of(f) >= model.thresholds[k]:
+                found.append((m.start(), 1, -model.of(f), m.end(), k))
+    items = sorted(found + [(int(a), 0, 0.0, int(e), -1) for _, a, e in taken] + [(1 << 31, 0, 0.0, 1 << 31, -1)])
+    out, until, held = [], 0, None
+    for start, after, cost, stop, k in items:
+        if not after:
+            if held and held[1] <= start:
+                out.append(held)
+            held, until = None, max(until, stop)
+        elif start >= until:
+            if held and start < held[1]:
+                held = (start, stop, k, cost) if cost < held[3] else held
+            else:
+                out += [held] if held else []
+                held = (start, stop, k, cost)
+    every = [(int(a), pii.KINDS.index(k), int(e)) for k, a, e in taken] + [(a, k, e) for a, e, k, _ in out]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in sorted(every))
+
+
+def test_pii_added_spans(spark):
+    rng = random.Random(12)
+    plain = ["met her at 3.5", "rose at example.com", "in 2020-10-15 2021-10 it", "10 000 000 000 people", "significant at 0.05", "version 1.2.3", "the year 1999 2000 2001", "about 4111 1111 1111 1112 items"]
+    real = ["mail a{0}@mail.example.com", "call +1 (017) 555-77{0}", "host 10.0.0.{0}", "card 4111 1111 1111 1111", "write jo{0} (at) mail (dot) example (dot) com", "phone 030 1234 56{0}", "server 10[.]0[.]0[.]{0}", "visa 4111.1111.1111.1111", "fax 0221 4470 1{0}", "contact jo{0} at example.com"]
+    texts = [". ".join(rng.choice(plain if rng.random() < 0.5 else real).format(rng.randint(10, 99)) for _ in range(rng.randint(1, 6))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id bigint, text string")
+    model = pii.fit_on(df)
+    assert min(model.thresholds) < float("inf")
+    got = {r[0]: r[1] for r in pii.find(df, model).select("doc_id", pii.listed("spans")).collect()}
+    for i, t in enumerate(texts + plain):
+        assert got[i] == slow_candidates(t, model), t
+    assert all(got[len(texts) + i] == base(t) for i, t in enumerate(plain))
+    assert any(got[i] != base(t) for i, t in enumerate(texts))
+
+
+def test_pii_of_many_matches(spark):
+    """Thousands of numbers in one text, in time that is linear in them."""
+    text = " ".join(f"+4930 {i % 9000 + 1000} {i % 7919:04d}" for i in range(6000))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    model = pii.SpanModel(1.0, (), (0.0,) * 4)
+    row = pii.find(df, model).select("doc_id", pii.listed("base")).where("doc_id = 1").first()
+    assert row[1] == base(text)
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df.selectExpr("*", "'x' AS spans", "1 AS base"), model).collect()}
+    assert clean[2] is None and "+4930" not in clean[1]
+
+
+def test_letters(spark):
+    assert [langid.has_letter(t) for t in ("½ ½", "Ⅷ", "² 4 _", "a", "½é", "日", "")] == [False, False, False, True, True, True, False]
+
+
+def test_language_rejects_what_it_does_not_know(labelled):
+    d, _ = labelled
+    model = langid.fit_on(d)
+    strange = ["Это русский текст о погоде и природе", "これは日本語の文章です。今日は天気がいい", "qxzj kvwq zzxq jjkw qqxz vvkj wqxz " * 5, "αυτό είναι ένα κείμενο στα ελληνικά"]
+    assert all(model.predict(t)[1] < model.reject_below for t in strange)
+
+
+@pytest.mark.parametrize("times", [1, 2, 5, 40])
+def test_rules_on_lines_of_any_length(spark, times):
+    """The same phrase is boilerplate in a short line and in a long one."""
+    good = "This is a plain sentence with enough words to be kept as it stands here."
+    line = "All rights reserved by the people who wrote these many words in a row here. " * times
+    got = rules.clean_lines(spark.createDataFrame([(1, f"{good}\n{line}")], "doc_id bigint, text string"), repeat_percent=100).first()
+    assert got["cleaned"] == good
+
+
+def slow_line_fails(line):
+    end, cut = line.rstrip(" \t\n\v\f\r"), "".join(line.split())
+    ended = re.search(r"[.!?…:;。！？][\"')\]»“”’]*$", end)
+    return bool(
+        (not ended and (len(end.split()) < 5 or re.match(r"[ \t]*(?:[-*+•●▪‣–·]|[0-9]{1,3}[.)])[ \t]", line)))
+        or end.endswith(("...", "…"))
+        or re.search(rules.BOILERPLATE.replace("(?iu)", "(?i)"), line)
+        or 2 * sum(c.isalpha() for c in cut) < len(cut)
+        or 8 * sum(c in "#*$%&|<>{}[]=\\^~_!" for c in cut) > len(cut)
+        or cut.count("|") >= 3
+        or (len(cut) > 3 and not any(c.islower() for c in cut) and any(c.isupper() for c in cut))
+        or re.match(rules.NAVIGATION, line, re.ASCII | re.IGNORECASE)
+    )
+
+
+def test_rules_by_line_against_a_slow_version(spark, docs):
+    extra = ["Home | About", "- an item without an end", "- an item with an end.", "cut off here...", "Read more", "SHOUTING ALL THE TIME HERE.", "a | b | c | d and more words here.", "12 34 56 78 90 11 22.", "Two words", "copyright 2020 by someone or other, as it stands.", "##### ***** =====", "A proper sentence, with an end!"]
+    texts = extra + [r["text"] for r in docs.collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in rules.clean_lines(df).collect():
+        seen, keep = set(), []
+        for line in (texts[r["doc_id"]] or "").split("\n"):
+            if line.strip(" \t\n\v\f\r") and line not in seen:
+                seen.add(line)
+                keep += [] if slow_line_fails(line) else [line]
+        assert r["cleaned"] == "\n".join(keep), texts[r["doc_id"]][:200]
+        chars = sum(map(len, (texts[r["doc_id"]] or "").split()))
+        lost = 1 - sum(len("".join(x.split())) for x in keep) / chars if chars else 1
+        assert r["kept"] == (not r["base_failed"] and lost <= 0.5 + 1e-12)
+
+
+def test_one_of_each_group_with_repeated_ids(spark):
+    b, a = "the same long text of some ten words stands here", "another text that has nothing at all to do with it"
+    rows = [(3, b), (5, a), (5, b), (5, a), (None, a), (None, "a third text without an id, alone in its group of one"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS told", "'y' AS row", "1 AS id")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each_group(df).collect())
+    assert got == Counter([(3, b), (5, a), (None, "a third text without an id, alone in its group of one"), (7, None)])
+    assert simhash.one_of_each_group(df).columns == df.columns and simhash.one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_mix_of_repeated_ids(spark):
+    rows = [(None, f"s{i % 2}", i) for i in range(600)] + [(1, "s0", i) for i in range(300)] + [(i, "s1", 0) for i in range(2, 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, h int").selectExpr("*", "1 AS r", "2 AS __s", "map('a', 1) AS m")
+    first = sorted(tuple(r)[:3] + (r["mix_position"],) for r in mixing.mix(df, block_rows=4, rows_per_bucket=16).selectExpr("coalesce(doc_id, -1) AS d", "source", "h", "mix_position").collect())
+    again = sorted(tuple(r)[:3] + (r["mix_position"],) for r in mixing.mix(df.repartition(5), block_rows=4, rows_per_bucket=16).selectExpr("coalesce(doc_id, -1) AS d", "source", "h", "mix_position").collect())
+    assert first == again and len({x[3] for x in first}) == len(rows)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(df, most_sources=1)
+
+
+def test_sample_of_repeated_ids(spark):
+    rows = [(1, "en", f"text {i}") for i in range(500)] + [(i, "de", f"ein text {i}") for i in range(2, 12)]
+    known = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = common.one_of_each(common.sample_by(known, "lang", 400), "doc_id").collect()
+    assert len(got) <= 11 and len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_media_reads_what_is_stored(spark, monkeypatch):
+    """Bytes damaged in the store are noticed: the media come from there."""
+    made = spark.createDataFrame([(1, "some text of a document " * 40), (2, "some other text " * 40)], "doc_id bigint, text string")
+    write = media.durable_table
+
+    def damaged(df, name, *rest):
+        if name == "media":
+            df = df.withColumn("head", F.expr("cast(concat('JUNK', substring(cast(head AS string), 5)) AS binary)"))
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(media, "durable_table", damaged)
+    with pytest.raises(Exception, match="WAVE"):
+        media.media_columns(made).collect()
