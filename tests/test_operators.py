@@ -1,6 +1,7 @@
 """Operators on the published fixtures and on edge cases."""
 
 import math
+import os
 import random
 import sqlite3
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import compare, digest, graph, index, library, percolation, quantiles, rescore
+from peakloom.plans import durable
 from peakloom.sources import mzml, sqlite, text
 
 FEATURES = [(1, 500.0, 100.0, 0.9, 0), (2, 500.0, 105.0, 0.5, 0), (3, 500.0, 110.0, 0.3, 1), (4, 500.0, 5000.0, 0.4, 0), (5, 900.0, 200.0, 0.7, 0), (6, 900.0, 205.0, 0.2, 1), (7, 900.0, 9000.0, 0.6, 0)]
@@ -297,3 +299,13 @@ def test_missing_score(spark):
     m = spark.createDataFrame([(1, 0.5)], "FEATURE_ID bigint, VAR_A double")
     with pytest.raises(ValueError, match="VAR_A"):
         rescore.osw_features(f, m, f, "VAR_B")
+
+
+def test_scratch_tables_go(spark):
+    """What is written in a scratch block is gone after it, what is kept stays."""
+    path = lambda df: df.inputFiles()[0].removeprefix("file://")
+    with durable.scratch(spark):
+        gone, kept = (durable.durable_table(spark.range(3).toDF("id"), "t", keep=k) for k in (False, True))
+        paths = [path(gone), path(kept)]
+        assert all(map(os.path.exists, paths)) and gone.count() == 3
+    assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 3
