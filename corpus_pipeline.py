@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import langid, mixing, pieces, pii, simhash
-from peakloom.plans.durable import durable_table
+from peakloom.plans.durable import durable_table, scratch
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable_table(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):  # what a stage writes on its way goes when its result is kept
+            docs = durable_table(stage(spark, docs, sf_dir), name, keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
