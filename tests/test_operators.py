@@ -309,3 +309,35 @@ def test_scratch_tables_go(spark):
         paths = [path(gone), path(kept)]
         assert all(map(os.path.exists, paths)) and gone.count() == 3
     assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 3
+
+
+def test_gate(spark):
+    counts = spark.createDataFrame([(7999, 9000)], "total bigint, targets bigint")
+    compare.gate(counts, "total >= 8000 OR targets >= 8000")
+    with pytest.raises(RuntimeError, match="gate"):
+        compare.gate(counts, "total >= 8000")
+
+
+def test_sweep_over_the_first_proteins(spark):
+    rng = random.Random(5)
+    proteins = spark.createDataFrame([(i, "".join(rng.choice("ACDEFGHIKL") for _ in range(30))) for i in range(12)], "ordinal bigint, sequence string")
+    got = {(r["k"], r["n_proteins"]): r["n_peptides"] for r in percolation.sweep(proteins, (3, 8), (4, 12)).collect()}
+    each = sum(30 - n + 1 for n in range(8, 13))
+    assert got == {(k, n): each * n for k in (3, 8) for n in (4, 12)}
+
+
+def test_library_files(spark, tmp_path):
+    """A library is written in one order whatever its partitions, and read again by the suffix of its path."""
+    proteins = spark.createDataFrame([(0, "P", "SAMPLEMCKPEPTIDEKELVISK")], "ordinal bigint, protein string, sequence string")
+    lib = library.assemble(digest.precursors(proteins), library.stub_predictor).cache()
+
+    def lines(df, name):
+        library.write_library(df, str(tmp_path / name))
+        return [line for f in sorted((tmp_path / name).glob("part-*")) for line in f.read_text().splitlines() if not line.startswith("PrecursorMz")]
+
+    first = lines(lib, "a.tsv")
+    assert first == lines(lib.repartition(5), "b.tsv") and len(first) == lib.count()
+    back = text.read_table(spark, str(tmp_path / "a.tsv"))
+    assert set(library.COLUMNS) <= set(back.columns) and back.count() == len(first)
+    lib.write.parquet(str(tmp_path / "c.parquet"))
+    assert text.read_table(spark, str(tmp_path / "c.parquet")).columns == list(library.COLUMNS)
