@@ -145,7 +145,8 @@ def word_table(path: str) -> WordTable:
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``id_col``, ``ids`` (array<int>, if asked for), ``n_tokens``, ``ids_sha256``, ``decoded`` text's ``decoded_sha256``.
 
-    Encodes without begin or end ids and without sampling; null texts are empty, with no ids. ``model_path`` must be
+    Encodes without begin or end ids and without sampling; null texts are empty, with no ids; very long texts are encoded
+    whole. ``model_path`` must be
     readable on every executor (an installed package's file is). Rows are independent, repeated rows give equal
     results, other columns are not read, and an empty table gives an empty result.
     """

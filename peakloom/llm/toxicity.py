@@ -79,7 +79,8 @@ class ToxicModel:
         return found
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """Every significant passage (start, end, log of how unlikely its score is among as many clean words)."""
+        """Every significant passage (start, end, log of how unlikely its score is among as many clean words, with the
+        constant K of Karlin and Altschul taken as one: the logistic curve behind it takes up a constant factor)."""
         if not words:
             return []
         scores = np.fromiter(map(self.odd, words), np.float64, len(words))
