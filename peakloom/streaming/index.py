@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,11 +23,12 @@ def _summary(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stream-{name}-cells"
 
 
-def start_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 30.0) -> StreamingQuery:
+def start_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 30.0, resume: bool = False) -> StreamingQuery:
     """Run the stream over what there is now and stop: ``read_index`` is the finished index's summary. The executors write
-    it as Parquet in the shared folder; no cell passes through the driver."""
+    it as Parquet in the shared folder; no cell passes through the driver. With ``resume`` the stream of that name goes on
+    where it was last left, over the same source; else it begins anew."""
     spark = peaks.sparkSession
-    where, to = f"{shared_dir(spark).rstrip('/')}/stream-{name}", _summary(spark, name)
+    where, to = f"{shared_dir(spark).rstrip('/')}/stream-{name}" + ("" if resume else f"-{uuid4().hex}"), _summary(spark, name)
     found = stream_cells(peaks, ppm, seconds)
     spark.createDataFrame([], found.schema).write.mode("overwrite").parquet(to)  # what a stream without data leaves
     write = lambda batch, _: batch.write.mode("overwrite").parquet(to)
