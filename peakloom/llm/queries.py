@@ -15,6 +15,7 @@ from peakloom.llm.quality import op1_quality
 from peakloom.llm.rules import op7_rules
 from peakloom.llm.simhash import op4_simhash
 from peakloom.llm.substrings import op10_substrings
+from peakloom.llm.tokencounts import op11_token_counts
 from peakloom.llm.toxicity import op2_toxicity
 
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_media": op9_media,
         "op10_substrings": op10_substrings,
+        "op11_token_counts": op11_token_counts,
     }
 
 
