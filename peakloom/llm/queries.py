@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peakloom.llm.codebooks import CODES_SQL, op13_vector_codes
 from peakloom.llm.langid import op6_language
 from peakloom.llm.media import op9_media
 from peakloom.llm.mixing import op8_mixing
+from peakloom.llm.negatives import NEGATIVES_SQL, op12_hard_negatives
 from peakloom.llm.pieces import op5_sentencepiece
 from peakloom.llm.pii import op3_pii
 from peakloom.llm.quality import op1_quality
@@ -32,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_media": op9_media,
         "op10_substrings": op10_substrings,
         "op11_token_counts": op11_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -58,4 +62,4 @@ SELECT doc_id, source, block AS mix_block, slot AS mix_slot, slot * 16 + i % 16
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": MIXING_SQL}
+    return {"op8_mixing": MIXING_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_vector_codes": CODES_SQL}
