@@ -25,6 +25,9 @@ CHUNK = regex.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 LEADING = regex.compile(f"[{_WHITE}]*")
 #: How a byte-level model cuts a chunk's part that is not white space (one space may stand in front).
 WORD = regex.compile(rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+")
+#: Those of its words that are several shorter ones when cut short, and what these begin with.
+CONTRACTIONS = {"'re", "'ve", "'ll"}
+LETTERS = {"r", "v", "l"}
 #: Stands for the border of two chunks; texts that hold it take the general way.
 BORDER = "\ue000"
 
@@ -84,6 +87,7 @@ class PrefixTable:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.words: dict[str, bytes | list[int]] = {}
         self.flat, self.start = np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -106,53 +110,63 @@ class PrefixTable:
                     return False
         return True
 
-    def prefixes(self, data: bytes) -> list[int]:
-        """Tokens of each prefix of one word, from the empty one on."""
-        last, count, ending, pairs = [-1] * (len(data) + 1), [0] * (len(data) + 1), self.ending, self.pairs
-        for i in range(1, len(data) + 1):
-            j, ends = i - 1, []
-            while j >= 0 and (t := ending.get(data[j:i])) is not None:
-                if t >= 0:
-                    ends.append((j, t))
-                j -= 1
-            for j, t in reversed(ends):
-                if j == 0:
+    def learn(self, words: set[str]) -> None:
+        """Tokens of each prefix of each word, by characters, kept in ``words``. In order of their bytes words follow each
+        other that begin alike, and the prefixes that a word shares with the one before it are not counted again."""
+        ending, pairs, before = self.ending, self.pairs, b""
+        last, count = [-1], [0]
+        for data, word in sorted((w.encode(), w) for w in words if w not in self.words):
+            n, i = len(data), 0
+            for x, y in zip(data, before, strict=False):
+                if x != y:
                     break
-                pair = last[j], t
-                ok = pairs.get(pair)
-                if ok is None:
-                    ok = pairs[pair] = self.apart(*pair)
-                if ok:
-                    break
-            else:
-                raise AssertionError("no token ends here")
-            last[i], count[i] = t, count[j] + 1
-        return count
+                i += 1
+            del last[i + 1 :], count[i + 1 :]
+            for i in range(i + 1, n + 1):
+                j, ends = i - 1, []
+                while j >= 0 and (t := ending.get(data[j:i])) is not None:
+                    if t >= 0:
+                        ends.append((j, t))
+                    j -= 1
+                for j, t in reversed(ends):
+                    if j == 0:
+                        break
+                    pair = last[j], t
+                    ok = pairs.get(pair)
+                    if ok is None:
+                        ok = pairs[pair] = self.apart(*pair)
+                    if ok:
+                        break
+                else:
+                    raise AssertionError("no token ends here")
+                last.append(t)
+                count.append(count[j] + 1)
+            before = data
+            found = count[1:] if n == len(word) else [count[i] for i in np.cumsum([len(c.encode()) for c in word]).tolist()]
+            self.words[word] = bytes(found) if n < 256 else found
+
+    @staticmethod
+    def cut(text: str) -> tuple[str, str, list[str]]:
+        """A chunk's leading white space, the last of that if it is a word of its own before other characters, and the words
+        behind (the first with a space in front, if there is one)."""
+        space = LEADING.match(text).end()
+        if not space or space == len(text):
+            return text[:space], "", [] if space else WORD.findall(text)
+        last = text[space - 1]
+        return (text[:space], "", WORD.findall(text, space - 1)) if last == " " else (text[:space], last, WORD.findall(text, space))
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, space: str, last: str, words: list[str]) -> list[int]:
         """Tokens of each prefix of a chunk, by characters, from the first on."""
-        out: list[int] = []
-        base, at = 0, 0
-
-        def add(word: str) -> list[int]:
-            """Counts at the ends of the word's characters."""
-            count = self.prefixes(word.encode())
-            return count[1:] if len(count) == len(word) + 1 else [count[i] for i in np.cumsum([len(c.encode()) for c in word]).tolist()]
-
-        space = LEADING.match(text).end()
+        known, out, base, at = self.words, [], 0, 0
         if space:
-            out = add(text[:space])  # at the end of a prefix all its white space is one word
-        if 0 < space < len(text):  # before other characters the last of it goes its own way, a space with what follows
-            base, at = out[-2] if space > 1 else 0, space - 1
-            if text[at] != " ":
-                base, at = base + add(text[at])[-1], space
-        elif space:
-            return out
-        while at < len(text):
-            word = WORD.match(text, at)[0]
-            found = add(word)
-            if len(word) == 3 and word[0] == "'" and word[1:] in ("re", "ve", "ll"):  # cut short it is no contraction
-                found[1] = found[0] + add(word[1])[0]
+            out = [*known[space]]  # at the end of a prefix all its white space is one word
+            base, at = out[-2] if len(out) > 1 else 0, len(out) - 1
+            if last:
+                base, at = base + known[last][-1], len(out)
+        for word in words:
+            found = known[word]
+            if word in CONTRACTIONS:  # cut short it is none
+                found = [found[0], found[0] + known[word[1]][0], found[2]]
             out += [base + n for n in found[len(out) - at :]]
             base, at = base + found[-1], at + len(word)
         return out
@@ -164,7 +178,9 @@ class PrefixTable:
             self.clear()
             new = list(dict.fromkeys(chunks))
         if new:
-            at, found = len(self.row), [self.chunk(c) for c in new]
+            cuts = [self.cut(c) for c in new]
+            self.learn(LETTERS.union(*([x, y, *z] if y else [x, *z] if x else z for x, y, z in cuts)))
+            at, found = len(self.row), [self.chunk(*c) for c in cuts]
             ends = self.start[at] + np.cumsum([len(x) for x in found])
             while ends[-1] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
