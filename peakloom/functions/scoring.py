@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+from peakloom.functions.arrays import let
+from peakloom.functions.arrays import total as _sum
 
 
 def _paired(a: Column, b: Column, value: Column) -> Column:
@@ -16,41 +15,46 @@ def _paired(a: Column, b: Column, value: Column) -> Column:
 
 def standardize(x: Column) -> Column:
     """Less the mean, over the population deviation; only less the mean where that is zero; empty stays empty."""
-    n = F.size(x)
-    mean = F.when(n > 0, _sum(x) / n)
-    centred = F.transform(x, lambda v: v - mean)
-    sd = F.sqrt(_sum(F.transform(centred, lambda v: v * v)) / F.nullif(n, F.lit(0)))
-    return F.when(n == 0, x).when(sd > 0, F.transform(centred, lambda v: v / sd)).otherwise(centred)
+    n = F.nullif(F.size(x), F.lit(0))
+    divided = lambda c, sd: F.when(sd > 0, F.transform(c, lambda v: v / sd)).otherwise(c)
+    deviation = lambda c: F.sqrt(_sum(F.transform(c, lambda v: v * v)) / n)
+    centred = lambda mean: F.transform(x, lambda v: v - mean)
+    some = let(_sum(x) / n, lambda mean: let(centred(mean), lambda c: let(deviation(c), lambda sd: divided(c, sd))))
+    return F.when(F.size(x) == 0, x).otherwise(some)
 
 
 def xcorr_post(a: Column, b: Column, max_delay: int) -> Column:
     """Sum of a[i] b[i + d] over the overlap, over the full length, for d from -max_delay to max_delay."""
-    n = F.size(a)
 
-    def at(d: Column) -> Column:
-        low, high = F.greatest(F.lit(0), -d), F.least(n, n - d)
-        terms = F.when(high > low, F.transform(F.sequence(low, high - 1), lambda i: F.get(a, i) * F.get(b, i + d))).otherwise(F.array().cast("array<double>"))
-        return F.struct(d.alias("delay"), (_sum(terms) / F.nullif(n, F.lit(0))).alias("value"))
+    def of(x: Column, y: Column) -> Column:
+        n = F.size(x)
+
+        def at(d: Column) -> Column:
+            # The overlap is a slice of each: one pass, without looking up places.
+            low, m = F.greatest(F.lit(0), -d), F.greatest(F.lit(0), n - F.abs(d))
+            terms = F.zip_with(F.slice(x, low + 1, m), F.slice(y, low + d + 1, m), lambda v, w: v * w)
+            value = F.when(m > 0, _sum(terms)).otherwise(F.lit(0.0)) / F.nullif(n, F.lit(0))
+            return F.struct(d.alias("delay"), value.alias("value"))
+
+        return _paired(x, y, F.transform(F.sequence(F.lit(-max_delay), F.lit(max_delay)), at))
 
-    return _paired(a, b, F.transform(F.sequence(F.lit(-max_delay), F.lit(max_delay)), at))
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
 def xcorr(a: Column, b: Column, max_delay: int) -> Column:
     return xcorr_post(standardize(a), standardize(b), max_delay)
 
 
-def xcorr_max(peaks: Column) -> Column:
-    """The largest in magnitude, with its sign; the first delay of equal ones."""
-    return F.aggregate(
-        F.slice(peaks, F.lit(2), F.greatest(F.size(peaks) - 1, F.lit(0))),
-        F.get(peaks, F.lit(0)),
-        lambda best, x: F.when(F.abs(x["value"]) > F.abs(best["value"]), x).otherwise(best),
-    )
+def xcorr_max(peaks: Column, digits: int | None = None) -> Column:
+    """The largest in magnitude, with its sign; the first delay of equal ones (equal to ``digits`` places, if given)."""
+    size = lambda x: F.abs(x["value"]) if digits is None else F.round(F.abs(x["value"]), digits)
+    rest = lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+    return let(peaks, lambda p: F.aggregate(rest(p), F.get(p, F.lit(0)), lambda best, x: F.when(size(x) > size(best), x).otherwise(best)))
 
 
 def normalized_manhattan(a: Column, b: Column) -> Column:
     """Mean absolute difference after each is divided by its sum (unless that is zero); 0 of empty ones."""
-    share = lambda x: F.when(_sum(x) != 0, F.transform(x, lambda v: v / _sum(x))).otherwise(x)
+    share = lambda x: let(_sum(x), lambda s: F.when(s != 0, F.transform(x, lambda v: v / s)).otherwise(x))
     gaps = F.zip_with(share(a), share(b), lambda x, y: F.abs(x - y))
     return _paired(a, b, F.when(F.size(a) == 0, F.lit(0.0)).otherwise(_sum(gaps) / F.nullif(F.size(a), F.lit(0))))
 
@@ -64,8 +68,8 @@ def spectral_angle(a: Column, b: Column) -> Column:
     """Angle between two intensity vectors; 0 if either has no length (see ``has_angle``)."""
     dot = _sum(F.zip_with(a, b, lambda x, y: x * y))
     norm = F.sqrt(_sum(F.transform(a, lambda v: v * v))) * F.sqrt(_sum(F.transform(b, lambda v: v * v)))
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.nullif(norm, F.lit(0.0))))
-    return _paired(a, b, F.when(norm == 0, F.lit(0.0)).otherwise(F.acos(cosine)))
+    cosine = lambda n: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.nullif(n, F.lit(0.0))))
+    return _paired(a, b, let(norm, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.acos(cosine(n)))))
 
 
 def has_angle(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakloom.functions.binning import MZ0, mz_bin, neighbours, rt_block, window_key
+from peakloom.functions.scoring import standardize, xcorr_max, xcorr_post
 
 
 def window_ids(peaks: DataFrame) -> DataFrame:
@@ -106,12 +107,12 @@ def traces(gathered: DataFrame, group: str = "group", fragment: str = "fragment"
     return each.join(points, group).select(group, fragment, F.transform("points", lambda t: F.coalesce(F.try_element_at("at", t), F.lit(0.0))).alias("trace"))
 
 
-def all_pairs_xcorr(traces_: DataFrame, max_delay: int, group: str = "group", fragment: str = "fragment") -> DataFrame:
+def all_pairs_xcorr(traces_: DataFrame, max_delay: int, group: str = "group", fragment: str = "fragment", digits: int | None = None) -> DataFrame:
     """Cross-correlation peak of every pair i <= j of a group's traces, the diagonal included. Each trace is standardized
-    once; a group has as many fragments as a transition group, so its pairs are few."""
-    from peakloom.functions.scoring import standardize, xcorr_max, xcorr_post
-
-    z = traces_.select(group, fragment, standardize(F.col("trace")).alias("z"))
+    once; a group has as many fragments as a transition group, so its pairs are few. With ``digits`` magnitudes that are
+    equal when rounded to so many count as equal, and the first delay of these wins."""
+    # Kept beside the join: a projection that joined rows are given could else be computed for each pair.
+    z = traces_.select(group, fragment, standardize(F.col("trace")).alias("z")).repartition(group)
     a, b = z.select(group, F.col(fragment).alias("i"), F.col("z").alias("za")), z.select(group, F.col(fragment).alias("j"), F.col("z").alias("zb"))
     pairs = a.join(b, group).where("i <= j")
-    return pairs.select(group, "i", "j", xcorr_max(xcorr_post(F.col("za"), F.col("zb"), max_delay)).alias("peak"))
+    return pairs.select(group, "i", "j", xcorr_max(xcorr_post(F.col("za"), F.col("zb"), max_delay), digits).alias("peak"))

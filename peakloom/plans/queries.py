@@ -274,11 +274,9 @@ def xcorr_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("allpairs_xcorr", _XCORR + ' SELECT grp AS "group", fi AS i, fj AS j, arg_min(delay, (-round(abs(value), 9), delay))::INT AS delay, round(arg_min(value, (-round(abs(value), 9), delay)), 6) AS value FROM c GROUP BY 1, 2, 3')
 def allpairs_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = traces(spark, sf_dir).select("group", "fragment", scoring.standardize(F.col("trace")).alias("z"))
-    pairs = z.select("group", F.col("fragment").alias("i"), F.col("z").alias("a")).join(z.select("group", F.col("fragment").alias("j"), F.col("z").alias("b")), "group").where("i <= j")
     # Magnitudes are rounded first: equal peaks at d and -d would else be told apart by their last bits.
-    best = F.array_min(F.transform(scoring.xcorr_post(F.col("a"), F.col("b"), 2), lambda x: F.struct((-F.round(F.abs(x["value"]), 9)).alias("m"), x["delay"].alias("delay"), x["value"].alias("value"))))
-    return pairs.select("group", "i", "j", best["delay"].alias("delay"), F.round(best["value"], 6).alias("value"))
+    found = index.all_pairs_xcorr(traces(spark, sf_dir), 2, digits=9)
+    return found.select("group", "i", "j", F.col("peak.delay").alias("delay"), F.round("peak.value", 6).alias("value"))
 
 
 @query("spectral_angle", _PAIRS + ' SELECT grp AS "group", i, j, round(CASE WHEN sqrt(sum(a * a)) * sqrt(sum(b * b)) = 0 THEN 0 ELSE acos(greatest(-1, least(1, sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))))) END, 6) AS angle, bool_or(a <> 0) AND bool_or(b <> 0) AS valid FROM v GROUP BY 1, 2, 3')

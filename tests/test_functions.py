@@ -119,3 +119,38 @@ def test_masses(spark):
 def test_elements(spark, mods, sites, expected):
     rows = one(spark, chemistry.element_rows(F.col("m"), F.col("s")), m=mods, s=sites)
     assert {tuple(r) for r in rows} == expected
+
+
+def test_long_arrays_cost_in_proportion(spark):
+    """Values are bound once: a cubic form would take 64 times as long for four times the length."""
+    import time
+
+    def seconds(n):
+        df = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * F.col("id") % 97).cast("double")).alias("x")).cache()
+        df.count()
+        run = lambda: df.select(scoring.standardize(F.col("x")).alias("z"), scoring.normalized_manhattan(F.col("x"), F.reverse("x")).alias("m"), scoring.xcorr_max(scoring.xcorr(F.col("x"), F.reverse("x"), 2)).alias("c")).write.format("noop").mode("overwrite").save()
+        run()
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            run()
+            best.append(time.perf_counter() - began)
+        df.unpersist()
+        return min(best)
+
+    assert seconds(1200) < 12 * seconds(300) + 0.5
+
+
+def test_xcorr_beyond_the_length(spark):
+    got = one(spark, scoring.xcorr_post(F.col("a"), F.col("b"), 3), a=[1.0, 2.0], b=[3.0, 4.0])
+    assert [r["value"] for r in got] == [0.0, 0.0, 3.0, 5.5, 2.0, 0.0, 0.0]
+    assert one(spark, scoring.xcorr_post(F.col("a"), F.col("b"), 3), a=[1.0, 2.0], b=[3.0]) is None
+
+
+def test_ions_of_short_forms(spark):
+    assert one(spark, F.transform(chemistry.fragment_ions(chemistry.residue_masses(F.col("s")), F.lit(2)), lambda x: x["mz"]), s="A") == []
+    assert one(spark, chemistry.fragment_ions(chemistry.residue_masses(F.col("s")), F.lit(2)), s="") == []
+    got = one(spark, chemistry.fragment_ions(chemistry.form_masses(F.col("s")), F.lit(1)), s="AC(UniMod:4)K")
+    masses = [chemistry.RESIDUES["A"], chemistry.RESIDUES["C"] + 57.02146372, chemistry.RESIDUES["K"]]
+    assert [(r["type"], r["series"]) for r in got] == [("b", 1), ("b", 2), ("y", 1), ("y", 2)]
+    assert [r["mz"] for r in got] == pytest.approx([sum(masses[:k]) + chemistry.PROTON for k in (1, 2)] + [sum(masses[-k:]) + chemistry.WATER + chemistry.PROTON for k in (1, 2)])
