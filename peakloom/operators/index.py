@@ -88,12 +88,18 @@ def gather(transitions: DataFrame, peaks: DataFrame, ppm: float = 20.0, rt_width
     of that of ``im_apex``.
 
     An interval join as an equi-join on (window, bin): the transition goes to its bin and those beside it, which hold
-    every value within the tolerance; the exact test follows.
+    every value within the tolerance; the exact test follows. With ``rt_width`` blocks of that width are in the key as
+    well (a transition goes to the one or two that its range touches), so that a crowded bin is not met over a whole run.
     """
     t = transitions.withColumn("bin", F.explode(neighbours(mz_bin(F.col("product_mz"), ppm))))
     p = peaks.select(window_key(F.col("win_mz")).alias("win_key"), mz_bin(F.col("mz"), ppm).alias("bin"), "scan_index", "rt", "mz", "intensity", *(["im"] if im_width >= 0 else []))
+    keys = ["win_key", "bin"]
+    if rt_width is not None:
+        within = lambda rt: F.floor(rt / F.lit(max(rt_width, 1e-9)))
+        touched = F.array_distinct(F.array(within(F.col("rt_apex") - rt_width / 2), within(F.col("rt_apex")), within(F.col("rt_apex") + rt_width / 2)))
+        t, p, keys = t.withColumn("__block", F.explode(touched)), p.withColumn("__block", within(F.col("rt"))), [*keys, "__block"]
     near = F.abs(p["mz"] - t["product_mz"]) <= t["product_mz"] * (ppm / 2 * 1e-6)
-    joined = t.join(p, ["win_key", "bin"]).where(near)
+    joined = t.join(p, keys).where(near).drop("__block")
     if rt_width is not None:
         joined = joined.where(F.abs(F.col("rt") - F.col("rt_apex")) <= rt_width / 2)
     return joined.where(F.abs(F.col("im") - F.col("im_apex")) <= im_width / 2) if im_width >= 0 else joined

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,3 +45,19 @@ def medians(df: DataFrame, by: list[str], values: list[str], upper: bool = False
             found = low.select(*by, "value").union(high.select(*by, "value")).groupBy(*by).agg(F.avg("value").alias(v))
         out = _beside(out, found, by, "left")
     return out
+
+
+def at_or_better(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], ranges: int = 64) -> DataFrame:
+    """For each distinct ``value`` of each group, ``sums`` over the group's rows of that value or a higher one. Rows with a
+    null value are left out. Distinct values are summed first; these are cut into ``ranges`` of their group, each summed alone
+    and offset by the ranges above it."""
+    names = list(sums)
+    at = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    cuts = F.percentile_approx("value", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)) if ranges > 1 else F.array().cast("array<double>")
+    part = _beside(at, at.groupBy(*by).agg(cuts.alias("cuts")), by).withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    each = part.groupBy(*by, "r").agg(*(F.sum(n).alias(n) for n in names))
+    above = W.partitionBy(*by).orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
+    base = each.select(*by, "r", *(F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"__{n}") for n in names))
+    within = W.partitionBy(*by, "r").orderBy(F.desc("value"))
+    run = part.select(*by, "r", "value", *(F.sum(n).over(within).alias(n) for n in names))
+    return _beside(run, base, [*by, "r"]).select(*by, "value", *((F.col(n) + F.col(f"__{n}")).alias(n) for n in names))

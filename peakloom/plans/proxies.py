@@ -55,6 +55,26 @@ PROXIES = {
         ["documents"],
         "SELECT doc_id AS ordinal, 'P' || CAST(doc_id AS VARCHAR(20)) AS protein, upper(regexp_replace(text, '[^A-Za-z]+', ''{all})) AS sequence FROM {documents}",
     ),
+    # Peaks at ten masses on a grid of half days, so that fragments share points.
+    "chromatogram": (
+        ["events"],
+        "SELECT event_id AS scan_index, floor({seconds} / 43200) * 43200{double} AS rt, 400.0{double} + 24 * (user_id % 25) AS win_mz, 100 + 50 * floor(value / 50) + (event_id % 7) * 0.0001{double} AS mz, value AS intensity FROM {events}",
+    ),
+    # Six fragments for each customer, in one of the windows.
+    "assays": (
+        ["customer"],
+        "SELECT c_custkey AS candidate, CAST(c_custkey % 2 AS INT) AS decoy, CAST(40000 + 2400 * (c_custkey % 25) AS BIGINT) AS win_key, j AS fragment, CAST(100 + 50 * ((c_custkey * 7 + j * 3) % 10) AS DOUBLE) AS product_mz, 1.0{double} / (1 + j) AS intensity,"
+        " CAST((c_custkey * 7919) % 60 AS DOUBLE) * 43200 AS rt_apex FROM {customer} CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) AS fragments",
+    ),
+    # Three peak groups for each precursor with four sub-scores: every second target precursor has one real group, the second.
+    "peak_groups": (
+        ["events"],
+        "SELECT event_id AS group_id, event_id {idiv} 3 AS precursor_id, CAST((event_id {idiv} 3) % 2 AS INT) AS decoy,"
+        " (event_id * 7919 % 1009 + event_id * 104729 % 1013 + event_id * 1299709 % 1019) / 1000.0{double} + CASE WHEN (event_id {idiv} 3) % 4 = 0 AND event_id % 3 = 1 THEN 1.6{double} ELSE 0.0{double} END AS s1,"
+        " (event_id * 15485863 % 1021 + event_id * 86028121 % 1031) / 1000.0{double} + CASE WHEN (event_id {idiv} 3) % 4 = 0 AND event_id % 3 = 1 THEN 0.9{double} ELSE 0.0{double} END AS s2,"
+        " CASE WHEN event_id % 41 = 0 THEN NULL ELSE (event_id * 32452843 % 1033) / 1000.0{double} - CASE WHEN (event_id {idiv} 3) % 4 = 0 AND event_id % 3 = 1 THEN 0.4{double} ELSE 0.0{double} END END AS s3,"
+        " (event_id * 49979687 % 1039) / 1000.0{double} AS s4 FROM {events}",
+    ),
     "osw_feature": (["lineitem"], 'SELECT l_orderkey * 8 + l_linenumber AS "ID", l_orderkey AS "PRECURSOR_ID", l_quantity * 20 AS "EXP_RT" FROM {lineitem}'),
     "osw_feature_ms2": (["lineitem"], 'SELECT l_orderkey * 8 + l_linenumber AS "FEATURE_ID", l_discount + l_tax AS "VAR_XCORR_SHAPE" FROM {lineitem}'),
     "osw_precursor": (["orders"], 'SELECT o_orderkey AS "ID", 300 + o_totalprice / 1000 AS "PRECURSOR_MZ", CAST(1 + o_orderkey % 4 AS INT) AS "CHARGE", CAST(o_orderkey % 2 AS INT) AS "DECOY" FROM {orders}'),

@@ -613,4 +613,4 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     running.awaitTermination()
     return rounded(read_index(spark, name), "intensity", digits=3)
 
-from peakloom.plans import roundtrips  # noqa: E402, F401  registers its queries too
+from peakloom.plans import roundtrips, search  # noqa: E402, F401  register their queries too
