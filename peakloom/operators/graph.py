@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import durable, durable_table
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
@@ -58,3 +60,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     found = labelled.union(roots)
     alone = loops.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(alone)
+
+
+def nested_components(edges: DataFrame, steps: int) -> DataFrame:
+    """Components of growing graphs: (node, step, component) for each node of graph ``step``, which has the edges (u, v, step)
+    of that step and of those before it, from 0 to ``steps`` - 1.
+
+    Every edge is worked on once: those that a step adds are written between the components of the step before, and only
+    the graph of these is solved. ``component`` names the node's component within its step.
+    """
+    spark, labels, out = edges.sparkSession, None, []
+    for step in range(steps):
+        added = edges.where(F.col("step") == step).select("u", "v")
+        if labels is None:
+            labels = durable_table(connected_components(added), "components-0")
+        else:
+            by = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"__{end}"))  # noqa: E731, B023
+            between = added.join(by("u"), "u", "left").join(by("v"), "v", "left").select(F.coalesce("__u", "u").alias("u"), F.coalesce("__v", "v").alias("v"))
+            solved = durable_table(connected_components(durable_table(between.distinct(), f"components-between-{step}")), f"components-joined-{step}")
+            # A component is named by one of its nodes, so old and new nodes are told alike; those that nothing touched stay.
+            moved = solved.select(F.col("node").alias("component"), F.col("component").alias("__new"))
+            old = labels.join(moved, "component", "left").select("node", F.coalesce("__new", "component").alias("component"))
+            labels = durable_table(old.unionByName(solved.join(labels.select("node"), "node", "left_anti")), f"components-{step}")
+        out.append(labels.select("node", F.lit(step).alias("step"), "component"))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "node string, step int, component string")
