@@ -28,23 +28,24 @@ def counted(df: DataFrame, by: list[str], value: str, ranges: int = 64) -> DataF
     return _beside(part.withColumn("within", within), base, [*by, "r"]).select(*by, "value", "n", (F.col("base") + F.col("within")).alias("before"), "total")
 
 
-def _at(df: DataFrame, place) -> DataFrame:
-    return df.where((F.col("before") <= place) & (place < F.col("before") + F.col("n")))
-
-
-def medians(df: DataFrame, by: list[str], values: list[str], upper: bool = False) -> DataFrame:
-    """One row for each group: the median of each of ``values`` under its name, the mean of the middle two or, if ``upper``,
-    element n // 2 of the sorted values; null for a group without values of that name."""
-    out = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    for v in values:
-        of = counted(df, by, v)
-        if upper:
-            found = _at(of, F.floor(F.col("total") / 2)).select(*by, F.col("value").alias(v))
-        else:
-            low, high = (_at(of, F.floor((F.col("total") - d) / 2)) for d in (1, 0))
-            found = low.select(*by, "value").union(high.select(*by, "value")).groupBy(*by).agg(F.avg("value").alias(v))
-        out = _beside(out, found, by, "left")
-    return out
+def medians(df: DataFrame, by: list[str], values: list[str], upper: bool = False, rows: str | None = None) -> DataFrame:
+    """One row for each group: the median of each of ``values`` under its name, as double: the mean of the middle two or, if
+    ``upper``, element n // 2 of the sorted values; null for a group without values of that name. ``rows`` names a column for
+    the number of the group's rows.
+
+    The columns are counted as one, by name and value, so ``df`` is computed once however many there are.
+    """
+    # A row without a name stands for its group, which may have no values at all.
+    named = [F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__value")) for v in values]
+    marked = F.struct(F.lit(None).cast("string").alias("__name"), F.lit(0.0).alias("__value"))
+    of = counted(df.select(*by, F.inline(F.array(*named, marked))), [*by, "__name"], "__value")
+    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    ends = of.where(holds(low) | holds(high)).groupBy(*by, "__name").agg(F.max(F.when(holds(low), F.col("value"))).alias("low"), F.max(F.when(holds(high), F.col("value"))).alias("high"), F.max("total").alias("total"))
+    middle = F.col("high") if upper else (F.col("low") + F.col("high")) / 2
+    each = [F.max(F.when(F.col("__name") == v, middle)).alias(v) for v in values]
+    size = [F.coalesce(F.max(F.when(F.col("__name").isNull(), F.col("total"))), F.lit(0)).alias(rows)] if rows else []
+    return ends.groupBy(*by).agg(*each, *size)
 
 
 def at_or_better(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], ranges: int = 64) -> DataFrame:

@@ -51,9 +51,7 @@ def competitive_features(df: DataFrame, rt_tol: float = 15.0, width: float = 24.
 def competitive_summary(features: DataFrame) -> DataFrame:
     """Interpolated medians by decoy status, exact and without a group in one task."""
     rivals = features.select("decoy", F.col("best_delta").alias("median_best_delta"), F.col("rival_rank").alias("median_rival_rank"), F.expm1("n_compet").alias("median_rivals"))
-    found = medians(rivals, ["decoy"], ["median_best_delta", "median_rival_rank", "median_rivals"])
-    counts = features.groupBy(F.col("decoy").alias("__decoy")).agg(F.count(F.lit(1)).alias("n"))
-    return found.join(counts, F.col("decoy").eqNullSafe(F.col("__decoy"))).drop("__decoy")
+    return medians(rivals, ["decoy"], ["median_best_delta", "median_rival_rank", "median_rivals"], rows="n")
 
 
 def osw_features(feature: DataFrame, feature_ms2: DataFrame, precursor: DataFrame, score: str = "VAR_XCORR_SHAPE") -> DataFrame:
