@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,3 +122,33 @@ def all_pairs_xcorr(traces_: DataFrame, max_delay: int, group: str = "group", fr
     a, b = z.select(group, F.col(fragment).alias("i"), F.col("z").alias("za")), z.select(group, F.col(fragment).alias("j"), F.col("z").alias("zb"))
     pairs = a.join(b, group).where("i <= j")
     return pairs.select(group, "i", "j", xcorr_max(xcorr_post(F.col("za"), F.col("zb"), max_delay), digits).alias("peak"))
+
+
+#: Columns of a stored index; the window is the folder.
+STORED = "block int, bin int, n_peaks bigint, intensity double, win_key bigint"
+#: Windows up to which a stored index is asked for them by name.
+MOST_WINDOWS = 10_000
+
+
+def store_index(indexed: DataFrame, path: str) -> None:
+    """Write the index once: for each (window, block, bin) its peaks and summed intensity, in folders by window, sorted by
+    block and bin, so that a reader skips windows by folder and blocks by the statistics of row groups."""
+    cells_ = indexed.groupBy("win_key", "block", "bin").agg(F.count(F.lit(1)).alias("n_peaks"), F.sum(F.col("intensity").cast("double")).alias("intensity"))
+    # Dealt by ranges of blocks within windows: a window with most of the peaks is several tasks' and several files.
+    cells_.repartitionByRange("win_key", "block").sortWithinPartitions("win_key", "block", "bin").write.partitionBy("win_key").mode("overwrite").parquet(path)
+
+
+def stored_index(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """The stored index; with ``asked`` (win_key, ...) only the windows that it has, which are read from it first (the number
+    of windows is an acquisition's; over ``MOST_WINDOWS`` all are read)."""
+    stored = spark.read.schema(STORED).parquet(path)  # a given schema opens no file to find it out
+    if asked is None:
+        return stored
+    keys = [r[0] for r in asked.select("win_key").where("win_key IS NOT NULL").distinct().limit(MOST_WINDOWS + 1).collect()]
+    return stored if len(keys) > MOST_WINDOWS else stored.where(F.col("win_key").isin(keys)) if keys else stored.limit(0)
+
+
+def prefilter_stored(fragments: DataFrame, path: str, needed: int = 3) -> DataFrame:
+    """``prefilter`` against a stored index: windows that no fragment goes to are not read."""
+    occupied = stored_index(fragments.sparkSession, path, fragments).select("win_key", "block", F.col("bin").cast("bigint").alias("bin"))
+    return prefilter(fragments, occupied, needed)
