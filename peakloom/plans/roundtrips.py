@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sqlite3
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from peakloom.plans.durable import shared_dir
 from peakloom.plans.proxies import proxy
 from peakloom.plans.queries import _DUCK_MINI, _mini, query, rounded, with_
 from peakloom.sources import mzml, text
-from peakloom.sources.sqlite import read_sqlite
+from peakloom.sources.sqlite import read_sqlite, write_sqlite
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -85,14 +84,12 @@ def sqlite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark, "run").removeprefix("file:") + ".osw"
     supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
     tables = {
-        "FEATURE": ("ID INTEGER, PRECURSOR_ID INTEGER, EXP_RT REAL", supplier.select("s_suppkey", "s_nationkey", "s_acctbal")),
-        "FEATURE_MS2": ("FEATURE_ID INTEGER, VAR_XCORR_SHAPE REAL", supplier.select("s_suppkey", ((F.col("s_suppkey") * 7919) % 100).cast("double") / 100)),
-        "PRECURSOR": ("ID INTEGER, PRECURSOR_MZ REAL, CHARGE INTEGER, DECOY INTEGER", nation.select("n_nationkey", 400.0 + 7 * F.col("n_nationkey"), F.lit(2), F.col("n_nationkey") % 2)),
+        "FEATURE": supplier.select(F.col("s_suppkey").alias("ID"), F.col("s_nationkey").alias("PRECURSOR_ID"), F.col("s_acctbal").alias("EXP_RT")),
+        "FEATURE_MS2": supplier.select(F.col("s_suppkey").alias("FEATURE_ID"), (((F.col("s_suppkey") * 7919) % 100).cast("double") / 100).alias("VAR_XCORR_SHAPE")),
+        "PRECURSOR": nation.select(F.col("n_nationkey").alias("ID"), (400.0 + 7 * F.col("n_nationkey")).alias("PRECURSOR_MZ"), F.lit(2).alias("CHARGE"), (F.col("n_nationkey") % 2).alias("DECOY")),
     }
-    with sqlite3.connect(path) as db:
-        for name, (columns, rows) in tables.items():
-            db.execute(f"CREATE TABLE {name} ({columns})")
-            db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows.columns))})", map(tuple, rows.toLocalIterator()))
+    for name, rows in tables.items():
+        write_sqlite(rows, path, name)
     rescore.rescore_osw(spark, path, "VAR_XCORR_SHAPE", 600.0).collect()
     again = read_sqlite(spark, path, "FEATURE_MS2")
     names = dict(zip(rescore.OSW_COLUMNS, rescore.FEATURE_COLUMNS, strict=True))

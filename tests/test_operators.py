@@ -178,6 +178,26 @@ def test_sqlite(spark, tmp_path):
     assert sqlite.read_sqlite(spark, path, "FEATURE_MS2").agg(F.sum("VAR_NEW")).first()[0] == 190
 
 
+def test_sqlite_writer(spark, tmp_path):
+    """Whole or not at all, and the same when it is run again."""
+    path = str(tmp_path / "y.osw")
+    rows = spark.range(500).select(F.col("id"), (F.col("id") / 4).alias("x"), F.concat(F.lit("n"), "id").alias("name")).repartition(7)
+    for _ in range(2):
+        sqlite.write_sqlite(rows, path, "T")
+    assert sqlite.read_sqlite(spark, path, "T").count() == 500
+    fresh = rows.select("id", (F.col("x") + 1).alias("x"), (F.col("id") * 2.0).alias("y")).where("id >= 100").unionByName(spark.range(9000, 9005).select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    for _ in range(2):
+        assert sqlite.update_sqlite(fresh, path, "T", "id", ("x", "y")) == 400
+    want = [(i, i / 4 + (i >= 100), f"n{i}", i * 2.0 if i >= 100 else None) for i in range(500)]
+    assert sorted(map(tuple, sqlite.read_sqlite(spark, path, "T").collect())) == want
+    broken = fresh.select("id", "x", F.when(F.col("id") == 333, F.raise_error(F.lit("planted")).cast("double")).otherwise(F.col("y") + 1).alias("y"))
+    with pytest.raises(Exception, match="planted"):
+        sqlite.update_sqlite(broken, path, "T", "id", ("x", "y"))
+    assert sorted(map(tuple, sqlite.read_sqlite(spark, path, "T").collect())) == want
+    assert sqlite.update_sqlite(fresh.limit(0), path, "T", "id", ("x",)) == 0
+    assert os.listdir(tmp_path) == ["y.osw"]
+
+
 def test_mzml(spark, tmp_path):
     import base64
     import zlib
