@@ -53,6 +53,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. An open ``scratch`` block removes what is written there, as for a table."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def durable_table(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again: columnar and compressed, for wide intermediates.
     The table stays after the job unless a ``scratch`` block is open and ``keep`` is not asked for."""

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators import digest, profile, rescore
-from peakloom.plans.durable import shared_dir
+from peakloom.plans.durable import place
 from peakloom.plans.proxies import proxy
 from peakloom.plans.queries import _DUCK_MINI, _mini, query, rounded, with_
 from peakloom.sources import mzml, text
 from peakloom.sources.sqlite import read_sqlite, write_sqlite
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
-
-
 @query("fasta_roundtrip", with_("whole_proteins") + " SELECT protein, sequence FROM whole_proteins WHERE sequence <> ''")
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "fasta")
+    path = place(spark, "fasta")
     record = F.concat(F.lit(">"), "protein", F.lit(" of a document\n"), F.regexp_replace("sequence", "(.{60})", "$1\n"))
     proxy(spark, sf_dir, "whole_proteins").where("sequence IS NOT NULL").select(record.alias("value")).write.text(path)
     return text.read_fasta(spark, path).select("protein", "sequence")
@@ -29,7 +23,7 @@ def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("peptide_list", _DUCK_MINI + ", z AS (SELECT unnest([1, 2, 3]) AS charge) SELECT peptide, charge::INT AS charge FROM p, z")
 def peptide_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "peptides")
+    path = place(spark, "peptides")
     charged = _mini(spark, sf_dir).withColumn("charge", F.explode(F.sequence(F.lit(1), F.lit(3))))
     charged.select(F.lit("-").alias("Note"), F.col("charge").alias("PrecursorCharge"), F.col("peptide").alias("PeptideSequence")).write.csv(path, sep="\t", header=True)
     return text.read_peptides(spark, path).select("peptide", "charge")
@@ -49,7 +43,7 @@ def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mzml_roundtrip", _SCANS + " SELECT scan_index, round(rt, 6) AS rt, win_mz, win_mz - 10 AS lower, win_mz + 14 AS upper, n_peaks::INT AS n_peaks, round(mz, 6) AS mz, round(intensity, 6) AS intensity FROM s WHERE ms_level = 2")
 def mzml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "mzml")
+    path = place(spark, "mzml")
     mzml.write_mzml(_spectra(spark, sf_dir), path)
     read = profile.isolation_bounds(profile.fragment_scans(mzml.read_mzml(spark, path)))
     total = lambda c: F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p[c])
@@ -58,11 +52,11 @@ def mzml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mzml_stream_counts", _SCANS + " SELECT count(*) AS spectra, sum(n_peaks)::BIGINT AS peaks FROM s WHERE ms_level = 2")
 def mzml_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, to = _place(spark, "mzml"), _place(spark, "counts")
+    path, to = place(spark, "mzml"), place(spark, "counts")
     mzml.write_mzml(_spectra(spark, sf_dir), path)
     counts = mzml.parse_counts(mzml.stream_mzml(spark, path, 4))
     write = lambda batch, _: batch.write.mode("overwrite").parquet(to)
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", _place(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", place(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(to)
 
 
@@ -81,7 +75,7 @@ _OSW = (
 def sqlite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scored run as an SQLite file, rescored in place and read again. Such a file has one writer, so the smallest tables
     stand for it, and the shared folder must be one that SQLite can open."""
-    path = _place(spark, "run").removeprefix("file:") + ".osw"
+    path = place(spark, "run").removeprefix("file:") + ".osw"
     supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
     tables = {
         "FEATURE": supplier.select(F.col("s_suppkey").alias("ID"), F.col("s_nationkey").alias("PRECURSOR_ID"), F.col("s_acctbal").alias("EXP_RT")),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from peakloom.functions.binning import MZ0, mz_bin, rt_block, window_key
-from peakloom.plans.durable import shared_dir
+from peakloom.plans.durable import place
 
 CELL = "win_key bigint, block int, n_peaks bigint, n_bins bigint, intensity double, bits binary"
 STATE = "last double, blocks array<int>, n_peaks array<bigint>, intensity array<double>, bits array<binary>"
@@ -80,8 +80,9 @@ def run_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 3
     by batch. Returns that folder and the checkpoint, from which a later run goes on; see
     ``all_cells``."""
     spark = peaks.sparkSession
-    checkpoint = checkpoint or f"{shared_dir(spark).rstrip('/')}/cells-{name}-{uuid4().hex}"
-    to = f"{checkpoint}-closed"
+    fresh = checkpoint is None
+    checkpoint = checkpoint or place(spark, f"cells-{name}")
+    to = place(spark, f"cells-{name}-closed") if fresh else f"{checkpoint}-closed"
     spark.createDataFrame([], CELL).write.mode("overwrite").parquet(f"{to}/batch=-1")  # what a stream without data leaves
     # A batch that is run again after a failure replaces what it wrote before.
     write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{to}/batch={i}")

@@ -359,5 +359,8 @@ def test_library_files(spark, tmp_path):
     assert first == lines(lib.repartition(5), "b.tsv") and len(first) == lib.count()
     back = text.read_table(spark, str(tmp_path / "a.tsv"))
     assert set(library.COLUMNS) <= set(back.columns) and back.count() == len(first)
+    named = lib.withColumn("GeneName", F.when(F.col("ProductCharge") == 1, "GENE"))
+    assert lines(named, "d.tsv") == [f"{x}\tGENE" if x.split("\t")[3] == "1" else f"{x}\t" for x in first]
+    assert "GeneName" in text.read_table(spark, str(tmp_path / "d.tsv")).columns
     lib.write.parquet(str(tmp_path / "c.parquet"))
     assert text.read_table(spark, str(tmp_path / "c.parquet")).columns == list(library.COLUMNS)
