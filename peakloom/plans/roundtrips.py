@@ -9,8 +9,9 @@ from peakloom.operators import digest, profile, rescore
 from peakloom.plans.durable import place
 from peakloom.plans.proxies import proxy
 from peakloom.plans.queries import _DUCK_MINI, _mini, query, rounded, with_
-from peakloom.sources import mzml, text
+from peakloom.sources import mzml, ranges, text
 from peakloom.sources.sqlite import read_sqlite, write_sqlite
+from peakloom.streaming.cells import drain
 
 
 @query("fasta_roundtrip", with_("whole_proteins") + " SELECT protein, sequence FROM whole_proteins WHERE sequence <> ''")
@@ -41,13 +42,40 @@ def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.select("scan_index", (1 + F.col("scan_index") % 3).cast("int").alias("ms_level"), "rt", F.lit(-1.0).alias("drift_time"), F.array(window).alias("precursors"), "peaks")
 
 
-@query("mzml_roundtrip", _SCANS + " SELECT scan_index, round(rt, 6) AS rt, win_mz, win_mz - 10 AS lower, win_mz + 14 AS upper, n_peaks::INT AS n_peaks, round(mz, 6) AS mz, round(intensity, 6) AS intensity FROM s WHERE ms_level = 2")
+_FRAGMENTS = _SCANS + " SELECT scan_index, round(rt, 6) AS rt, win_mz, win_mz - 10 AS lower, win_mz + 14 AS upper, n_peaks::INT AS n_peaks, round(mz, 6) AS mz, round(intensity, 6) AS intensity FROM s WHERE ms_level = 2"
+
+
+def _fragments(spectra: DataFrame) -> DataFrame:
+    read = profile.isolation_bounds(profile.fragment_scans(spectra))
+    total = lambda c: F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p[c])
+    return rounded(read.select("scan_index", "rt", "win_mz", "lower", "upper", F.size("peaks").alias("n_peaks"), total("mz").alias("mz"), total("intensity").alias("intensity")), "rt", "mz", "intensity")
+
+
+@query("mzml_roundtrip", _FRAGMENTS)
 def mzml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, "mzml")
     mzml.write_mzml(_spectra(spark, sf_dir), path)
-    read = profile.isolation_bounds(profile.fragment_scans(mzml.read_mzml(spark, path)))
-    total = lambda c: F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p[c])
-    return rounded(read.select("scan_index", "rt", "win_mz", "lower", "upper", F.size("peaks").alias("n_peaks"), total("mz").alias("mz"), total("intensity").alias("intensity")), "rt", "mz", "intensity")
+    return _fragments(mzml.read_mzml(spark, path))
+
+
+@query("mzml_ranges", _FRAGMENTS)
+def mzml_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, read by ranges of bytes."""
+    path = place(spark, "mzml")
+    mzml.write_mzml(_spectra(spark, sf_dir), path)
+    return _fragments(ranges.read_ranges(spark, path))
+
+
+@query("mzml_range_stream", _SCANS + " SELECT ms_level, count(*) AS spectra, sum(n_peaks)::BIGINT AS peaks FROM s GROUP BY ms_level")
+def mzml_range_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by level over a stream that goes through each file; a batch leaves its sums, which are added at the end."""
+    path, to = place(spark, "mzml"), place(spark, "counts")
+    mzml.write_mzml(_spectra(spark, sf_dir), path)
+    sums = lambda spectra: spectra.groupBy("ms_level").agg(F.count(F.lit(1)).alias("spectra"), F.sum(F.size("peaks").cast("bigint")).alias("peaks"))
+    write = lambda batch, i: sums(batch).write.mode("overwrite").parquet(f"{to}/batch={i}")
+    write(mzml.read_mzml(spark, path).limit(0), -1)  # what a stream without data leaves
+    drain(ranges.stream_ranges(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", place(spark, "stream")).start())
+    return spark.read.parquet(to).groupBy("ms_level").agg(F.sum("spectra").alias("spectra"), F.sum("peaks").alias("peaks"))
 
 
 @query("mzml_stream_counts", _SCANS + " SELECT count(*) AS spectra, sum(n_peaks)::BIGINT AS peaks FROM s WHERE ms_level = 2")

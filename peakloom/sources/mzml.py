@@ -49,14 +49,15 @@ def decode_peaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     """(run, scan_index, ms_level, rt in seconds, drift_time or -1, precursors, peaks), one row for each spectrum."""
-    return _spectra(spark.read.format("xml").option("rowTag", "spectrum").schema(SCHEMA).load(path))
+    raw = spark.read.format("xml").option("rowTag", "spectrum").schema(SCHEMA).load(path)
+    return decoded(raw.withColumn("run", F.input_file_name()))
 
 
 def stream_mzml(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """The same rows as a stream over a folder of runs. A batch takes ``files_per_trigger`` files at most and the next begins
     when it is done, so a slow consumer holds the reader back and memory holds one batch."""
     reader = spark.readStream.format("xml").option("rowTag", "spectrum").option("maxFilesPerTrigger", files_per_trigger).schema(SCHEMA)
-    return _spectra(reader.load(path))
+    return decoded(reader.load(path).withColumn("run", F.input_file_name()))
 
 
 def parse_counts(spectra: DataFrame) -> DataFrame:
@@ -96,8 +97,8 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield lines(["</run>"])
 
 
-def _spectra(raw: DataFrame) -> DataFrame:
-    raw = raw.withColumn("run", F.input_file_name())
+def decoded(raw: DataFrame) -> DataFrame:
+    """Elements of ``SCHEMA`` with their ``run`` as rows of ``read_mzml``."""
     scan = F.get("scanList.scan", F.lit(0))["cvParam"]
     start = F.get(F.filter(scan, lambda p: p["_accession"] == START), F.lit(0))
     rt = start["_value"].cast("double") * F.when(start["_unitAccession"] == MINUTE, 60.0).otherwise(1.0)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from peakloom.functions.binning import MZ0, mz_bin, rt_block, window_key
@@ -75,8 +76,8 @@ def all_cells(spark: SparkSession, closed: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(CELL).parquet(closed).drop("batch").unionByName(open_cells(spark, checkpoint))
 
 
-def run_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 30.0, late: float = 0.0, checkpoint: str | None = None) -> tuple[str, str]:
-    """Run the stream over what there is now: closed cells are added as Parquet in the shared folder by the executors, batch
+def run_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 30.0, late: float = 0.0, checkpoint: str | None = None, by_ranges: bool = False) -> tuple[str, str]:
+    """Run the stream over what there is now, in one start also where its source is ``sources.ranges`` (``by_ranges``): closed cells are added as Parquet in the shared folder by the executors, batch
     by batch. Returns that folder and the checkpoint, from which a later run goes on; see
     ``all_cells``."""
     spark = peaks.sparkSession
@@ -86,5 +87,17 @@ def run_index(peaks: DataFrame, name: str, ppm: float = 20.0, seconds: float = 3
     spark.createDataFrame([], CELL).write.mode("overwrite").parquet(f"{to}/batch=-1")  # what a stream without data leaves
     # A batch that is run again after a failure replaces what it wrote before.
     write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{to}/batch={i}")
-    closing_cells(peaks, ppm, seconds, late).writeStream.foreachBatch(write).queryName(f"{name}-{uuid4().hex[:8]}").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    started = closing_cells(peaks, ppm, seconds, late).writeStream.foreachBatch(write).queryName(f"{name}-{uuid4().hex[:8]}").option("checkpointLocation", checkpoint)
+    if by_ranges:
+        drain(started.start())
+    else:
+        started.trigger(availableNow=True).start().awaitTermination()
     return to, checkpoint
+
+
+def drain(query: StreamingQuery) -> None:
+    """Wait until the query has taken all that its source has now, in as many batches as that takes, and end it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
