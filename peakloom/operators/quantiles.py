@@ -48,8 +48,8 @@ def medians(df: DataFrame, by: list[str], values: list[str], upper: bool = False
     return ends.groupBy(*by).agg(*each, *size)
 
 
-def at_or_better(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], ranges: int = 64) -> DataFrame:
-    """For each distinct ``value`` of each group, ``sums`` over the group's rows of that value or a higher one. Rows with a
+def at_or_better(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], ranges: int = 64, strictly: bool = False) -> DataFrame:
+    """For each distinct ``value`` of each group, ``sums`` over the group's rows of that value or a higher one, ``strictly``: of a higher one only. Rows with a
     null value are left out. Distinct values are summed first; these are cut into ``ranges`` of their group, each summed alone
     and offset by the ranges above it."""
     names = list(sums)
@@ -60,5 +60,5 @@ def at_or_better(df: DataFrame, by: list[str], value: str, sums: dict[str, Colum
     above = W.partitionBy(*by).orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
     base = each.select(*by, "r", *(F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"__{n}") for n in names))
     within = W.partitionBy(*by, "r").orderBy(F.desc("value"))
-    run = part.select(*by, "r", "value", *(F.sum(n).over(within).alias(n) for n in names))
+    run = part.select(*by, "r", "value", *((F.sum(n).over(within) - (F.col(n) if strictly else 0)).alias(n) for n in names))
     return _beside(run, base, [*by, "r"]).select(*by, "value", *((F.col(n) + F.col(f"__{n}")).alias(n) for n in names))

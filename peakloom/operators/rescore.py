@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakloom.functions.binning import grid_window
+from peakloom.operators.competition import rivals
 from peakloom.operators.quantiles import medians
 from peakloom.plans.durable import durable
 from peakloom.sources.sqlite import read_sqlite, update_sqlite
@@ -14,38 +15,32 @@ from peakloom.sources.sqlite import read_sqlite, update_sqlite
 FEATURE_COLUMNS = ("best_delta", "tot_ratio", "rival_rank", "n_compet")
 
 
-def competitive_features(df: DataFrame, rt_tol: float = 15.0, width: float = 24.0, keep: tuple[str, ...] = (), blocks_of: float = 64.0) -> DataFrame:
+def competitive_features(df: DataFrame, rt_tol: float = 15.0, width: float = 24.0, keep: tuple[str, ...] = (), blocks_of: float = 64.0, most: int = 500_000) -> DataFrame:
     """``df`` (feature_id, mz, rt, score, decoy) with four features of each candidate among its rivals.
 
     Rivals are the other candidates of the ``width``-Th cell within ``rt_tol`` seconds, both ends included, targets and
     decoys in one pool. ``best_delta``: own score less the best rival's, 0 without rivals. ``tot_ratio``: log of own
     over the locus's summed score, self included. ``rival_rank``: share of rivals that are strictly better.
-    ``n_compet``: log1p of the number of rivals. A candidate without score has null features and is nobody's rival.
+    ``n_compet``: log1p of the number of rivals. A candidate without score, m/z or retention time (null or not a number) has
+    null features and is nobody's rival. Repeated rows are rivals of each other.
 
-    A window has few cells, so each is cut into retention-time blocks of ``blocks_of`` tolerances; candidates near a
-    block's edge are also sent to the next block as rivals only. That spreads a cell over many tasks and leaves every
-    frame whole.
+    A window has few cells, so each is cut into retention-time blocks of ``blocks_of`` tolerances; those of more than ``most``
+    candidates are cut further (``competition.rivals``).
     """
-    span = rt_tol * blocks_of
-    block = lambda rt: F.floor(rt / F.lit(span))
-    placed = df.withColumn("__win", grid_window(F.col("mz"), width)).withColumn("__own", block(F.col("rt")))
-    near = F.array_distinct(F.array(block(F.col("rt") - rt_tol), F.col("__own"), block(F.col("rt") + rt_tol)))
-    spread = placed.withColumn("__block", F.explode(F.coalesce(near, F.array(F.lit(None).cast("bigint")))))
-    # The API's frames take whole numbers only; SQL's take a tolerance in fractions of a second.
-    frame = f"OVER (PARTITION BY __win, __block ORDER BY rt RANGE BETWEEN {float(rt_tol)!r}D PRECEDING AND {float(rt_tol)!r}D FOLLOWING)"
-    spread = spread.withColumn("__all", F.sort_array(F.expr(f"collect_list(score) {frame}"), asc=False)).withColumn("__sum", F.expr(f"sum(score) {frame}"))
-    mine = spread.where(F.col("__block").eqNullSafe(F.col("__own")))
-    rivals, own = F.size("__all") - 1, F.col("score")
-    best = F.when(own < F.get("__all", F.lit(0)), F.get("__all", F.lit(0))).otherwise(F.get("__all", F.lit(1)))
-    better = F.size(F.filter("__all", lambda x: x > own))
-    has = own.isNotNull()
-    return mine.select(
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    whole = F.coalesce(there("mz") & there("rt") & there("score"), F.lit(False))
+    of = df.select("feature_id", *keep, "mz", "rt", "score")
+    found = rivals(of.where(whole), grid_window(F.col("mz"), width), F.col("rt"), F.col("score"), rt_tol, blocks_of, most)
+    others, own = F.col("__n") - 1, F.col("score")
+    features = found.select(
         "feature_id", *keep,
-        F.when(has, F.when(rivals > 0, own - best).otherwise(F.lit(0.0))).alias("best_delta"),
-        F.when(has, F.log((F.abs(own) + 1e-6) / (F.abs("__sum") + 1e-6))).alias("tot_ratio"),
-        F.when(has, F.when(rivals > 0, better / rivals).otherwise(F.lit(0.0))).alias("rival_rank"),
-        F.when(has, F.log1p(rivals.cast("double"))).alias("n_compet"),
+        F.when(others > 0, own - F.col("__best")).otherwise(F.lit(0.0)).alias("best_delta"),
+        F.log((F.abs(own) + 1e-6) / (F.abs("__total") + 1e-6)).alias("tot_ratio"),
+        F.when(others > 0, F.col("__better") / others).otherwise(F.lit(0.0)).alias("rival_rank"),
+        F.log1p(others.cast("double")).alias("n_compet"),
     )
+    lacking = of.where(~whole).select("feature_id", *keep, *(F.lit(None).cast("double").alias(c) for c in FEATURE_COLUMNS))
+    return features.unionByName(lacking)
 
 
 def competitive_summary(features: DataFrame) -> DataFrame:
