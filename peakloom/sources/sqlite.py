@@ -85,7 +85,7 @@ class SqliteWriter(DataSourceWriter):
             raise
         finally:
             db.close()
-            shutil.rmtree(self.staging, ignore_errors=True)
+            self._clear()
         if self.key:
             os.makedirs(self.staging)
             with open(f"{self.staging}/updated", "w") as f:
@@ -116,7 +116,16 @@ class SqliteWriter(DataSourceWriter):
         return done
 
     def abort(self, messages: list[Part | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove the parts. The folder is moved first: a task that outlives the job could add a part while it is emptied."""
+        gone = f"{self.staging}.gone"
+        try:
+            os.rename(self.staging, gone)
+        except FileNotFoundError:
+            return
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class SqliteSource(DataSource):
