@@ -54,6 +54,8 @@ DELIBERATE = {
 }
 #: Values that each feature of a candidate takes, 0 up to this.
 FEATURES = {"kind": 4, "form": 3, "digits": 6, "gaps": 4, "left": 4, "right": 4, "context": 2, "tail": 3, "lead": 3}
+#: What each of the two views of a candidate sees of them; neither sees the other's label, see ``fit_on``.
+FORMAT, AROUND = ("kind", "form", "digits", "gaps", "tail", "lead"), ("kind", "left", "right", "context")
 SPAN = "struct<start:int,kind:int,stop:int>"
 #: Items that one fold takes; see ``scan``.
 BLOCK = 64
@@ -162,13 +164,10 @@ def described(k: int, kind: str, s: Column) -> Column:
 
 
 def evidence(text: Column) -> Column:
-    """For every candidate its features and whether it is taken for personal data in fitting: it is plausible, and written in
-    the base form, in a form that is no accident, or behind a word that announces it. All others are its look-alikes:
-    numbers that fail their kind's test, dates and amounts, 'at' in a sentence."""
+    """For every candidate its features ``f`` and whether it passes its kind's test, ``passed``."""
 
     def of(k: int, kind: str) -> Column:
-        told = lambda f: (f["form"] < 2) | (f["context"] == 1)
-        one = lambda s: let(described(k, kind, s), lambda f: F.struct(f.alias("f"), (told(f) & plausible(kind, s["value"])).cast("int").alias("y")))
+        one = lambda s: F.struct(described(k, kind, s).alias("f"), plausible(kind, s["value"]).alias("passed"))
         return F.transform(found_spans(text, CANDIDATES[kind], _CANDIDATE_HINT[kind]), one)
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
@@ -194,24 +193,28 @@ class Tree:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Boosted trees, and for each kind the least score at which a candidate is added (infinite: never)."""
+    """Boosted trees, and for each kind the least score at which a candidate is added (infinite: never). Where ``around``, the
+    view of the surroundings, clears its own threshold by less, the score is lowered to that: both must agree."""
 
     start: float
     trees: tuple[Tree, ...]
     thresholds: tuple[float, ...]
+    around: SpanModel | None = None
 
-    def score(self, f: Column) -> Column:
-        return reduce(lambda a, t: a + t.column(f), self.trees, F.lit(float(self.start)))
+    def score(self, f: Column, k: int) -> Column:
+        own = reduce(lambda a, t: a + t.column(f), self.trees, F.lit(float(self.start)))
+        return own if self.around is None else F.least(own, F.lit(self.thresholds[k]) + (self.around.score(f, k) - F.lit(self.around.thresholds[k])))
 
     def of(self, row: dict[str, int]) -> float:
-        return reduce(lambda a, t: a + t.of(row), self.trees, float(self.start))
+        own, k = reduce(lambda a, t: a + t.of(row), self.trees, float(self.start)), row["kind"]
+        return own if self.around is None or self.thresholds[k] == float("inf") else min(own, self.thresholds[k] + (self.around.of(row) - self.around.thresholds[k]))
 
 
 Cell = tuple[dict[str, int], float, float]
 
 
-def boost(cells: list[Cell], rounds: int = 24, rate: float = 0.3, depth: int = 3, ridge: float = 5.0) -> tuple[float, tuple[Tree, ...]]:
-    """Newton boosting on a table of (features, personal, look-alike) counts, one row for each combination met."""
+def boost(cells: list[Cell], features: tuple[str, ...] = tuple(FEATURES), rounds: int = 24, rate: float = 0.3, depth: int = 3, ridge: float = 5.0) -> tuple[float, tuple[Tree, ...]]:
+    """Newton boosting over ``features`` on a table of (features, with the label, without) counts, one row for each combination met."""
     total = [sum(p for _, p, _ in cells), sum(n for _, _, n in cells)]
     start = log((total[0] + 1) / (total[1] + 1))
     score = [start] * len(cells)
@@ -223,8 +226,8 @@ def boost(cells: list[Cell], rounds: int = 24, rate: float = 0.3, depth: int = 3
         worth = lambda some: sum(g[i] for i in some) ** 2 / (sum(h[i] for i in some) + ridge)
         best, found = worth(rows) + 1e-9, None
         if level < depth:
-            for f, n in FEATURES.items():
-                for v in range(n - 1):
+            for f in features:
+                for v in range(FEATURES[f] - 1):
                     low = [i for i in rows if cells[i][0][f] <= v]
                     if 0 < len(low) < len(rows):
                         high = [i for i in rows if cells[i][0][f] > v]
@@ -245,37 +248,58 @@ def boost(cells: list[Cell], rounds: int = 24, rate: float = 0.3, depth: int = 3
     return start, tuple(trees)
 
 
-def calibrate(model: SpanModel, cells: list[Cell], precision: float = 0.95, ridge: float = 5.0) -> SpanModel:
-    """For each kind the least score from which on the candidates of ``cells`` are personal data at ``precision``, with a margin
-    of look-alikes that stands for those not met: without evidence nothing is added."""
-    least = []
-    for k in range(len(KINDS)):
-        threshold, passed, failed = float("inf"), 0.0, ridge * (1 - precision)
-        by_score = sorted(((model.of(f), p, n) for f, p, n in cells if f["kind"] == k), key=lambda x: -x[0])
-        for i, (s, p, n) in enumerate(by_score):
-            passed, failed = passed + p, failed + n
-            whole = i + 1 == len(by_score) or by_score[i + 1][0] < s - 1e-9
-            if whole and passed >= precision * (passed + failed):
-                threshold = s - 1e-9
-        least.append(threshold)
-    return SpanModel(model.start, model.trees, tuple(least))
-
-
-def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held: int = 5, enough: int = 20, precision: float = 0.95, **options) -> SpanModel:
-    """Boosted trees over every candidate of every document; one of ``held`` ids, by crc32, only sets the thresholds.
-
-    Spark counts, for each combination of the few binned features, the candidates with evidence for them and their
-    look-alikes (``evidence``); only this table, whose size the bins bound, comes to the driver. A kind with fewer than
-    ``enough`` held candidates is calibrated on all.
+def least_score(scored: list[tuple[float, float, float]], share: float, margin: float) -> float:
+    """The least score from which on ``share`` of what has it carries the label, by pooling adjacent violators over (score, with
+    the label, without); ``margin`` counts without, for what was not met. Infinite if there is none."""
+    pooled: list[list[float]] = []
+    for s, p, n in sorted(scored):
+        pooled.append([s, p, p + n])
+        while len(pooled) > 1 and (pooled[-2][0] > s - 1e-9 or pooled[-2][1] * pooled[-1][2] >= pooled[-1][1] * pooled[-2][2]):
+            _, p1, n1 = pooled.pop()
+            pooled[-1][1:] = [pooled[-1][1] + p1, pooled[-1][2] + n1]
+    return min((s - 1e-9 for s, p, n in pooled if p >= share * (n + margin)), default=float("inf"))
+
+
+def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held: int = 5, enough: int = 20, precision: float = 0.95, agree: float = 0.5, contrast: float = 0.1, margin: float = 0.25, **options) -> SpanModel:
+    """Two views of every candidate of every document, each learned from a label that its inputs do not hold; one of ``held``
+    ids, by crc32, only sets the thresholds.
+
+    No span is labelled, but some words announce one and some numbers fail their check. The view of the format learns
+    which of those that pass, as only they are added, are announced, and sees no surroundings; the view of the surroundings learns which candidates pass
+    their kind's check, and sees no digits and no form. Not all personal data is announced and some look-alikes are: the
+    rates are those of base matches that pass and of candidates that fail. A share s of announced ones among candidates of
+    one format then means that (s - fail) / (pass - fail) of them are personal data, if personal data is announced no less for being
+    disguised. The format's threshold is where this reaches ``precision``; the surroundings' is where ``agree`` of the
+    candidates pass. A kind whose two rates are less than ``contrast`` apart is not told by its words: nothing is added.
+
+    Spark counts the candidates by their few binned features; only this table, whose size the bins bound, comes to the
+    driver. A kind with fewer than ``enough`` held candidates is calibrated on all.
     """
     apart = (crc_mod(id_col, held) == 0).alias("held")
     each = docs.select(apart, F.explode(evidence(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
-    counted = each.groupBy("held", "c.f").agg(F.sum("c.y").alias("p"), F.sum(1 - F.col("c.y")).alias("n")).collect()
-    cells = sorted(((bool(r["held"]), r["f"].asDict(), float(r["p"]), float(r["n"])) for r in counted), key=lambda x: (x[0], tuple(x[1].values())))
-    learned, kept = ([c[1:] for c in cells if c[0] == h] for h in (False, True))
-    few = {k for k in range(len(KINDS)) if sum(p + n for f, p, n in kept if f["kind"] == k) < enough}
-    shown = kept + [c for c in learned if c[0]["kind"] in few]
-    return calibrate(SpanModel(*boost(learned, **options), (float("inf"),) * len(KINDS)), shown, precision)
+    counted = each.groupBy("held", "c.f", "c.passed").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted(((bool(r["held"]), r["f"].asDict(), bool(r["passed"]), float(r["n"])) for r in counted), key=lambda x: (x[0], tuple(x[1].values()), x[2]))
+    few = {k for k in range(len(KINDS)) if sum(n for h, f, _, n in rows if h and f["kind"] == k) < enough}
+    shown = [r[1:] for r in rows if r[0] or r[1]["kind"] in few]
+
+    def announced(k: int, known: Callable[[dict[str, int], bool], bool]) -> tuple[float, float]:
+        some = [(n, n * f["context"]) for f, passed, n in shown if f["kind"] == k and known(f, passed)]
+        return sum(n for n, _ in some), sum(c for _, c in some) / max(sum(n for n, _ in some), 1.0)
+
+    def wanted(k: int) -> float:
+        (n, told), (_, chance) = announced(k, lambda f, passed: passed and f["form"] == 0), announced(k, lambda f, passed: not passed)
+        return chance + precision * (told - chance) if n and told - chance >= contrast else float("inf")
+
+    def view(features: tuple[str, ...], among: Callable[[bool], bool], label: Callable[[dict[str, int], bool], bool], shares: list[float]) -> SpanModel:
+        split = lambda some: [(f, n * label(f, passed), n * (not label(f, passed))) for f, passed, n in some if among(passed)]
+        model = SpanModel(*boost(split(r[1:] for r in rows if not r[0]), features, **options), (float("inf"),) * len(KINDS))
+        scored = lambda k: [(model.of(f), p, n) for f, p, n in split(shown) if f["kind"] == k]
+        return SpanModel(model.start, model.trees, tuple(least_score(scored(k), x, margin) if x < float("inf") else x for k, x in enumerate(shares)))
+
+    form = view(FORMAT, bool, lambda f, passed: f["context"] == 1, [wanted(k) for k in range(len(KINDS))])
+    around = view(AROUND, lambda _: True, lambda f, passed: passed, [agree] * len(KINDS))
+    both = tuple(a if b < float("inf") else b for a, b in zip(form.thresholds, around.thresholds, strict=True))
+    return SpanModel(form.start, form.trees, both, around)
 
 
 def added_spans(text: Column, base: Column, model: SpanModel) -> Column:
@@ -286,7 +310,7 @@ def added_spans(text: Column, base: Column, model: SpanModel) -> Column:
     def of(k: int, kind: str) -> Column:
         if model.thresholds[k] == float("inf"):
             return none
-        scored = F.transform(found_spans(text, CANDIDATES[kind], _CANDIDATE_HINT[kind]), lambda s: let(described(k, kind, s), lambda f: F.struct(s.alias("s"), (-model.score(f)).alias("cost"))))
+        scored = F.transform(found_spans(text, CANDIDATES[kind], _CANDIDATE_HINT[kind]), lambda s: let(described(k, kind, s), lambda f: F.struct(s.alias("s"), (-model.score(f, k)).alias("cost"))))
         able = F.filter(scored, lambda c: (c["cost"] <= -model.thresholds[k]) & plausible(kind, c["s"]["value"]))
         return F.transform(able, lambda c: F.struct(c["s"]["start"].alias("start"), F.lit(1).alias("after"), c["cost"].alias("cost"), c["s"]["stop"].alias("stop"), F.lit(k).alias("kind")))
 
