@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from peakloom.plans.durable import durable, durable_table
+
 
 def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """A join on ``by`` where null is a group like any other; without ``by``, with the one row of ``right``."""
@@ -17,10 +19,13 @@ def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner"
 
 def counted(df: DataFrame, by: list[str], value: str, ranges: int = 64) -> DataFrame:
     """For each distinct value of each group the number of rows ``n``, of rows ``before`` it in ascending order, and in
-    ``total``. Nulls are left out. Values are cut into ``ranges`` of their group, which are summed alone and offset."""
-    at = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ``total``. Nulls are left out. Values are cut into ``ranges`` of their group, which are summed alone and offset.
+
+    Distinct values and cuts are kept: approximate cuts differ from one evaluation to the next, and sums and offsets must
+    be of the same ranges."""
+    at = durable_table(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")), "quantile-values")
     cuts = F.percentile_approx("value", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000))
-    bounds = at.groupBy(*by).agg(cuts.alias("cuts"), F.sum("n").alias("total"))
+    bounds = durable(at.groupBy(*by).agg(cuts.alias("cuts"), F.sum("n").alias("total")))
     part = _beside(at, bounds, by).withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     sums = part.groupBy(*by, "r").agg(F.sum("n").alias("rn"))
     base = sums.select(*by, "r", (F.sum("rn").over(W.partitionBy(*by).orderBy("r")) - F.col("rn")).alias("base"))
@@ -51,11 +56,11 @@ def medians(df: DataFrame, by: list[str], values: list[str], upper: bool = False
 def at_or_better(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], ranges: int = 64, strictly: bool = False) -> DataFrame:
     """For each distinct ``value`` of each group, ``sums`` over the group's rows of that value or a higher one, ``strictly``: of a higher one only. Rows with a
     null value are left out. Distinct values are summed first; these are cut into ``ranges`` of their group, each summed alone
-    and offset by the ranges above it."""
+    and offset by the ranges above it. Values and cuts are kept, as in ``counted``."""
     names = list(sums)
-    at = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    at = durable_table(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(*(F.sum(c).alias(n) for n, c in sums.items())), "quantile-values")
     cuts = F.percentile_approx("value", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)) if ranges > 1 else F.array().cast("array<double>")
-    part = _beside(at, at.groupBy(*by).agg(cuts.alias("cuts")), by).withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    part = _beside(at, durable(at.groupBy(*by).agg(cuts.alias("cuts"))), by).withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     each = part.groupBy(*by, "r").agg(*(F.sum(n).alias(n) for n in names))
     above = W.partitionBy(*by).orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
     base = each.select(*by, "r", *(F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"__{n}") for n in names))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from peakloom.functions.binning import grid_window
 from peakloom.operators.competition import rivals
 from peakloom.operators.quantiles import medians
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import durable, durable_table
 from peakloom.sources.sqlite import read_sqlite, update_sqlite
 
 FEATURE_COLUMNS = ("best_delta", "tot_ratio", "rival_rank", "n_compet")
@@ -91,9 +91,10 @@ def target_decoy_qvalues(df: DataFrame, score: str = "score", decoy: str = "deco
     Scores are counted first (one row for each distinct score); running sums go over that table in ranges of scores,
     each summed alone and offset by the totals of better ranges. Ties share a value.
     """
-    at = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.sum((F.col(decoy) == 1).cast("bigint")).alias("d"), F.sum((F.col(decoy) == 0).cast("bigint")).alias("t"))
+    # Kept, as approximate cuts differ from one evaluation to the next: sums and offsets must be of the same ranges.
+    at = durable_table(df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.sum((F.col(decoy) == 1).cast("bigint")).alias("d"), F.sum((F.col(decoy) == 0).cast("bigint")).alias("t")), "qvalue-scores")
     cuts = F.percentile_approx("__s", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(10_000))
-    part = at.crossJoin(F.broadcast(at.agg(cuts.alias("cuts")))).withColumn("r", F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("__s")))).drop("cuts")
+    part = at.crossJoin(F.broadcast(durable(at.agg(cuts.alias("cuts"))))).withColumn("r", F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("__s")))).drop("cuts")
     sums = part.groupBy("r").agg(F.sum("d").alias("rd"), F.sum("t").alias("rt"))
     better = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select("r", F.coalesce(F.sum("rd").over(better), F.lit(0)).alias("d0"), F.coalesce(F.sum("rt").over(better), F.lit(0)).alias("t0"))

@@ -281,6 +281,19 @@ def test_exact_medians(spark):
     assert quantiles.medians(df, [], ["v"], True).first()["v"] == whole[len(whole) // 2]
 
 
+def test_cuts_are_evaluated_once(spark, monkeypatch):
+    """Approximate cuts can come out otherwise when they are evaluated again: here they do, and no result may change."""
+    real = F.percentile_approx
+    moved = F.udf(lambda cuts: sorted(c + random.uniform(-90, 90) for c in cuts), "array<double>")
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: moved(real(*a)))
+    df = spark.range(0, 20_000, 1, 8).select((F.col("id") % 5).alias("g"), (F.xxhash64("id") % 600 / 1.0).alias("v"))
+    want = {r["g"]: r["v"] for r in df.groupBy("g").agg(F.median("v").alias("v")).collect()}
+    assert {r["g"]: r["v"] for r in quantiles.medians(df, ["g"], ["v"]).collect()} == want
+    above = {(r["g"], r["value"]): r["n"] for r in quantiles.at_or_better(df, ["g"], "v", {"n": F.lit(1)}).collect()}
+    counts = df.groupBy("g", "v").count().collect()
+    assert above == {(r["g"], r["v"]): sum(o["count"] for o in counts if o["g"] == r["g"] and o["v"] >= r["v"]) for r in counts}
+
+
 def test_modified_decoys(spark):
     forms = [(".(UniMod:1)AC(UniMod:4)DEFGHM(UniMod:35)K",), ("AAAAK",)]
     got = {r[0]: r[1] for r in library.decoy_sequences(spark.createDataFrame(forms, "peptide string")).collect()}
