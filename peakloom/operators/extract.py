@@ -14,6 +14,21 @@ SMOOTHING = (6.0, 4.0, 1.0)
 SCORES = ("coelution", "shape", "library_angle", "library_manhattan", "library_rmsd", "log_intensity", "width")
 
 
+def alike(transitions: DataFrame, by: tuple[str, ...], group: str = "group", fragment: str = "fragment") -> DataFrame:
+    """(``group``, ``of``): the least candidate that asks the same, which is fragments equal in name and in all of ``by``.
+    Such candidates have the same traces, peak groups and scores, so that one of them is extracted for all."""
+    asked = transitions.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(fragment, *by))).alias("asked"))
+    first = asked.groupBy("asked").agg(F.min(group).alias("of"))
+    return asked.join(first, "asked").select(group, "of")
+
+
+def summed_points(peaks: DataFrame) -> DataFrame:
+    """Peaks of one window, point and mass added up (``scan_index``: the least): what an extraction of traces needs of a run.
+    However often a point was measured, a transition meets it once for each mass."""
+    able = peaks.where("rt IS NOT NULL AND intensity IS NOT NULL")
+    return able.groupBy("win_mz", "rt", "mz").agg(F.min("scan_index").alias("scan_index"), F.sum(F.col("intensity").cast("double")).alias("intensity"))
+
+
 def matrices(gathered: DataFrame, library: DataFrame, group: str = "group", fragment: str = "fragment") -> DataFrame:
     """For each candidate with a peak: ``points``, its common retention-time points in order, and ``fragments``, its library
     fragments in order of name, each with its library ``intensity`` and its ``trace`` on those points. A point that a

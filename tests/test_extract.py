@@ -109,6 +109,26 @@ def test_gather_by_blocks_of_retention_time(spark):
         assert got == sorted((i, s) for i, _, m, a in asked for s, rt, _, mz, _ in peaks if abs(mz - m) <= m * 1e-5 and abs(rt - a) <= width / 2)
 
 
+def test_candidates_that_ask_the_same(spark):
+    rows = [(c, f, 100.0 + f, 1.0 + (c % 3 == 2)) for c in range(12) for f in range(1 + c % 2)]
+    of = extract.alike(spark.createDataFrame(rows, "candidate int, fragment int, mz double, intensity double"), ("mz", "intensity"), "candidate")
+    asks = {c: tuple(r[1:] for r in rows if r[0] == c) for c in range(12)}
+    assert {r["candidate"]: r["of"] for r in of.collect()} == {c: min(o for o in asks if asks[o] == asks[c]) for c in asks}
+
+
+def test_one_is_extracted_for_all_that_ask_the_same(spark, monkeypatch):
+    """Of the 1500 candidates of sf0.01 300 differ in what they ask, and points of a run are added up before they are met."""
+    from peakloom.plans import search
+
+    seen, gather = [], index.gather
+    monkeypatch.setattr(search.index, "gather", lambda t, p, **how: (seen.append((t, p)), gather(t, p, **how))[1])
+    found = search.extract_and_score(spark, "/root/testdata/sf0.01")
+    (asked, points), = seen
+    assert asked.select("candidate").distinct().count() == 300
+    assert points.count() == points.select("win_mz", "rt", "mz").distinct().count()
+    assert found.select("candidate").distinct().count() == 1500
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "group int, fragment string, rt double, intensity double")
     assert extract.extract_and_score(none, spark.createDataFrame([(1, "a", 1.0)], "group int, fragment string, intensity double")).count() == 0
