@@ -65,3 +65,24 @@ def test_sweep(spark):
     assert [(r["n_peptides"], r["n_components"], r["largest"], r["verdict"]) for r in none] == [(0, 0, 0.0, "fragmented")] * 2
     with pytest.raises(ValueError, match="exceed"):
         percolation.sweep(df, (9,))
+
+
+def test_groups_as_numbers(spark):
+    """Groups counted as numbers against windows as strings, other characters and long sequences included."""
+    from peakloom.operators.digest import windows
+
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ABYZ") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3, "ABAB*ABABZé𝄞YZABABABAB" * 2, "abABABABAB", "", None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "ordinal bigint, sequence string")
+    for k in (1, 3, 6, 7, 8):
+        got = {(r["u"], r["v"]): r["peptides"] for r in percolation.group_edges(df, k).collect()}
+        want = Counter((f"p:{p[:k]}", f"s:{p[-k:]}") for (p,) in windows(df).select("peptide").collect())
+        assert got == want, k
+
+
+def test_thinned_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(380)] + [(5, 5), (500, 500), (1, None)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    whole = {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
+    assert {r["node"]: r["component"] for r in graph.connected_components(df, thin=0).collect()} == whole
