@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,20 +36,79 @@ def cells(indexed: DataFrame) -> DataFrame:
 def cell_bitmaps(indexed: DataFrame) -> DataFrame:
     """Occupancy bitmaps: a row for each (window, block, bucket of 32768 bins); bins are shifted by one as buckets count from one.
 
-    Distinct bins are found first, narrow and combined before the shuffle, and then dealt by cell: each bitmap is made
-    once, where its cell is, and a crowded cell brings no more rows than it has bins.
+    Distinct bins are found first, narrow and combined before the shuffle, then dealt by cell and put in order: each bitmap is
+    made where its cell is, from neighbouring rows, and no more than ``BITMAPS`` are held at once. Aggregates of bitmaps would
+    hold one of 4 kB for every cell of a task.
     """
     at = (F.col("bin") + 1).cast("bigint")
-    bins = indexed.select("win_key", "block", "bin").distinct().repartition("win_key", "block")
-    return bins.groupBy("win_key", "block", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    keys = indexed.select("win_key", "block", F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).cast("int").alias("bit"))
+    return _from_bits(keys.where("bit IS NOT NULL"))
+
+
+def _from_bits(keys: DataFrame) -> DataFrame:
+    types, order = {f.name: f.dataType.simpleString() for f in keys.schema}, ["win_key", "block", "bucket"]
+    bins = keys.distinct().repartition("win_key", "block").sortWithinPartitions(*order)
+    return bins.mapInArrow(_bitmaps, ", ".join(f"{c} {types[c]}" for c in order) + ", bits binary")
+
+
+#: Bytes of a bitmap, and how many of them a task makes at once.
+BITMAP_BYTES, BITMAPS = 4096, 1000
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of rows (win_key, block, bucket, bit) in order of their first three. A group may go on in the next batch."""
+    key, bits = None, np.zeros(BITMAP_BYTES, np.uint8)
+    schema = None
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema[i].type) for i in range(3)] + [pa.array([r[3] for r in rows], pa.binary())], [*schema.names[:3], "bits"])
+
+    out: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        schema = batch.schema
+        columns = [batch.column(i).to_pylist() for i in range(3)]
+        bit = batch.column(3).to_numpy().astype(np.int64)
+        same = np.ones(len(bit) - 1, bool)
+        for i in range(3):
+            same &= np.fromiter((x == y for x, y in zip(columns[i], columns[i][1:])), bool, len(bit) - 1)
+        ends = [0, *(np.flatnonzero(~same) + 1).tolist(), len(bit)]
+        for start, end in zip(ends, ends[1:]):
+            fresh = tuple(c[start] for c in columns)
+            if key is not None and fresh != key:
+                out.append((*key, bits.tobytes()))
+                bits[:] = 0
+            key = fresh
+            np.bitwise_or.at(bits, bit[start:end] >> 3, (1 << (bit[start:end] & 7)).astype(np.uint8))
+            if len(out) >= BITMAPS:
+                yield made(out)
+                out = []
+    if key is not None:
+        out.append((*key, bits.tobytes()))
+        yield made(out)
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (win_key, block, bucket, bit) of bitmaps, those of a hundred at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 100):
+            some = batch.slice(i, 100)
+            each = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in some.column(3).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
+            bit = pa.array(np.concatenate(each).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(some.column(j).take(row) for j in range(3)), bit], [*batch.schema.names[:3], "bit"])
 
 
 def merge_bitmaps(*parts: DataFrame) -> DataFrame:
-    """Union of bitmap tables, such as those of two runs or two micro-batches."""
+    """Union of bitmap tables, such as those of two runs or two micro-batches. Set bits are dealt, not bitmaps: a nearly
+    empty one costs what it holds."""
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    return all_.groupBy("win_key", "block", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    types = {f.name: f.dataType.simpleString() for f in all_.schema}
+    keys = all_.where("bits IS NOT NULL").select("win_key", "block", "bucket", "bits").mapInArrow(_set_bits, ", ".join(f"{c} {types[c]}" for c in ("win_key", "block", "bucket")) + ", bit int")
+    return _from_bits(keys)
 
 
 def popcounts(bitmaps: DataFrame) -> DataFrame:

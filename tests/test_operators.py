@@ -281,6 +281,20 @@ def test_exact_medians(spark):
     assert quantiles.medians(df, [], ["v"], True).first()["v"] == whole[len(whole) // 2]
 
 
+def test_bitmaps_over_batches(spark):
+    """A cell's bits may lie in several batches; no aggregate holds a bitmap for every cell."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(w, b, x) for w in (1, 2) for b in (0, 1, 2) for x in range(0, 70_000, 7001 + w)]
+        at = spark.createDataFrame(rows * 2, "win_key bigint, block int, bin int")
+        maps = index.merge_bitmaps(*(index.cell_bitmaps(at.where(F.pmod("bin", F.lit(2)) == r)) for r in (0, 1)))
+        assert "bitmap_construct_agg" not in maps._jdf.queryExecution().toString() and "bitmap_or_agg" not in maps._jdf.queryExecution().toString()
+        got = [(r["win_key"], r["block"], (r["bucket"] - 1) * 32768 + 8 * i + j) for r in maps.collect() for i, byte in enumerate(r["bits"]) for j in range(8) if byte >> j & 1]
+        assert sorted(got) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_cuts_are_evaluated_once(spark, monkeypatch):
     """Approximate cuts can come out otherwise when they are evaluated again: here they do, and no result may change."""
     real = F.percentile_approx
