@@ -110,6 +110,17 @@ def test_library(spark):
     assert set(counts.values()) <= {6}
 
 
+def test_best_transitions_are_chosen_in_place(spark):
+    """The same rows as by the single steps, and no exchange for them."""
+    proteins = spark.createDataFrame([(0, "P0", "MKTAYIAKQRMSTNNACDEFGHIKLMMVVR"), (1, "P1", "AAAAAAAAAAKGGGGGGGR")], "ordinal int, protein string, sequence string")
+    forms = digest.precursors(proteins).localCheckpoint()
+    got = library.assemble_best(forms, library.stub_predictor)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = library.detecting(library.restrict(library.assemble(forms, library.stub_predictor)))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 50
+
+
 def test_decoys(spark):
     got = library.decoy_sequences(spark.createDataFrame([("PEPTIDEK",), ("AAAAAAAK",)], "peptide string")).collect()
     assert [r["peptide"] for r in got] == ["PEPTIDEK"]
