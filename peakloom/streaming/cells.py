@@ -18,6 +18,11 @@ from peakloom.plans.durable import place
 CELL = "win_key bigint, block int, n_peaks bigint, n_bins bigint, intensity double, bits binary"
 STATE = "last double, blocks array<int>, n_peaks array<bigint>, intensity array<double>, bits array<binary>"
 
+#: A bin takes so many bits of a number whose upper ones are the block.
+BIN_BITS = 31
+#: Numbers that are collected at least before they are made distinct, and bitmaps that are emitted at once.
+LEAST, CELLS = 200_000, 256
+
 
 def with_bins(bits: bytes, bins: np.ndarray) -> bytes:
     """A bitmap, lowest bit first and as long as its highest bin needs, with further bins."""
@@ -33,7 +38,8 @@ def count_bins(bits: bytes) -> int:
 
 def closing_cells(peaks: DataFrame, ppm: float = 20.0, seconds: float = 30.0, late: float = 0.0) -> DataFrame:
     """The cells of a stream of peaks (win_mz, rt, mz, intensity), each once its window has a peak at least ``late`` seconds
-    past the cell's block: (win_key, block, n_peaks, n_bins, intensity, bits). A window's state is its open cells, one or
+    past the cell's block: (win_key, block, n_peaks, n_bins, intensity, bits). Within a batch a window's cells are sorted numbers of block and bin,
+    8 bytes for each distinct one; bitmaps are made when cells are emitted, a few at once. A window's state is its open cells, one or
     two and as many as ``late`` spans, however long the run is.
 
     Within a window, batches come in order of retention time but for ``late`` seconds; a peak that comes later still begins
@@ -43,20 +49,37 @@ def closing_cells(peaks: DataFrame, ppm: float = 20.0, seconds: float = 30.0, la
     at = peaks.where(F.col("mz") >= MZ0).select(window_key(F.col("win_mz")).alias("win_key"), rt_block(F.col("rt"), seconds).alias("block"), mz_bin(F.col("mz"), ppm).cast("int").alias("bin"), F.col("rt").cast("double").alias("rt"), F.col("intensity").cast("float").cast("double").alias("intensity")).dropna()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, cells = -np.inf, {}
+        last, kept = -np.inf, {}
         if state.exists:
             last, *rest = state.get
-            cells = {b: (n, i, bytes(x)) for b, n, i, x in zip(*rest, strict=True)}
+            kept = {b: (n, i, bytes(x)) for b, n, i, x in zip(*rest, strict=True)}
+        codes, sums = np.zeros(0, np.int64), [pd.DataFrame({"size": [], "sum": []}, index=pd.Index([], dtype="int64"), dtype=float)]
+        waiting, size = [], 0
         for frame in frames:
             last = max(last, float(frame["rt"].max()))
-            for block, rows in frame.groupby("block"):
-                n, intensity, bits = cells.get(block, (0, 0.0, b""))
-                cells[block] = n + len(rows), intensity + float(rows["intensity"].sum()), with_bins(bits, rows["bin"].to_numpy())
-        done = sorted(b for b in cells if (b + 1) * seconds + late <= last)
-        if done:
-            yield pd.DataFrame([(key[0], b, n, count_bins(x), i, x) for b in done for n, i, x in [cells.pop(b)]], columns=["win_key", "block", "n_peaks", "n_bins", "intensity", "bits"])
-        blocks = sorted(cells)
-        state.update((last, [int(b) for b in blocks], *([cells[b][j] for b in blocks] for j in range(3))))
+            waiting.append(frame["block"].to_numpy(np.int64) << BIN_BITS | frame["bin"].to_numpy(np.int64))
+            sums.append(frame.groupby("block")["intensity"].agg(["size", "sum"]).astype(float))
+            size += len(frame)
+            if size > max(LEAST, len(codes)):
+                codes, waiting, size = np.unique(np.concatenate([codes, *waiting])), [], 0
+                sums = [pd.concat(sums).groupby(level=0).sum()]
+        codes = np.unique(np.concatenate([codes, *waiting]))
+        fresh = pd.concat(sums).groupby(level=0).sum()
+        blocks = np.union1d(fresh.index.to_numpy(np.int64), np.array(list(kept), np.int64))
+        n, i = (fresh[c].reindex(blocks, fill_value=0.0).to_numpy() for c in ("size", "sum"))
+        ends = np.searchsorted(codes >> BIN_BITS, [blocks, blocks + 1])
+
+        def cell(j: int) -> tuple[int, float, bytes]:
+            m, more, bits = kept.get(int(blocks[j]), (0, 0.0, b""))
+            return m + int(n[j]), more + float(i[j]), with_bins(bits, codes[ends[0, j] : ends[1, j]] & ((1 << BIN_BITS) - 1))
+
+        over = (blocks + 1) * seconds + late <= last
+        done = np.flatnonzero(over)
+        for at_once in range(0, len(done), CELLS):
+            made = [(key[0], int(blocks[j]), c[0], count_bins(c[2]), c[1], c[2]) for j in done[at_once : at_once + CELLS] for c in [cell(j)]]
+            yield pd.DataFrame(made, columns=["win_key", "block", "n_peaks", "n_bins", "intensity", "bits"])
+        still = [(int(blocks[j]), *cell(j)) for j in np.flatnonzero(~over)]
+        state.update((last, *([c[f] for c in still] for f in range(4))))
 
     return at.groupBy("win_key").applyInPandasWithState(step, CELL, STATE, "append", GroupStateTimeout.NoTimeout)
 
