@@ -127,6 +127,13 @@ def test_decoys(spark):
     assert got[0]["decoy"][-1] == "R" and sorted(got[0]["decoy"][:-1]) == sorted("PEPTIDE")
 
 
+def test_decoys_are_tried_once_for_each_peptide(spark):
+    """Not for every row: no shuffle stands below the step that makes the peptides distinct."""
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "PEPTIDEK").otherwise("AAAAAAAK").alias("peptide"))
+    got = library.decoy_sequences(rows)
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 1
+
+
 def test_overlap(spark):
     a = spark.createDataFrame([("SLYNTVATL", 2), ("KIFGSLAFL", 2), ("GILGFVFTL", 1)], "seq string, charge int")
     b = spark.createDataFrame([("SLYNTVATL", 2), ("GILGFVFTL", 1), ("NLVPMVATV", 2)], "seq string, charge int")
