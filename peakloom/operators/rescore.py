@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.binning import grid_window
 from peakloom.operators.competition import rivals
-from peakloom.operators.quantiles import medians
+from peakloom.operators.quantiles import below, medians
 from peakloom.plans.durable import durable, durable_table
 from peakloom.sources.sqlite import read_sqlite, update_sqlite
 
@@ -94,15 +94,16 @@ def target_decoy_qvalues(df: DataFrame, score: str = "score", decoy: str = "deco
     # Kept, as approximate cuts differ from one evaluation to the next: sums and offsets must be of the same ranges.
     at = durable_table(df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.sum((F.col(decoy) == 1).cast("bigint")).alias("d"), F.sum((F.col(decoy) == 0).cast("bigint")).alias("t")), "qvalue-scores")
     cuts = F.percentile_approx("__s", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(10_000))
-    part = at.crossJoin(F.broadcast(durable(at.agg(cuts.alias("cuts"))))).withColumn("r", F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("__s")))).drop("cuts")
+    part = at.crossJoin(F.broadcast(durable(at.agg(cuts.alias("cuts"))))).withColumn("r", below(F.col("cuts"), F.col("__s"), ranges - 1)).drop("cuts")
     sums = part.groupBy("r").agg(F.sum("d").alias("rd"), F.sum("t").alias("rt"))
-    better = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+    better = W.orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
     base = sums.select("r", F.coalesce(F.sum("rd").over(better), F.lit(0)).alias("d0"), F.coalesce(F.sum("rt").over(better), F.lit(0)).alias("t0"))
     within = W.partitionBy("r").orderBy(F.col("__s").desc())
     run = part.join(F.broadcast(base), "r").withColumn("fdr", F.try_divide((F.col("d0") + F.sum("d").over(within)).cast("double"), (F.col("t0") + F.sum("t").over(within)).cast("double")))
     low = run.groupBy("r").agg(F.min("fdr").alias("m"))
-    after = low.select("r", F.min("m").over(W.orderBy("r").rowsBetween(1, W.unboundedFollowing)).alias("later"))
-    worse = within.rowsBetween(0, W.unboundedFollowing)
+    after = low.select("r", F.min("m").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)).alias("later"))
+    # Running from the worst score up: a frame that reaches to the end is gone through anew for each row.
+    worse = W.partitionBy("r").orderBy("__s").rowsBetween(W.unboundedPreceding, 0)
     q = run.join(F.broadcast(after), "r").withColumn("q_value", F.least(F.min("fdr").over(worse), F.col("later")))
     return df.join(q.select("__s", "fdr", "q_value"), df[score] == F.col("__s"), "left").drop("__s").withColumn("unit", F.lit(unit))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import discriminant as dm
-from peakloom.operators import quantiles
+from peakloom.operators import quantiles, rescore
 
 SCORES = ("s1", "s2", "s3", "s4")
 SCHEMA = "precursor_id bigint, group_id bigint, decoy int, " + ", ".join(f"{c} double" for c in SCORES)
@@ -98,3 +98,63 @@ def test_sums_at_or_better(spark):
     for ranges in (1, 2, 8):
         got = quantiles.at_or_better(spark.createDataFrame(rows, "g int, v double, n int"), ["g"], "v", {"n": F.col("n"), "rows": F.lit(1)}, ranges).collect()
         assert {(r["g"], r["value"]): [r["n"], r["rows"]] for r in got} == dict(want)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_qvalues_grow_with_the_rows(spark):
+    """No frame reaches to the end of its rows, as such a one is gone through anew for each; values against a plain version."""
+    rng = random.Random(8)
+    rows = [(i, rng.random() if i % 5 else round(rng.random(), 2), i % 2) for i in range(3000)] + [(9999, None, 0)]
+    got = rescore.target_decoy_qvalues(spark.createDataFrame(rows, "id int, score double, decoy int"), ranges=7)
+    assert "unboundedpreceding" in plan(got).lower() and "unboundedfollowing" not in plan(got).lower()
+    fdr, want, least = {}, {}, float("inf")
+    for s in {r[1] for r in rows} - {None}:
+        d, t = (sum(r[2] == x and r[1] is not None and r[1] >= s for r in rows) for x in (1, 0))
+        fdr[s] = d / t if t else None
+    for s in sorted(fdr):
+        least = min(least, float("inf") if fdr[s] is None else fdr[s])
+        want[s] = least
+    assert all((r["fdr"], r["q_value"]) == ((fdr[r["score"]], want[r["score"]]) if r["score"] is not None else (None, None)) for r in got.collect())
+
+
+def test_places_among_cuts(spark):
+    cuts = sorted([1.0, 1.0, 2.5, 4.0, 4.0, 4.0, 9.0] + [10.0 + i for i in range(30)])
+    df = spark.range(100).select((F.col("id") / 2).alias("v"))
+    for n in (0, 1, 2, 7, 8, 37):
+        some = F.array(*map(F.lit, cuts[:n]))
+        assert {r[0]: r[1] for r in df.select("v", quantiles.below(some, F.col("v"), n)).collect()} == {v / 2: sum(c < v / 2 for c in cuts[:n]) for v in range(100)}
+
+
+def test_least_passing_value(spark):
+    """Rates that pass, fail and pass again going down, ties, a group in which none passes."""
+    rng, rows = random.Random(6), [(2, float(i), 1) for i in range(20)] + [(1, None, 0)]
+    for g in (0, 1):
+        rows += [(g, float(rng.randrange(300)) / 4, int(rng.random() < (0.02 if v % 97 < 60 else 0.3))) for v in range(700)]
+    for rate in (0.0, 0.08, 0.15, 2.0):
+        want = {}
+        for g in (0, 1, 2):
+            of = [(v, b) for h, v, b in rows if h == g and v is not None]
+            ok = [v for v in {v for v, _ in of} if sum(b for u, b in of if u >= v) <= rate * sum(1 - b for u, b in of if u >= v)]
+            want |= {g: min(ok)} if ok else {}
+        for ranges in (1, 3, 40):
+            got = quantiles.least_passing(spark.createDataFrame(rows, "g int, v double, b int"), ["g"], "v", F.col("b"), 1 - F.col("b"), rate, ranges).collect()
+            assert {r["g"]: r["least"] for r in got} == want, (rate, ranges)
+
+
+def test_crowded_precursors(spark, monkeypatch):
+    """Precursors in many rows and pieces give what whole ones give, by ids that are text; whole ones are not shuffled in a round."""
+    rows = [*planted(200), *((p, 10_000 + p * 40 + g, p % 2, 0.1 * g, None, g % 3 - 1.0, float(g == 20)) for p in (0, 1, 7) for g in range(30))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("group_id", F.format_string("g%06d", "group_id"))
+    weights = np.arange(15).reshape(3, 5) / 7 - 1
+    order = lambda found: sorted(map(str, found.collect()))
+    whole = dm._training(df, SCORES, "precursor_id", "group_id", "decoy", 3)
+    want = {own: order(dm._bests(whole, weights, own)) for own in (False, True)}
+    assert not whole.crowded and "Exchange" not in plan(dm._bests(whole, weights)) and len(want[True]) == 200 and len(want[False]) == 400
+    monkeypatch.setattr(dm, "MOST_GROUPS", 2)
+    monkeypatch.setattr(dm, "MOST_DEALT", 8)
+    cut = dm._training(df, SCORES, "precursor_id", "group_id", "decoy", 3)
+    assert cut.crowded and cut.rows.agg(F.max(F.size("groups"))).first()[0] == 2
+    assert {own: order(dm._bests(cut, weights, own)) for own in (False, True)} == want
