@@ -8,7 +8,7 @@ from hashlib import blake2b, sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import documents, has_prefix, map_batches, prefix_bits, utf8
@@ -21,6 +21,8 @@ _MULTIPLY = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Starts whose anchors are found at once; positions in such a segment take the low bits of a packed minimum.
 _SEGMENT, _POSITION_BITS = 1 << 22, 24
+#: Words of a passage's anchor; bytes of text whose words are hashed at once.
+GRAM_WORDS, _PART = 8, 1 << 18
 
 
 def gram_hashes(b: np.ndarray, length: int) -> np.ndarray:
@@ -39,6 +41,18 @@ def gram_hashes(b: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+def least_places(h: np.ndarray, window: int) -> np.ndarray:
+    """For every ``window`` neighbours of ``h`` the place of the leftmost least one, by their high bits."""
+    low = (h >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS)) | np.arange(len(h), dtype=np.uint64)
+    n = 1
+    while 2 * n <= window:
+        low = np.minimum(low[:-n], low[n:])
+        n *= 2
+    if n < window:
+        low = np.minimum(low[: len(low) - (window - n)], low[window - n :])
+    return (low & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
+
+
 def anchor_runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts of ``length``-byte strings that share an anchor: first start, last start, anchor's place and hash.
 
@@ -50,14 +64,7 @@ def anchor_runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     for at in range(0, max(0, len(text) - length + 1), _SEGMENT):
         b = np.frombuffer(text[at : at + _SEGMENT + length - 1], np.uint8)
         h = gram_hashes(b, GRAM)
-        low = (h >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS)) | np.arange(len(h), dtype=np.uint64)
-        n = 1
-        while 2 * n <= window:
-            low = np.minimum(low[:-n], low[n:])
-            n *= 2
-        if n < window:
-            low = np.minimum(low[: len(low) - (window - n)], low[window - n :])
-        p = (low & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
+        p = least_places(h, window)
         first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
         starts.append(at + first)
         place.append(at + p[first])
@@ -70,6 +77,69 @@ def anchor_runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return s, e, np.concatenate(place), np.concatenate(value)
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words (runs of bytes other than ASCII white space): place of the first byte, 64-bit hash."""
+    b = np.frombuffer(data, np.uint8)
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    h = np.zeros(len(first), np.uint64)
+    cut = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(b), _PART)), len(first)])
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        n = size[i:j]
+        begin = np.cumsum(n) - n
+        within = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)
+        power = np.cumprod(np.full(n.max(), _MULTIPLY, np.uint64))
+        h[i:j] = np.add.reduceat((b[np.repeat(first[i:j], n) + within].astype(np.uint64) + np.uint64(1)) * power[within], begin)
+    return first, h
+
+
+PASSAGES = pa.struct([("anchor", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+
+
+def passage_runs(texts: list[bytes], words: int) -> tuple[pa.Array, pa.Array]:
+    """Each text's number of words, and its runs of starts of strings of ``words`` words that share an anchor: its hash, first
+    start and last start, counted in words. An anchor is the leftmost ``GRAM_WORDS`` words of least hash."""
+    counts, sizes, found, at = [], [], [], 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) < _PART:
+            held += len(texts[to])
+            to += 1
+        part = texts[at:to]
+        first, h = word_hashes(b"\n".join(part))
+        ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in part]))
+        n = np.diff(ends, prepend=0)
+        counts.append(n)
+        many = np.zeros(len(part), np.int64)
+        if len(h) >= words:
+            g, window = gram_hashes(h, GRAM_WORDS), words - GRAM_WORDS + 1
+            p = np.concatenate([i + least_places(g[i : i + _SEGMENT + window - 1], window) for i in range(0, len(h) - words + 1, _SEGMENT)])
+            # Strings that reach into the next text are none.
+            text = np.repeat(np.arange(len(part)), n)[: len(p)]
+            s = np.flatnonzero(np.arange(len(p)) + words <= ends[text])
+            if len(s):
+                p, text = p[s], text[s]
+                new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                begin = (ends - n)[text[new]]
+                many = np.bincount(text[new], minlength=len(part))
+                found.append((g[p[new]].view(np.int64), s[new] - begin, s[np.r_[new[1:] - 1, len(s) - 1]] - begin))
+        sizes.append(many)
+        at = to
+    columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PASSAGES, strict=True)], fields=list(PASSAGES))
+    offsets = np.cumsum(np.concatenate([[0], *sizes]))
+    return pa.array(np.concatenate([[], *counts]), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def passage_digests(data: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    """128-bit hash of each span of words (first, end), joined by single spaces."""
+    parts = data.split()
+    line = b" ".join(parts)
+    at = np.cumsum([0, *(len(w) + 1 for w in parts)]).tolist()
+    return [xxhash.xxh3_128_digest(line[at[a] : at[b] - 1]) for a, b in spans]
+
+
 def repeated_starts(runs: list[tuple[bytes, int, int]], length: int) -> list[np.ndarray]:
     """For each run (its bytes, the anchor's place in them, number of starts) the starts whose ``length``-byte string
     begins at another start of these runs too.
@@ -235,9 +305,70 @@ def find_repeats(runs: DataFrame, often: DataFrame | None, length: int, block_by
     return searched.union(copied).union(again)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, block_bytes: int = 1 << 18, group_runs: int = 2000, with_text: bool = False) -> DataFrame:
+def shared_anchors(runs: DataFrame, place: Column, total: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Anchors met at two values of ``place`` or more with their numbers of runs ``n``, and the runs that have one."""
+    shared = durable_table(runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("anchor", "n"), name)
+    # Anchors with over a thousandth of all runs: a thousand at most. Their runs are told by a broadcast, not dealt by anchor.
+    frequent = shared.where(F.col("n") > total / 1000)
+    if not frequent.take(1):
+        return shared, runs.join(shared, "anchor")
+    frequent = F.broadcast(frequent)
+    rare = runs.join(frequent.select("anchor"), "anchor", "left_anti").join(shared.where(F.col("n") <= total / 1000), "anchor")
+    return shared, rare.unionByName(runs.join(frequent, "anchor"))
+
+
+def shared_words(able: DataFrame, words: int) -> DataFrame:
+    """``key`` and ``n_shared_words``, the words of a text that a string of ``words`` words covers which stands in another
+    text too, from texts (key, data, passages).
+
+    Equal runs of two texts or more are shared whole. Where an anchor has others beside them, each string of one copy of its
+    runs is hashed, and is shared if another text has it, or a run that several texts have.
+    """
+
+    def name(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, anchor, s, n, run = [], [], [], [], []
+        for k, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            key += [k] * len(found)
+            anchor += [r["anchor"] for r in found]
+            s += [r["s"] for r in found]
+            n += [r["e"] - r["s"] + 1 for r in found]
+            run += passage_digests(data, [(r["s"], r["e"] + words) for r in found])
+        return pa.record_batch([pa.array(x, t) for x, t in zip((key, anchor, s, n, run), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "anchor", "s", "n", "run"])
+
+    place = F.xxhash64("key")
+    source = able.where(F.size("passages") > 0)
+    pieces = durable_table(map_batches(source.select("key", "data", "passages"), name, "key binary, anchor bigint, s int, n int, run binary"), "passages")
+    once = durable_table(pieces.groupBy("anchor", "run").agg(F.min(F.struct("key", "s", "n")).alias("r"), (F.min(place) < F.max(place)).alias("met")), "passage-runs")
+    mixed = once.where("not met").select("anchor").distinct()
+    opened = once.join(mixed, "anchor", "left_semi").groupBy("r.key").agg(F.collect_list(F.struct("run", "met", "r.s", "r.n")).alias("opened"))
+
+    def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, met, run, at, digest = [], [], [], [], []
+        for k, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for r in found:
+                key += [k] * r["n"]
+                met += [r["met"]] * r["n"]
+                run += [r["run"]] * r["n"]
+                at += range(r["n"])
+            digest += passage_digests(data, [(a, a + words) for r in found for a in range(r["s"], r["s"] + r["n"])])
+        return pa.record_batch([pa.array(x, t) for x, t in zip((key, met, run, at, digest), (pa.binary(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["key", "met", "run", "at", "digest"])
+
+    each = map_batches(source.select("key", "data").join(opened, "key").select("key", "data", "opened"), strings, "key binary, met boolean, run binary, at int, digest binary")
+    each = durable_table(each.select("met", "run", "at", "digest", place.alias("place")), "passage-strings")
+    seen = each.groupBy("digest").agg((F.max("met") | (F.min("place") < F.max("place"))).alias("again")).where("again").select("digest")
+    again = each.where("not met").join(seen, "digest", "left_semi").groupBy("run").agg(F.collect_set("at").alias("at"))
+    whole = pieces.join(once.where("met").select("run"), "run", "left_semi").select("key", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + words).alias("b")).alias("span"))
+    single = pieces.join(again, "run").select("key", F.explode("at").alias("at"), "s").select("key", F.struct((F.col("s") + F.col("at")).alias("a"), (F.col("s") + F.col("at") + words).alias("b")).alias("span"))
+    spans = whole.union(single).groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))
+    step = lambda x, y: F.struct((x["n"] + y["b"] - F.greatest(x["end"], y["a"])).alias("n"), y["b"].alias("end"))
+    return spans.select("key", F.aggregate("spans", start, step)["n"].alias("n_shared_words"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, block_bytes: int = 1 << 18, group_runs: int = 2000, with_text: bool = False, words: int = 0) -> DataFrame:
     """For each document ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept_sha256``; ``kept`` (the
-    remaining bytes) if asked for.
+    remaining bytes) if asked for; if ``words`` is not 0 also ``n_shared_words``, the words that a string of so many words
+    covers which stands in another document too, whatever its bytes and white space. These are told, not removed.
 
     Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in this or another
     document, overlaps included, judged on the input. Texts are UTF-8 bytes, null is empty, matches do not cross
@@ -251,9 +382,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Candidate runs get their bytes; equal runs are combined before the shuffle, so copies of a passage cost one.
     4. ``find_repeats`` decides which strings of different runs are equal.
     5. Covered bytes are put together for each distinct text, and joined with its documents.
+    6. Shared words are found the same way, by anchors of words (``passage_runs``, ``shared_words``).
     """
     if length % SYMBOL or length < GRAM + 2 * SYMBOL:
         raise ValueError(f"length must be a multiple of {SYMBOL}, {GRAM + 2 * SYMBOL} at least")
+    if words and words < 2 * GRAM_WORDS:
+        raise ValueError(f"words must be 0, or {2 * GRAM_WORDS} at least")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text_col)
 
@@ -264,26 +398,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             s, e, p, h = anchor_runs(t, length)
             runs.append([{"anchor": a, "s": b, "e": c, "p": d} for a, b, c, d in zip(h.tolist(), s.tolist(), e.tolist(), p.tolist(), strict=True)])
         run = pa.list_(pa.struct([("anchor", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("p", pa.int32())]))
+        n_words, passages = passage_runs(texts, words) if words else (pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.list_(PASSAGES)))
         return pa.record_batch(
-            [batch.column(0), pa.array([_key(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(t).hexdigest() for t in texts]), pa.array(runs, run)],
-            names=[id_col, "key", "n_bytes", "sha", "runs"],
+            [batch.column(0), pa.array([_key(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(t).hexdigest() for t in texts]), pa.array(runs, run), n_words, passages],
+            names=[id_col, "key", "n_bytes", "sha", "runs", "n_words", "passages"],
         )
 
-    sketched = durable_table(map_batches(source, sketch, f"{id_col} {kind}, key binary, n_bytes bigint, sha string, runs array<struct<anchor:bigint,s:int,e:int,p:int>>"), "sketch")
-    copies = sketched.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n"))
+    sketched = durable_table(map_batches(source, sketch, f"{id_col} {kind}, key binary, n_bytes bigint, sha string, runs array<struct<anchor:bigint,s:int,e:int,p:int>>, n_words bigint, passages array<struct<anchor:bigint,s:int,e:int>>"), "sketch")
+    copies = sketched.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n"), F.max("n_words").alias("n_words"))
     runs = sketched.select("key", F.explode("runs").alias("r")).select("key", "r.*")
     place = F.xxhash64("key", "p")
-    total = sketched.agg(F.sum(F.size("runs"))).first()[0] or 0
-    shared = durable_table(runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("anchor", "n"), "anchors")
-    # Anchors with over a thousandth of all runs: a thousand at most. Their runs are told by a broadcast, not dealt by anchor.
-    frequent = F.broadcast(shared.where(F.col("n") > total / 1000))
-    rare = runs.join(frequent.select("anchor"), "anchor", "left_anti").join(shared.where(F.col("n") <= total / 1000), "anchor")
-    told = rare.unionByName(runs.join(frequent, "anchor")).withColumn("often", F.col("n") > group_runs)
-    candidates = durable_table(told.groupBy("key").agg(F.collect_set(F.struct("anchor", "s", "e", "p", "often")).alias("runs")), "shared-anchors")
+    total = sketched.agg(F.sum(F.size("runs")), F.sum(F.size("passages"))).first()
+    shared, told = shared_anchors(runs, place, total[0] or 0, "anchors")
+    told = told.select("key", F.struct("anchor", "s", "e", "p", (F.col("n") > group_runs).alias("often")).alias("run"), F.lit(None).cast("struct<anchor:bigint,s:int,e:int>").alias("passage"))
+    if words:
+        passages = sketched.select("key", F.explode("passages").alias("r")).select("key", "r.*")
+        met = shared_anchors(passages, F.xxhash64("key"), total[1] or 0, "passage-anchors")[1]
+        told = told.union(met.select("key", F.lit(None).cast(told.schema["run"].dataType), F.struct("anchor", "s", "e")))
+    candidates = durable_table(told.groupBy("key").agg(F.collect_set("run").alias("runs"), F.collect_set("passage").alias("passages")), "shared-anchors")
     bits = source.sparkSession.sparkContext.broadcast(prefix_bits(candidates))
 
+    least = min(length, 2 * words - 1) if words else length
+
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(k, t) for t in utf8(batch.column(0)) if len(t) >= length for k in [_key(t)] if has_prefix(bits.value, k)]
+        rows = [(k, t) for t in utf8(batch.column(0)) if len(t) >= least for k in [_key(t)] if has_prefix(bits.value, k)]
         return pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([t for _, t in rows], pa.binary())], names=["key", "data"])
 
     texts = map_batches(source.select(text_col), keyed, "key binary, data binary")
@@ -351,13 +489,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = copies.where(f"copies > 1 and n >= {length}").select("key", F.col("n").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"" if with_text else None).cast("binary").alias("kept"))
     changed = stripped.union(again)
     zero = F.lit(0).cast("bigint")
-    out = sketched.drop("runs").join(changed, "key", "left").select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "key", F.col("n_removed").isNotNull().alias("changed"), "kept")
+    rows, extra = sketched.drop("runs", "passages"), []
+    if words:
+        twins = copies.where(f"copies > 1 and n_words >= {words}").select("key", F.col("n_words").alias("n_shared_words"))
+        rows = rows.join(shared_words(able, words).union(twins).groupBy("key").agg(F.max("n_shared_words").alias("n_shared_words")), "key", "left")
+        extra = [F.coalesce("n_shared_words", zero).alias("n_shared_words")]
+    out = rows.join(changed, "key", "left").select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *extra, "key", F.col("n_removed").isNotNull().alias("changed"), "kept")
     if not with_text:
         return out.drop("key", "changed", "kept")
     short = map_batches(source.select(text_col), lambda b: pa.record_batch([pa.array([_key(t) for t in utf8(b.column(0))], pa.binary()), pa.array(utf8(b.column(0)), pa.binary())], names=["key", "data"]), "key binary, data binary")
     whole = short.groupBy("key").agg(F.first("data").alias("data"))
-    return out.join(whole, "key").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", F.when(F.col("changed"), F.col("kept")).otherwise(F.col("data")).alias("kept"))
+    return out.join(whole, "key").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_shared_words"] if words else []), F.when(F.col("changed"), F.col("kept")).otherwise(F.col("data")).alias("kept"))
+
+
+#: Passages of over 50 words that documents share are told by ``op10_substrings``, also below its 400 bytes.
+PASSAGE_WORDS = 51
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    return remove_repeats(documents(spark, sf_dir), words=PASSAGE_WORDS)

@@ -403,6 +403,49 @@ def test_repeats_on_documents(docs, odd, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def slow_shared_words(texts, words):
+    split, seen = [(t or "").encode().split() for t in texts], {}
+    for i, w in enumerate(split):
+        for a in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[a : a + words]), set()).add(i)
+    return [len({b for a in range(len(w) - words + 1) if len(seen[tuple(w[a : a + words])]) > 1 for b in range(a, a + words)}) for w in split]
+
+
+def test_shared_words(spark, odd, empty):
+    rng = random.Random(12)
+    stock = [[rng.choice(["ab", "é", "x", "yz,"]) for _ in range(rng.choice([15, 16, 17, 40, 90]))] for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        parts = [rng.choice(stock) if rng.random() < 0.6 else [rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(9)] for _ in range(rng.randint(0, 6))]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "  "]) for p in parts for w in p))
+    texts += [texts[0], texts[0], "a " * 300, "a " * 200, "a " * 16, None, "", " ".join(stock[2] + stock[2]), "b " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(df, length=80, words=16).collect()}
+    assert [got[i]["n_shared_words"] for i in range(len(texts))] == slow_shared_words(texts, 16)
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == slow_repeats(texts, 80)
+    rows = odd.collect()
+    want = Counter(zip([r["doc_id"] for r in rows], slow_shared_words([r["text"] for r in rows], 16), strict=True))
+    assert Counter((r["doc_id"], r["n_shared_words"]) for r in substrings.remove_repeats(odd, words=16, with_text=True).collect()) == want
+    assert substrings.remove_repeats(empty, words=16).count() == 0
+
+
+def test_planted_passages(spark, tmp_path):
+    """Passages of over 50 words below the 400 bytes of a removal are told, and stay; nothing is told of other documents."""
+    rng = random.Random(13)
+    prose = lambda n: [f"{rng.randrange(16**4):x}" for _ in range(n)]
+    passages = [prose(n) for n in (51, 55, 59)]
+    texts, planted = [], []
+    for i in range(60):
+        passage = passages[i % 3] if i < 30 else prose(50)
+        texts.append(" ".join(prose(rng.randint(0, 90)) + passage + prose(rng.randint(0, 90))))
+        planted.append(len(passage) if i < 30 else 0)
+    half = prose(50)
+    texts += [" ".join(prose(20) + half + prose(20)) for _ in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = substrings.op10_substrings(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["n_shared_words"] for r in got] == [*planted, 0, 0] and not any(r["n_removed"] for r in got)
+
+
 def test_suffix_array():
     rng = random.Random(11)
     for _ in range(3000):
