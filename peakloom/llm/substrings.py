@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import documents, has_prefix, map_batches, prefix_bits, utf8
 from peakloom.llm.grouping import suffix_array
+from peakloom.operators.graph import lookup
 from peakloom.plans.durable import durable_table
 
 #: Bytes of an anchor, a string whose hash is the least of those in a window; bytes of a suffix-array symbol.
@@ -338,28 +339,31 @@ def shared_words(able: DataFrame, words: int) -> DataFrame:
     place = F.xxhash64("key")
     source = able.where(F.size("passages") > 0)
     pieces = durable_table(map_batches(source.select("key", "data", "passages"), name, "key binary, anchor bigint, s int, n int, run binary"), "passages")
-    once = durable_table(pieces.groupBy("anchor", "run").agg(F.min(F.struct("key", "s", "n")).alias("r"), (F.min(place) < F.max(place)).alias("met")), "passage-runs")
+    once = durable_table(pieces.groupBy("anchor", "run").agg(F.min(F.struct("key", "s", "n")).alias("r"), (F.min(place) < F.max(place)).alias("met"), F.count(F.lit(1)).alias("n")), "passage-runs")
     mixed = once.where("not met").select("anchor").distinct()
     opened = once.join(mixed, "anchor", "left_semi").groupBy("r.key").agg(F.collect_list(F.struct("run", "met", "r.s", "r.n")).alias("opened"))
 
     def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, met, run, at, digest = [], [], [], [], []
+        key, run, at, digest = [], [], [], []
         for k, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for r in found:
                 key += [k] * r["n"]
-                met += [r["met"]] * r["n"]
-                run += [r["run"]] * r["n"]
+                run += [None if r["met"] else r["run"]] * r["n"]
                 at += range(r["n"])
             digest += passage_digests(data, [(a, a + words) for r in found for a in range(r["s"], r["s"] + r["n"])])
-        return pa.record_batch([pa.array(x, t) for x, t in zip((key, met, run, at, digest), (pa.binary(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["key", "met", "run", "at", "digest"])
-
-    each = map_batches(source.select("key", "data").join(opened, "key").select("key", "data", "opened"), strings, "key binary, met boolean, run binary, at int, digest binary")
-    each = durable_table(each.select("met", "run", "at", "digest", place.alias("place")), "passage-strings")
-    seen = each.groupBy("digest").agg((F.max("met") | (F.min("place") < F.max("place"))).alias("again")).where("again").select("digest")
-    again = each.where("not met").join(seen, "digest", "left_semi").groupBy("run").agg(F.collect_set("at").alias("at"))
-    whole = pieces.join(once.where("met").select("run"), "run", "left_semi").select("key", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + words).alias("b")).alias("span"))
-    single = pieces.join(again, "run").select("key", F.explode("at").alias("at"), "s").select("key", F.struct((F.col("s") + F.col("at")).alias("a"), (F.col("s") + F.col("at") + words).alias("b")).alias("span"))
-    spans = whole.union(single).groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+        halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(key, pa.binary()), pa.array(run, pa.binary()), pa.array(at, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["key", "run", "at", "d", "e"])
+
+    each = map_batches(source.select("key", "data").join(opened, "key").select("key", "data", "opened"), strings, "key binary, run binary, at int, d bigint, e bigint")
+    # Strings of runs that several texts have come without the run.
+    each = durable_table(each.select("run", "at", "d", "e", place.alias("place")), "passage-strings")
+    seen = each.groupBy("d", "e").agg((F.max(F.col("run").isNull()) | (F.min("place") < F.max("place"))).alias("again")).where("again").select("d", "e")
+    again = each.where("run IS NOT NULL").join(seen, ["d", "e"], "left_semi").groupBy("run").agg(F.collect_set(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("found"))
+    whole = once.where("met").select("run", F.array(F.struct(F.lit(0).alias("a"), (F.col("r.n") - 1).alias("b"))).alias("found"), "n")
+    # A run of one text has few rows.
+    found = durable_table(whole.union(again.withColumn("n", F.lit(1).cast("bigint"))), "passage-found")
+    hits = lookup(pieces.select("run", "key", "s"), found, "run", pieces.count()).select("key", "s", F.explode("found").alias("f"))
+    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct((F.col("s") + F.col("f.a")).alias("a"), (F.col("s") + F.col("f.b") + words).alias("b")))).alias("spans"))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))
     step = lambda x, y: F.struct((x["n"] + y["b"] - F.greatest(x["end"], y["a"])).alias("n"), y["b"].alias("end"))
     return spans.select("key", F.aggregate("spans", start, step)["n"].alias("n_shared_words"))
