@@ -125,13 +125,31 @@ def index_counters(peaks: DataFrame, ppm: float = 20.0, seconds: float = 30.0) -
     )
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (win_key, block, bucket, word, bits) of bitmaps: their words of 64 bits that are not empty, those of a thousand at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BITMAPS):
+            some = batch.slice(i, BITMAPS)
+            each = [np.frombuffer(b + bytes(-len(b) % 8), "<i8") for b in some.column(3).to_pylist()]
+            at = [np.flatnonzero(e) for e in each]
+            row = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in at]))
+            word, bits = np.concatenate(at).astype(np.int32), np.concatenate([e[x] for e, x in zip(each, at, strict=True)])
+            yield pa.RecordBatch.from_arrays([*(some.column(j).take(row) for j in range(3)), pa.array(word), pa.array(bits)], [*batch.schema.names[:3], "word", "bits"])
+
+
 def probe(bitmaps: DataFrame, at: DataFrame) -> DataFrame:
-    """``at`` (win_key, block, bin) with ``occupied``: whether the cell's bitmap has the bin."""
-    keyed = at.withColumn("bucket", F.bitmap_bucket_number((F.col("bin") + 1).cast("bigint")))
-    bit = F.bitmap_bit_position((F.col("bin") + 1).cast("bigint"))
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = keyed.join(bitmaps, ["win_key", "block", "bucket"], "left")
-    return found.withColumn("occupied", F.coalesce((F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2) == 1, F.lit(False))).drop("bits", "bucket")
+    """``at`` (win_key, block, bin) with ``occupied``: whether the cell's bitmap has the bin.
+
+    Words that are not empty meet what is asked, not bitmaps, and both are dealt: a table of nearly empty bitmaps is small as
+    it is shuffled and large as it is held, so that it would be sent to every task by its size in the shuffle."""
+    types = {f.name: f.dataType.simpleString() for f in bitmaps.schema}
+    order = ["win_key", "block", "bucket"]
+    words = bitmaps.where("bits IS NOT NULL").select(*order, "bits").mapInArrow(_words, ", ".join(f"{c} {types[c]}" for c in order) + ", word int, bits bigint")
+    place = (F.col("bin") + 1).cast("bigint")
+    bit = F.bitmap_bit_position(place)
+    keyed = at.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("word", F.shiftright(bit, 6).cast("int"))
+    found = keyed.join(words.hint("merge"), [*order, "word"], "left")
+    return found.withColumn("occupied", F.coalesce(F.getbit("bits", (bit % 64).cast("int")) == 1, F.lit(False))).drop("bits", "bucket", "word")
 
 
 def prefilter(fragments: DataFrame, occupied: DataFrame, needed: int = 3) -> DataFrame:
